@@ -1,16 +1,33 @@
-"""Local-time columns. Instants are TIMESTAMP_NTZ in UTC, so the session zone never matters."""
+"""Local-time columns. Instants are TIMESTAMP_NTZ in UTC; results are the same in any session."""
 
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.ranges import DAY, DateRange
 
 
+_UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00"}
+
+
+def _session_is_utc() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
+
+
 def local_ts(ts: Column, zone: str) -> Column:
+    """Wall time in ``zone``. Both forms give the same value.
+
+    ``from_utc_timestamp`` resolves its zone once per task, ``convert_timezone`` once per row and
+    at six times the cost, but only a UTC session reads a stored wall time as the UTC instant it
+    is. The session zone is bound when the column is built into a frame.
+    """
+    if _session_is_utc():
+        return F.from_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
 
 
@@ -39,46 +56,50 @@ def instant(at: dt.datetime | None) -> Column:
     return F.lit(None if at is None else str(at)).cast("timestamp_ntz")
 
 
-def _ntz(day: dt.date) -> Column:
-    return F.lit(day).cast("timestamp_ntz")
-
-
-def instants_from(ts: Column, day: dt.date) -> Column:
-    """Superset of 'local date >= day' on the stored column, for the scan."""
-    return ts >= _ntz(day - DAY)
-
-
-def instants_until(ts: Column, day: dt.date) -> Column:
-    """Superset of 'local date <= day' on the stored column, for the scan."""
-    return ts < _ntz(day + 2 * DAY)
+def day_begins(day: dt.date, zone: str) -> Column:
+    """Stored instant at which local ``day`` begins. Folds to a literal."""
+    midnight = F.lit(day).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), midnight)
+
+
+def _midnight_is_plain(day: dt.date, zone: str) -> bool:
+    """Whether local midnight exists exactly once, so that one instant splits the two days."""
+    midnight = dt.datetime.combine(day, dt.time(), ZoneInfo(zone))
+    return midnight.utcoffset() == midnight.replace(fold=1).utcoffset()
+
+
+def _inside(
+    df: DataFrame, ts: str, start: dt.date | None, end: dt.date, zone: str, keep: str
+) -> DataFrame:
+    raw, folder = F.col(ts), f"{ts}_day"
+    edges = [end + DAY] if start is None else [start, end + DAY]
+    if all(_midnight_is_plain(edge, zone) for edge in edges):
+        bounds, check = raw < day_begins(edges[-1], zone), None
+        if start is not None:
+            bounds = bounds & (raw >= day_begins(start, zone))
+    else:
+        bounds, check = raw < F.lit(end + 2 * DAY).cast("timestamp_ntz"), F.col(keep) <= F.lit(end)
+        if start is not None:
+            bounds = bounds & (raw >= F.lit(start - DAY).cast("timestamp_ntz"))
+            check = check & (F.col(keep) >= F.lit(start))
+    if folder in df.columns:
+        bounds = bounds & (F.col(folder) <= F.lit(end + DAY))
+        if start is not None:
+            bounds = bounds & (F.col(folder) >= F.lit(start - DAY))
+    kept = df.where(bounds).withColumn(keep, local_date(raw, zone))
+    return kept if check is None else kept.where(check)
 
 
 def within(df: DataFrame, ts: str, rng: DateRange, zone: str, keep: str = "date") -> DataFrame:
     """Rows whose local date lies in ``rng``; the local date is added as ``keep``.
 
-    A filter on the converted date alone never reaches the files. Bounds on the stored instant,
-    one day wider on each side than any zone offset needs, do; and where the table is laid out
-    in day folders (``<ts>_day``) the same bounds prune folders.
+    The range is stated on the stored instant, where it reaches the files and costs no conversion
+    per row; where the table is laid out in day folders (``<ts>_day``) it prunes folders too. Only
+    a zone that repeats or skips one of the two midnights needs a check of the converted date.
     """
-    raw = F.col(ts)
-    bounds = instants_from(raw, rng.start) & instants_until(raw, rng.end)
-    if f"{ts}_day" in df.columns:
-        bounds = bounds & F.col(f"{ts}_day").between(F.lit(rng.start - DAY), F.lit(rng.end + DAY))
-    return (
-        df.where(bounds)
-        .withColumn(keep, local_date(raw, zone))
-        .where(rng.holds(F.col(keep)))
-    )
+    return _inside(df, ts, rng.start, rng.end, zone, keep)
 
 
 def up_to(df: DataFrame, ts: str, day: dt.date, zone: str, keep: str = "date") -> DataFrame:
     """All history up to and including local ``day``, with the local date as ``keep``."""
-    raw = F.col(ts)
-    bounds = instants_until(raw, day)
-    if f"{ts}_day" in df.columns:
-        bounds = bounds & (F.col(f"{ts}_day") <= F.lit(day + DAY))
-    return (
-        df.where(bounds)
-        .withColumn(keep, local_date(raw, zone))
-        .where(F.col(keep) <= F.lit(day))
-    )
+    return _inside(df, ts, None, day, zone, keep)

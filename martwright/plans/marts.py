@@ -85,11 +85,12 @@ def shaped(name: str, df: DataFrame) -> DataFrame:
     spec = MARTS[name]
     out = []
     for field in spec.schema:
-        cast = F.col(field.name).cast(field.dataType)
+        kind = field.dataType.simpleString()
+        cast = f"CAST({field.name} AS {kind})"
         if field.name not in spec.keys:
-            cast = F.coalesce(cast, F.lit(0).cast(field.dataType))
-        out.append(cast.alias(field.name))
-    return df.select(*out)
+            cast = f"coalesce({cast}, CAST(0 AS {kind}))"
+        out.append(f"{cast} AS {field.name}")
+    return df.selectExpr(*out)
 
 
 # --- shared grains -------------------------------------------------------------------------

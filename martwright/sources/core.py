@@ -1,9 +1,12 @@
-"""The five transactional tables the metrics are computed from."""
+"""The five transactional tables the metrics are computed from.
+
+Any reader can supply them: files, a catalog, a database connection.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +49,31 @@ SNAPSHOT_TABLES = (
 SNAPSHOT_OPTIONAL = ("app_events",)
 
 
-@dataclass(frozen=True)
 class CoreTables:
-    orders: DataFrame
-    users: DataFrame
-    payment_transactions: DataFrame
-    promo_redemptions: DataFrame
-    referral_earnings: DataFrame
+    """The core tables by name, opened on first use."""
+
+    def __init__(self, fetch: Callable[[str], DataFrame]) -> None:
+        self._fetch = fetch
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return _utc_wall_time(self._fetch("orders"))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return _utc_wall_time(self._fetch("users"))
+
+    @cached_property
+    def payment_transactions(self) -> DataFrame:
+        return _utc_wall_time(self._fetch("payment_transactions"))
+
+    @cached_property
+    def promo_redemptions(self) -> DataFrame:
+        return _utc_wall_time(self._fetch("promo_redemptions"))
+
+    @cached_property
+    def referral_earnings(self) -> DataFrame:
+        return _utc_wall_time(self._fetch("referral_earnings"))
 
     @property
     def spark(self) -> SparkSession:
@@ -70,11 +91,6 @@ def _utc_wall_time(df: DataFrame) -> DataFrame:
     return df
 
 
-def from_tables(fetch: Callable[[str], DataFrame]) -> CoreTables:
-    """Core tables through any reader: files, a catalog, a database connection."""
-    return CoreTables(**{name: _utc_wall_time(fetch(name)) for name in SCHEMAS})
-
-
 def read_core(spark: SparkSession, root: str) -> CoreTables:
     """Parquet folders ``<root>/<table>``, as left by :func:`snapshot_core`.
 
@@ -84,7 +100,7 @@ def read_core(spark: SparkSession, root: str) -> CoreTables:
     def fetch(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
-    return from_tables(fetch)
+    return CoreTables(fetch)
 
 
 def read_core_jdbc(
@@ -111,7 +127,7 @@ def read_core_jdbc(
         wanted = T.StructType.fromDDL(SCHEMAS[name])
         return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
-    return from_tables(fetch)
+    return CoreTables(fetch)
 
 
 # Tables whose snapshot is laid out in one folder per UTC day: the ones read by range.

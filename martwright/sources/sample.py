@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from martwright.sources.core import CoreTables, from_tables
+from martwright.sources.core import CoreTables
 
 
-def _moment(base: str, days: str, minutes: str) -> Column:
-    return F.expr(
-        f"timestamp_ntz'{base}' + make_dt_interval(int({days}), 0, 0, 0)"
-        f" + make_dt_interval(0, 0, int({minutes}), 0)"
-    )
+def _moment(base: str, days: str, minutes: str) -> str:
+    return f"timestampadd(MINUTE, int(({days}) * 1440 + ({minutes})), timestamp_ntz'{base}')"
 
 
 def _day_of(column: str) -> str:
@@ -20,104 +16,76 @@ def _day_of(column: str) -> str:
 
 
 BASE = "2010-10-01 00:00:00"
+EVENT_MINUTE = "(l_orderkey * 7 + l_linenumber) % 1440"
 
 
 def map_orders(raw: DataFrame) -> DataFrame:
     """Orders from a frame with the columns of the supplied ``orders`` table."""
-    return raw.select(
-        F.expr("string(o_orderkey)").alias("order_id"),
-        F.expr("if(o_custkey % 50 = 7, NULL, string(o_custkey))").alias("user_id"),
-        F.expr(
-            "CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'created' ELSE 'failed' END"
-        ).alias("status"),
-        F.expr(
-            "CASE o_orderkey % 5 WHEN 0 THEN 'gift' WHEN 1 THEN '' WHEN 2 THEN NULL"
-            " ELSE 'stars' END"
-        ).alias("product_type"),
-        F.expr(
-            "CASE o_orderpriority WHEN '1-URGENT' THEN 'platega' WHEN '2-HIGH' THEN 'card'"
-            " WHEN '3-MEDIUM' THEN 'wallet' WHEN '5-LOW' THEN '' END"
-        ).alias("payment_provider"),
-        F.expr(
-            "if(o_orderkey % 97 = 0, NULL, CAST(o_totalprice AS DECIMAL(14,2)))"
-        ).alias("amount_rub"),
-        F.expr(
-            "CAST(if(o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0,"
-            " CAST(o_totalprice AS DECIMAL(14,2)) + CAST(o_orderkey % 50 AS DECIMAL(14,2)), NULL)"
-            " AS DECIMAL(15,2))"
-        ).alias("amount_rub_original"),
-        F.expr(
-            "CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0"
-            " ELSE o_orderkey % 1000 - 5 END AS DECIMAL(14,2))"
-        ).alias("cost_rub"),
-        F.expr(
-            "CAST(if(o_orderkey % 3 = 0, o_orderkey % 700 - 20, NULL) AS DECIMAL(14,2))"
-        ).alias("profit_rub"),
-        F.expr(
-            "CAST(if(o_orderkey % 11 = 0, NULL, 1 + o_orderkey % 3) AS DECIMAL(14,4))"
-        ).alias("cost_per_star"),
-        F.expr("if(o_orderkey % 6 = 0, concat('PROMO', o_orderkey % 4), NULL)").alias("promo_code"),
-        _moment(BASE, _day_of("o_orderdate"), "o_orderkey % 1440").alias("timestamp"),
+    return raw.selectExpr(
+        "string(o_orderkey) AS order_id",
+        "if(o_custkey % 50 = 7, NULL, string(o_custkey)) AS user_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'created' ELSE 'failed' END"
+        " AS status",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'gift' WHEN 1 THEN '' WHEN 2 THEN NULL"
+        " ELSE 'stars' END AS product_type",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'platega' WHEN '2-HIGH' THEN 'card'"
+        " WHEN '3-MEDIUM' THEN 'wallet' WHEN '5-LOW' THEN '' END AS payment_provider",
+        "if(o_orderkey % 97 = 0, NULL, CAST(o_totalprice AS DECIMAL(14,2))) AS amount_rub",
+        "CAST(if(o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0,"
+        " CAST(o_totalprice AS DECIMAL(14,2)) + CAST(o_orderkey % 50 AS DECIMAL(14,2)), NULL)"
+        " AS DECIMAL(15,2)) AS amount_rub_original",
+        "CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0"
+        " ELSE o_orderkey % 1000 - 5 END AS DECIMAL(14,2)) AS cost_rub",
+        "CAST(if(o_orderkey % 3 = 0, o_orderkey % 700 - 20, NULL) AS DECIMAL(14,2)) AS profit_rub",
+        "CAST(if(o_orderkey % 11 = 0, NULL, 1 + o_orderkey % 3) AS DECIMAL(14,4)) AS cost_per_star",
+        "if(o_orderkey % 6 = 0, concat('PROMO', o_orderkey % 4), NULL) AS promo_code",
+        _moment(BASE, _day_of("o_orderdate"), "o_orderkey % 1440") + " AS timestamp",
     )
 
 
 def _users(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.expr("string(c_custkey)").alias("user_id"),
-        F.expr(
-            "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_name END"
-        ).alias("username"),
-        F.expr(
-            "CASE WHEN c_custkey % 3 = 0 THEN string(c_custkey div 3)"
-            " WHEN c_custkey % 30 = 1 THEN '' END"
-        ).alias("referrer_id"),
-        _moment("2010-09-15 00:00:00", "c_custkey * 7 % 200", "c_custkey * 13 % 1440").alias(
-            "created_at"
-        ),
+    return raw.selectExpr(
+        "string(c_custkey) AS user_id",
+        "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_name END AS username",
+        "CASE WHEN c_custkey % 3 = 0 THEN string(c_custkey div 3)"
+        " WHEN c_custkey % 30 = 1 THEN '' END AS referrer_id",
+        _moment("2010-09-15 00:00:00", "c_custkey * 7 % 200", "c_custkey * 13 % 1440")
+        + " AS created_at",
     )
 
 
 def _transactions(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("id"),
-        F.expr("if(l_partkey % 13 = 0, NULL, string(l_orderkey))").alias("order_id"),
-        F.expr(
-            "CASE l_suppkey % 6 WHEN 0 THEN 'platega' WHEN 1 THEN 'platega_status'"
-            " WHEN 2 THEN 'card' WHEN 3 THEN 'wallet' WHEN 4 THEN '' END"
-        ).alias("provider"),
-        F.expr(
-            "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ''"
-            " ELSE concat('tx', l_orderkey, '-', l_linenumber % 3) END"
-        ).alias("provider_txn_id"),
-        F.expr(
-            "CASE l_returnflag"
-            " WHEN 'R' THEN if(l_linenumber < 4, 'CONFIRMED', 'paid')"
-            " WHEN 'A' THEN if(l_linenumber = 1, '', 'pending')"
-            " ELSE if(l_linenumber = 2, NULL, 'canceled') END"
-        ).alias("status"),
-        F.when(
-            F.expr("l_partkey % 7 <> 0"),
-            _moment(BASE, _day_of("l_shipdate"), "(l_orderkey * 7 + l_linenumber) % 1440"),
-        ).alias("created_at"),
+    return raw.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
+        "if(l_partkey % 13 = 0, NULL, string(l_orderkey)) AS order_id",
+        "CASE l_suppkey % 6 WHEN 0 THEN 'platega' WHEN 1 THEN 'platega_status'"
+        " WHEN 2 THEN 'card' WHEN 3 THEN 'wallet' WHEN 4 THEN '' END AS provider",
+        "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ''"
+        " ELSE concat('tx', l_orderkey, '-', l_linenumber % 3) END AS provider_txn_id",
+        "CASE l_returnflag"
+        " WHEN 'R' THEN if(l_linenumber < 4, 'CONFIRMED', 'paid')"
+        " WHEN 'A' THEN if(l_linenumber = 1, '', 'pending')"
+        " ELSE if(l_linenumber = 2, NULL, 'canceled') END AS status",
+        f"if(l_partkey % 7 = 0, NULL, {_moment(BASE, _day_of('l_shipdate'), EVENT_MINUTE)})"
+        " AS created_at",
     )
 
 
-def _shipped(minutes: str = "l_orderkey % 1440") -> Column:
-    return _moment(BASE, _day_of("l_shipdate"), minutes).alias("created_at")
+SHIPPED = _moment(BASE, _day_of("l_shipdate"), "l_orderkey % 1440") + " AS created_at"
 
 
 def _redemptions(raw: DataFrame) -> DataFrame:
-    return raw.where("l_linenumber = 7").select(
-        F.expr("if(l_partkey % 29 = 0, NULL, concat('PROMO', l_orderkey % 4 + 2))").alias("code"),
-        _shipped(),
+    return raw.where("l_linenumber = 7").selectExpr(
+        "if(l_partkey % 29 = 0, NULL, concat('PROMO', l_orderkey % 4 + 2)) AS code",
+        SHIPPED,
     )
 
 
 def _earnings(raw: DataFrame) -> DataFrame:
-    return raw.where("l_linenumber = 3").select(
-        F.expr("if(l_partkey % 17 = 0, NULL, string(l_orderkey))").alias("order_id"),
-        F.expr("if(l_partkey % 19 = 0, NULL, int(l_quantity))").alias("stars"),
-        _shipped(),
+    return raw.where("l_linenumber = 3").selectExpr(
+        "if(l_partkey % 17 = 0, NULL, string(l_orderkey)) AS order_id",
+        "if(l_partkey % 19 = 0, NULL, int(l_quantity)) AS stars",
+        SHIPPED,
     )
 
 
@@ -135,4 +103,4 @@ def sample_core(spark: SparkSession, sf_dir: str) -> CoreTables:
         table, mapped = MAPPING[name]
         return mapped(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
-    return from_tables(fetch)
+    return CoreTables(fetch)

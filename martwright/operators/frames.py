@@ -86,21 +86,27 @@ def totals_by(df: DataFrame, key: str, measures: Sequence[str], largest: str) ->
 def z_scores(df: DataFrame, metrics: Sequence[str], key: str = "date") -> DataFrame:
     """(key, metric, value, z) for each metric against its own mean and population deviation.
 
-    Statistics come from a scalar subquery, so no window gathers the rows in one task.
+    The statistics of all metrics come from one scalar subquery, so no window gathers the rows in
+    one task; a deviation of practically zero scores 0.
     """
-    long = df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        key, list(metrics), "metric", "value"
-    )
-    scored = []
-    for metric in metrics:
-        own = long.where(F.col("metric") == metric)
-        stats = own.agg(
-            F.struct(F.avg("value").alias("mean"), F.stddev_pop("value").alias("dev")).alias("s")
-        ).scalar()
-        dev = stats["dev"]
-        z = F.when(dev <= 0.000001, 0.0).otherwise((F.col("value") - stats["mean"]) / dev)
-        scored.append(own.withColumn("z", z))
-    return reduce(DataFrame.unionByName, scored)
+    typed = df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics])
+    stats = typed.agg(
+        F.struct(
+            *[
+                F.struct(F.avg(m).alias("mean"), F.stddev_pop(m).alias("dev")).alias(m)
+                for m in metrics
+            ]
+        ).alias("stats")
+    ).scalar()
+
+    def scored(metric: str) -> Column:
+        mean, dev = stats[metric]["mean"], stats[metric]["dev"]
+        z = F.when(dev <= 0.000001, 0.0).otherwise((F.col(metric) - mean) / dev)
+        return F.struct(
+            F.lit(metric).alias("metric"), F.col(metric).alias("value"), z.alias("z")
+        )
+
+    return typed.select(key, F.inline(F.array(*[scored(m) for m in metrics])))
 
 
 def align_from_end(

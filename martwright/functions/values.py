@@ -42,6 +42,23 @@ def money_or_zero(c: Column) -> Column:
     return F.coalesce(c.cast(MONEY), F.lit(Decimal("0.00")).cast(MONEY))
 
 
+def sum_kopecks(c: Column) -> Column:
+    """Exact sum of two-decimal money as a whole number of kopecks.
+
+    Summing decimal(14,2) directly needs a buffer wider than a machine word and costs several
+    times as much per row. A sum that fits a stored money column is far from the word's limit.
+    """
+    return F.sum((c * 100).cast("bigint"))
+
+
+def from_kopecks(c: Column) -> Column:
+    return c.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+
+
+def sum_money(c: Column) -> Column:
+    return from_kopecks(sum_kopecks(c))
+
+
 def is_paid(cfg: Settings) -> Column:
     return F.col("status").isin(cfg.paid)
 

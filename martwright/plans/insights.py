@@ -36,16 +36,16 @@ def _buyer_history(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
     per_user = (
         cal.up_to(paid, "timestamp", last_day, cfg.zone)
         .groupBy("user_id", "date")
-        .agg(F.count("*").alias("orders"), F.sum("amount_rub").alias("amount"))
+        .agg(F.count("*").alias("orders"), v.sum_kopecks(F.col("amount_rub")).alias("kopecks"))
         .withColumn("first_date", F.min("date").over(Window.partitionBy("user_id")))
         .groupBy("user_id", "first_date")
         .agg(
             F.max(F.when(after & (date <= F.date_add(first, SHORT_DAYS)), 1)).alias("short"),
             F.max(F.when(after & early, 1)).alias("long"),
             F.sum(F.when(early, F.col("orders"))).alias("early_orders"),
-            F.sum(F.when(early, F.col("amount"))).alias("early_amount"),
-            F.sum(F.when(inside, F.col("amount"))).alias("amount"),
-            F.sum(F.when(inside & after, F.col("amount"))).alias("repeat_amount"),
+            F.sum(F.when(early, F.col("kopecks"))).alias("early_amount"),
+            F.sum(F.when(inside, F.col("kopecks"))).alias("amount"),
+            F.sum(F.when(inside & after, F.col("kopecks"))).alias("repeat_amount"),
         )
     )
     base = rng.holds(first)
@@ -54,9 +54,9 @@ def _buyer_history(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
         F.count_if(base & (F.col("short") == 1)).alias("retained_short"),
         F.count_if(base & (F.col("long") == 1)).alias("retained_long"),
         _sum0(F.when(base, F.col("early_orders"))).alias("early_orders"),
-        _sum0(F.when(base, F.col("early_amount"))).alias("early_amount"),
-        _sum0(F.col("amount")).alias("live_amount"),
-        _sum0(F.col("repeat_amount")).alias("repeat_amount"),
+        v.from_kopecks(_sum0(F.when(base, F.col("early_amount")))).alias("early_amount"),
+        v.from_kopecks(_sum0(F.col("amount"))).alias("live_amount"),
+        v.from_kopecks(_sum0(F.col("repeat_amount"))).alias("repeat_amount"),
     )
 
 
@@ -113,7 +113,9 @@ def hourly_heatmap(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
         .groupBy(cal.iso_weekday(local).alias("iso_dow"), cal.hour_of(local).alias("hour"))
         .agg(
             F.count("*").alias("paid_orders_count"),
-            _sum0(F.col("amount_rub")).cast("double").alias("revenue_rub"),
+            F.coalesce(v.sum_money(F.col("amount_rub")), F.lit(0))
+            .cast("double")
+            .alias("revenue_rub"),
         )
         .orderBy("iso_dow", "hour")
     )

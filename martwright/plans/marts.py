@@ -117,9 +117,9 @@ def sales_totals(
             F.count_if(paid).alias("paid_n"),
             F.count_if(v.is_failed(cfg)).alias("failed_n"),
             F.count(amount).alias("amount_n"),
-            F.sum(amount).alias("amount"),
-            F.sum(F.when(paid, v.effective_cost(cfg))).alias("cost"),
-            F.sum(F.when(paid, v.effective_profit(cfg))).alias("profit"),
+            v.sum_money(amount).alias("amount"),
+            v.sum_money(F.when(paid, v.effective_cost(cfg))).alias("cost"),
+            v.sum_money(F.when(paid, v.effective_profit(cfg))).alias("profit"),
         )
     )
 
@@ -144,8 +144,8 @@ def buyer_days(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
         .groupBy("date", "user_id")
         .agg(
             F.count("*").alias("paid_n"),
-            F.sum("amount_rub").alias("amount"),
-            F.sum(v.effective_profit(cfg)).alias("profit"),
+            v.sum_kopecks(F.col("amount_rub")).alias("kopecks"),
+            v.sum_kopecks(v.effective_profit(cfg)).alias("profit_kopecks"),
         )
     )
 
@@ -268,8 +268,8 @@ def build_referral_daily(
         .agg(
             F.count("*").alias("referred_buyers_count"),
             F.sum("paid_n").alias("referred_orders_paid_count"),
-            v.money(F.sum("amount")).alias("referred_revenue_rub"),
-            v.money(F.sum("profit")).alias("order_profit"),
+            v.money(v.from_kopecks(F.sum("kopecks"))).alias("referred_revenue_rub"),
+            v.money(v.from_kopecks(F.sum("profit_kopecks"))).alias("order_profit"),
         )
     )
     bonus = referral_bonuses(core, rng, cfg).select(
@@ -301,9 +301,9 @@ def build_promo_daily(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFr
         .groupBy("date", "promo_code")
         .agg(
             F.count("*").alias("paid_orders_count"),
-            F.sum(v.promo_discount()).alias("discount_total_rub"),
-            F.sum("amount_rub").alias("revenue_after_discount_rub"),
-            F.sum(v.effective_profit(cfg)).alias("profit_after_discount_rub"),
+            v.sum_money(v.promo_discount()).alias("discount_total_rub"),
+            v.sum_money(F.col("amount_rub")).alias("revenue_after_discount_rub"),
+            v.sum_money(v.effective_profit(cfg)).alias("profit_after_discount_rub"),
         )
     )
     return shaped("promo_daily", redeemed.join(bought, ["date", "promo_code"], "full_outer"))
@@ -322,7 +322,7 @@ def build_cohort_weekly(core: CoreTables, rng: DateRange, cfg: Settings) -> Data
     user_weeks = (
         cal.up_to(core.orders.where(v.is_paid(cfg)), "timestamp", last_day, cfg.zone)
         .groupBy("user_id", cal.week_start(F.col("date")).alias("week"))
-        .agg(F.sum("amount_rub").alias("amount"))
+        .agg(v.sum_kopecks(F.col("amount_rub")).alias("kopecks"))
     )
     known = F.col("user_id").isNotNull()
     activity = (
@@ -336,7 +336,9 @@ def build_cohort_weekly(core: CoreTables, rng: DateRange, cfg: Settings) -> Data
         .agg(
             F.count("*").alias("members"),
             F.count("user_id").alias("repeat_buyers_count"),
-            v.money_or_zero(F.sum(F.when(known, F.col("amount")))).alias("period_revenue_rub"),
+            v.money_or_zero(v.from_kopecks(F.sum(F.when(known, F.col("kopecks"))))).alias(
+                "period_revenue_rub"
+            ),
         )
     )
     size = F.max(F.when(F.col("age_week") == 0, F.col("members"))).over(

@@ -123,7 +123,7 @@ def summary(marts: Marts, rng: DateRange) -> DataFrame:
 
 
 def _paid_sum(cfg: Settings, value: Column) -> Column:
-    total = F.sum(F.when(v.is_paid(cfg), value))
+    total = v.sum_money(F.when(v.is_paid(cfg), value))
     return F.coalesce(total, F.lit(0)).cast("double")
 
 
@@ -270,8 +270,8 @@ def users(
         .agg(
             F.count_if(inside & has_id).alias("created"),
             F.count_if(inside & paid & has_id).alias("paid"),
-            F.sum(F.when(inside & paid, F.col("amount_rub"))).alias("revenue"),
-            F.sum(F.when(inside & paid, v.gross_profit(cfg))).alias("gross"),
+            v.sum_money(F.when(inside & paid, F.col("amount_rub"))).alias("revenue"),
+            v.sum_money(F.when(inside & paid, v.gross_profit(cfg))).alias("gross"),
             F.min(F.when(paid, date)).alias("first_paid_date"),
             F.max(F.when(paid, date)).alias("last_paid_date"),
         )

@@ -120,7 +120,7 @@ def payments_providers(
         .agg(
             F.count("*").alias("orders_created_count"),
             F.count_if(v.is_paid(cfg)).alias("orders_paid_count"),
-            F.sum(F.when(v.is_paid(cfg), F.col("amount_rub"))).alias("amount"),
+            v.sum_money(F.when(v.is_paid(cfg), F.col("amount_rub"))).alias("amount"),
         )
     )
     return (
@@ -214,7 +214,7 @@ def _referred_orders(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
             F.count("*").alias("created"),
             F.count_if(paid).alias("paid"),
             F.count_if(v.is_failed(cfg)).alias("failed"),
-            F.sum(F.when(paid, F.col("amount_rub"))).alias("amount"),
+            v.sum_kopecks(F.when(paid, F.col("amount_rub"))).alias("kopecks"),
         )
         .join(referred_ids(core), "user_id")
         .groupBy("date")
@@ -223,7 +223,7 @@ def _referred_orders(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
             F.sum("paid").alias("referred_orders_paid_count"),
             F.sum("failed").alias("referred_orders_failed_count"),
             F.count_if(F.col("paid") > 0).alias("referred_unique_buyers_count"),
-            v.money(F.sum("amount")).alias("referred_revenue_rub"),
+            v.money(v.from_kopecks(F.sum("kopecks"))).alias("referred_revenue_rub"),
         )
     )
 

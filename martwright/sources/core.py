@@ -57,23 +57,23 @@ class CoreTables:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return _utc_wall_time(self._fetch("orders"))
+        return _declared(self._fetch("orders"), "orders")
 
     @cached_property
     def users(self) -> DataFrame:
-        return _utc_wall_time(self._fetch("users"))
+        return _declared(self._fetch("users"), "users")
 
     @cached_property
     def payment_transactions(self) -> DataFrame:
-        return _utc_wall_time(self._fetch("payment_transactions"))
+        return _declared(self._fetch("payment_transactions"), "payment_transactions")
 
     @cached_property
     def promo_redemptions(self) -> DataFrame:
-        return _utc_wall_time(self._fetch("promo_redemptions"))
+        return _declared(self._fetch("promo_redemptions"), "promo_redemptions")
 
     @cached_property
     def referral_earnings(self) -> DataFrame:
-        return _utc_wall_time(self._fetch("referral_earnings"))
+        return _declared(self._fetch("referral_earnings"), "referral_earnings")
 
     @property
     def spark(self) -> SparkSession:
@@ -91,6 +91,23 @@ def _utc_wall_time(df: DataFrame) -> DataFrame:
     return df
 
 
+def _declared(df: DataFrame, name: str) -> DataFrame:
+    """The table's columns in their declared types, with its day folder where it has one.
+
+    A source already in those types is passed on unchanged, so its filters still reach the files.
+    """
+    df = _utc_wall_time(df)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    columns = [
+        f.name
+        if have.get(f.name) == f.dataType
+        else F.col(f.name).cast(f.dataType).alias(f.name)
+        for f in T.StructType.fromDDL(SCHEMAS[name])
+    ]
+    day = f"{EVENT_TIME[name]}_day"
+    return df.select(*columns, *([day] if day in have else []))
+
+
 def read_core(spark: SparkSession, root: str) -> CoreTables:
     """Parquet folders ``<root>/<table>``, as left by :func:`snapshot_core`.
 
@@ -123,9 +140,7 @@ def read_core_jdbc(
                 upperBound=high,
                 numPartitions=str(slices),
             )
-        table = reader.load()
-        wanted = T.StructType.fromDDL(SCHEMAS[name])
-        return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+        return reader.load()
 
     return CoreTables(fetch)
 

@@ -272,14 +272,18 @@ def test_snapshot(spark, core, tmp_path, with_events):
         assert table(build(copied, SPAN, CFG)) == table(build(core, SPAN, CFG)), name
 
 
-def test_zone_aware_instants_are_read_as_utc(spark):
+def test_foreign_types_are_read_as_declared(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
-        df = spark.sql("SELECT timestamp'2024-01-01 00:00:00 UTC' AS timestamp")
-        got = cs.CoreTables(lambda name: df).orders.selectExpr("string(timestamp) AS t").first().t
+        df = spark.sql(
+            "SELECT 7 AS order_id, 9.999D AS stars, timestamp'2024-01-01 00:00:00 UTC' AS created_at"
+        )
+        table = cs.CoreTables(lambda name: df).referral_earnings
+        got = table.selectExpr("order_id", "stars", "string(created_at) AS t").first()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == "2024-01-01 00:00:00"
+    assert tuple(got) == ("7", 9, "2024-01-01 00:00:00")
+    assert [f.dataType.simpleString() for f in table.schema] == ["string", "int", "timestamp_ntz"]
 
 
 def test_work_folder_is_the_cluster_s(spark):

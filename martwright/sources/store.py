@@ -95,14 +95,20 @@ class MartStore:
         """Insert new keys, update known ones, keep the rest; ``rng`` spans the update's dates.
 
         Rows already stored in the touched months are carried over, then those month folders are
-        replaced as a whole. Running it again gives the same table.
+        replaced as a whole. Running it again gives the same table. An update outside ``rng``
+        stops the write, as it would replace a month whose rows were not carried over.
         """
         spec = MARTS[name]
+        period = F.col(spec.period)
+        refusal = F.raise_error(F.lit(f"{name} update outside {rng.start}..{rng.end}"))
+        checked = updates.withColumn(
+            spec.period, F.when(rng.holds(period), period).otherwise(refusal.cast("date"))
+        )
         merged = merge_rows(
-            self._months(name, rng).drop(MONTH), updates, spec.keys, instant(at)
+            self._months(name, rng).drop(MONTH), checked, spec.keys, instant(at)
         )
         (
-            merged.withColumn(MONTH, F.trunc(F.col(spec.period), "month"))
+            merged.withColumn(MONTH, F.trunc(period, "month"))
             .hint("rebalance", MONTH)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -60,7 +60,8 @@ def difference(df, con, sql: str) -> str | None:
     if got == want:
         return None
     extra, missing = list((got - want).items())[:3], list((want - got).items())[:3]
-    return f"rows: {sum(got.values())} vs {sum(want.values())}\n  {names}\n  only Spark {extra}\n  only SQL {missing}"
+    counts = f"rows: {sum(got.values())} vs {sum(want.values())}"
+    return f"{counts}\n  {names}\n  only Spark {extra}\n  only SQL {missing}"
 
 
 def main(args: list[str]) -> int:

@@ -89,7 +89,8 @@ def effective_profit(cfg: Settings) -> Column:
 
 def promo_discount() -> Column:
     paid = F.col("amount_rub")
-    return F.coalesce(F.col("amount_rub_original"), paid) - F.coalesce(paid, F.lit(0).cast(MONEY))
+    before = F.coalesce(F.col("amount_rub_original"), paid)
+    return before - F.coalesce(paid, F.lit(0).cast(MONEY))
 
 
 def bonus_cost() -> Column:

@@ -117,7 +117,9 @@ def backfill_full(env: Environment, rng: DateRange) -> int:
     return check_quality(env, rng)
 
 
-def incremental_refresh(env: Environment, mode: str = "today", as_of: dt.date | None = None) -> None:
+def incremental_refresh(
+    env: Environment, mode: str = "today", as_of: dt.date | None = None
+) -> None:
     """Recompute a rolling window; the longest one refreshes the recent cohorts as well."""
     day = as_of or env.cfg.today()
     backfill_daily(env, refresh_window(mode, day))

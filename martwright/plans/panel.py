@@ -127,7 +127,9 @@ def provider_bars(marts: Marts, rng: DateRange) -> DataFrame:
         .limit(BAR_COUNT)
         .select("payment_provider", F.col("revenue_rub").cast("double").alias("revenue_rub"))
     )
-    longest = bars.agg(F.greatest(F.coalesce(F.max("revenue_rub"), F.lit(1.0)), F.lit(1.0))).scalar()
+    longest = bars.agg(
+        F.greatest(F.coalesce(F.max("revenue_rub"), F.lit(1.0)), F.lit(1.0)).alias("m")
+    ).scalar()
     return bars.select(
         "payment_provider", "revenue_rub", (F.col("revenue_rub") / longest).alias("share_of_max")
     )

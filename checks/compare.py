@@ -90,8 +90,8 @@ def main(args: list[str]) -> int:
         except Exception as error:  # noqa: BLE001  one broken query must not hide the others
             found = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += found is not None
-        print(f"{"ok " if found is None else 'BAD'} {name} {time.time() - start:.1f}s {found or ''}",
-              flush=True)
+        verdict = "ok " if found is None else "BAD"
+        print(f"{verdict} {name} {time.time() - start:.1f}s {found or ''}", flush=True)
     print(f"{len(names) - bad}/{len(names)} agree")
     return bad
 

@@ -136,7 +136,8 @@ sale AS (
     ifnull(nullif(product_type, ''), 'unknown') AS prod
   FROM core_orders),
 pay AS (
-  SELECT p.id, p.order_id, p.created_at AS own_at, ifnull(p.created_at, o."timestamp") AS moment, {local('moment')} AS d,
+  SELECT p.id, p.order_id, p.created_at AS own_at,
+    ifnull(p.created_at, o."timestamp") AS moment, {local('moment')} AS d,
     replace(ifnull(nullif(p.provider, ''), 'unknown'), 'platega_status', 'platega') AS prov,
     ifnull(nullif(p.status, ''), 'unknown') AS st,
     CASE WHEN length(p.provider_txn_id) > 0 THEN prov || ':' || p.provider_txn_id
@@ -381,7 +382,8 @@ _FUNNEL = f"""
 SELECT cal.d AS date, {big('count(DISTINCT user_id)')} AS app_open_count,
   {big('count(order_id)')} AS product_view_count,
   {big('ifnull(count_if(paying), 0)')} AS checkout_start_count,
-  {big('count(order_id)')} AS order_created_count, {big('ifnull(count_if(ok), 0)')} AS order_paid_count,
+  {big('count(order_id)')} AS order_created_count,
+  {big('ifnull(count_if(ok), 0)')} AS order_paid_count,
   {ratio('count_if(paying)', 'count(order_id)')} AS open_to_checkout_rate,
   {ratio('count_if(paying)', 'count(order_id)')} AS checkout_to_created_rate,
   {ratio('count_if(ok)', 'count(order_id)')} AS created_to_paid_rate

@@ -68,7 +68,7 @@ def is_failed(cfg: Settings) -> Column:
 
 
 def effective_cost(cfg: Settings) -> Column:
-    """A positive recorded cost wins; gifts fall back to their default, the rest to what is there."""
+    """A positive recorded cost wins; else gifts take their default, the rest what is there."""
     cost = F.col("cost_rub")
     return (
         F.when(cost > 0, cost)

@@ -457,7 +457,8 @@ def test_summary_of_reversed_range_is_empty(tables):
 def test_user_list(tables):
     core = tables(
         users=[
-            {"user_id": "u1", "username": "Ann_B", "referrer_id": "", "created_at": utc("2024-01-01 21:30")},
+            {"user_id": "u1", "username": "Ann_B", "referrer_id": "",
+             "created_at": utc("2024-01-01 21:30")},
             {"user_id": "u2", "username": None, "created_at": utc("2024-01-01")},
             {"user_id": "x3", "username": "annie", "created_at": utc("2024-01-01")},
         ],

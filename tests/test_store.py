@@ -285,7 +285,8 @@ def test_foreign_types_are_read_as_declared(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
         df = spark.sql(
-            "SELECT 7 AS order_id, 9.999D AS stars, timestamp'2024-01-01 00:00:00 UTC' AS created_at"
+            "SELECT 7 AS order_id, 9.999D AS stars,"
+            " timestamp'2024-01-01 00:00:00 UTC' AS created_at"
         )
         table = cs.CoreTables(lambda name: df).referral_earnings
         got = table.selectExpr("order_id", "stars", "string(created_at) AS t").first()

@@ -24,6 +24,8 @@ from martwright.operators.workdir import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
+#: Nats by which a token must favour a class to count; what passes them is summed.
+STRONG = (1.0, 2.0)
 FIELDS = "struct<score:double, log_ratio:double, n_tokens:long>"
 #: Models: 0 and 1 without the labelled rows of that fold, 2 with all.
 FOLDS, WHOLE = 2, 2
@@ -57,20 +59,27 @@ class Difference:
                 return found
         return self.nothing
 
-    def text(self, text: str, memory: dict[str, float]) -> tuple[float, int]:
-        """(sum over the tokens, number of tokens). ``memory`` keeps words already looked up."""
+    def text(self, text: str, memory: dict[str, float]) -> tuple[float, float, float, int]:
+        """(sum over the tokens, sums of what passes 1 and 2 nats, number of tokens).
+
+        ``memory`` keeps words already looked up.
+        """
         words = tokens(text)
+        if not words:
+            return 0.0, 0.0, 0.0, 0
         if len(memory) > 500_000:
             memory.clear()
         for word in set(words).difference(memory):
             memory[word] = self.of_word(word)
-        total = sum(map(memory.__getitem__, words))
+        each = np.array(list(map(memory.__getitem__, words)))
         before = ["", *words[:-1]]
-        for i, step in enumerate(map(self.after.get, before[: len(words)])):
+        for i, step in enumerate(map(self.after.get, before)):
             if step is not None:
                 pair = self.pairs.get((before[i], words[i]))
-                total += step if pair is None else pair - memory[words[i]]
-        return total, len(words)
+                each[i] = each[i] + step if pair is None else pair
+        size = np.abs(each)
+        strong = [float((np.sign(each) * np.maximum(size - x, 0)).sum()) for x in STRONG]
+        return float(each.sum()), *strong, len(words)
 
 
 @dataclass
@@ -78,15 +87,20 @@ class Model:
     difference: Difference
     weights: np.ndarray
 
-    def score(self, total: float, count: int) -> float:
-        return float(1 / (1 + np.exp(-np.clip(features(total, count) @ self.weights, -50, 50))))
 
+def features(found: list[tuple]) -> np.ndarray:
+    """Length-normalised differences of the expressions that tell the classes apart, and length.
+
+    The many small differences are left out: they follow a text's language and subject, not its
+    tone, and add up with its length. A sum over n tokens varies as the root of n.
+    """
+    _, first, second, n = np.array(found, float).reshape(-1, 4).T
+    n = np.maximum(n, 1)
+    return np.stack([first / np.sqrt(n), second / np.sqrt(n), np.log1p(n), np.ones_like(n)], -1)
 
-def features(total, count) -> np.ndarray:
-    """Length-normalised differences, and the length itself."""
-    n = np.maximum(np.asarray(count, float), 1)
-    s = np.asarray(total, float)
-    return np.stack([s / n, s / np.sqrt(n), np.log1p(n), np.ones_like(n)], axis=-1)
+
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -50, 50)))
 
 
 def labelled_sample(
@@ -248,7 +262,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method; classes weigh as they are in the sample."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        p = probability(x, w)
         grad = x.T @ (p - y) + ridge * w
         hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
@@ -278,23 +292,27 @@ def learn(
 
     def outside(batches):
         for batch in batches:
-            rows, memory = [], {0: {}, 1: {}}
-            for toxic, fold, body in zip(*(batch.column(i).to_pylist() for i in range(3)),
-                                         strict=True):
+            memory = {0: {}, 1: {}}
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            toxic, rows = columns[0], [
                 # model f was learned without fold f
-                rows.append((toxic, *shared.value[fold].text(body, memory[fold])))
-            parts = list(zip(*rows, strict=True)) if rows else [[], [], []]
+                shared.value[fold].text(body, memory[fold])
+                for fold, body in zip(*columns[1:], strict=True)
+            ]
+            parts = [toxic, *(zip(*rows, strict=True) if rows else [[]] * 4)]
+            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.float64()),
-                 pa.array(parts[2], pa.int64())],
-                names=["toxic", "total", "n"],
+                [pa.array(list(v), k) for v, k in zip(parts, kinds, strict=True)],
+                names=["toxic", "a", "b", "c", "n"],
             )
 
-    scored = sample.mapInArrow(outside, "toxic int, total double, n long").collect()
+    scored = sample.mapInArrow(
+        outside, "toxic int, a double, b double, c double, n long"
+    ).collect()  # five numbers for each row of the bounded sample
     y = np.array([r["toxic"] for r in scored], float)
     if len(set(y)) < 2:
         return Model(models[WHOLE], np.array([0.0, 0.0, 0.0, -50.0]))
-    x = features([r["total"] for r in scored], [r["n"] for r in scored])
+    x = features([tuple(r)[1:] for r in scored])
     return Model(models[WHOLE], fit_weights(x, y))
 
 
@@ -311,11 +329,10 @@ def with_toxicity(
     def judge(column: pa.Array) -> pa.Array:
         memory: dict[str, float] = {}
         found = [shared.value.difference.text(x, memory) for x in texts_of(column)]
+        count = np.array([x[3] for x in found], np.int64)
         total = np.array([x[0] for x in found], float)
-        count = np.array([x[1] for x in found], np.int64)
-        z = features(total, count).reshape(-1, 4) @ shared.value.weights
         return pa.StructArray.from_arrays(
-            [pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50)))),
+            [pa.array(probability(features(found), shared.value.weights)),
              pa.array(total / np.maximum(count, 1)), pa.array(count)],
             ["score", "log_ratio", "n_tokens"],
         )

@@ -2,7 +2,7 @@
 
 A model's events are words after the word before them. Of each count the first ``discount`` go to
 the level below: from a word after a word to the word alone (there, by Kneser-Ney's rule, a word
-counts once for each word it follows), from the word to its first letters, six, five, four, and
+counts once for each word it follows, and no more than it has texts), from the word to its first letters, six, five, four, and
 from there to a pool that both classes share. So an expression seen a few times says nothing about
 a class, a frequent one says much, and an unseen ending of a known stem is judged by its stem.
 Shared factors cancel in the difference of the two log-likelihoods; only differences are kept.
@@ -27,6 +27,8 @@ STEMS = (6, 5, 4)
 #: Nats by which a token must favour a class to count; what passes them is summed.
 STRONG = (1.0, 2.0)
 FIELDS = "struct<score:double, log_ratio:double, n_tokens:long>"
+#: Stands for the word before in rows that count a word's texts; no token has it.
+DOCUMENT = "\n"
 #: Models: 0 and 1 without the labelled rows of that fold, 2 with all.
 FOLDS, WHOLE = 2, 2
 
@@ -132,7 +134,8 @@ def labelled_sample(
 
 
 def _pair_counts(sample: DataFrame) -> DataFrame:
-    """(model, toxic, h, w, n): how often w follows h ('' at a text's start)."""
+    """(model, toxic, h, w, n): in how many texts w follows h ('': it comes first), or stands at
+    all (h is DOCUMENT)."""
 
     def count(batches):
         for batch in batches:
@@ -140,7 +143,8 @@ def _pair_counts(sample: DataFrame) -> DataFrame:
             for toxic, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)),
                                          strict=True):
                 words = tokens(text)
-                for pair in zip(["", *words], words, strict=False):
+                once = {*zip(["", *words], words, strict=False), *((DOCUMENT, w) for w in words)}
+                for pair in once:  # a text that repeats itself says a thing once
                     found[(toxic, fold, *pair)] += 1
             keys = list(zip(*found, strict=True)) if found else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +175,9 @@ def learn_differences(sample: DataFrame, discount: float) -> dict[int, Differenc
     whose number the sample bounds.
     """
     low = F.least(F.col("n").cast("double"), F.lit(float(discount)))
-    pairs = materialize(_pair_counts(sample))
+    counted = materialize(_pair_counts(sample))
+    in_texts = F.col("h") == DOCUMENT
+    pairs = counted.where(~in_texts)
     both = F.greatest("n0", "n1") > discount
     listed_pairs = pairs.groupBy("model", "h", "w").agg(*_by_class("n")).where(both)
     listed = listed_pairs.collect()
@@ -182,8 +188,11 @@ def learn_differences(sample: DataFrame, discount: float) -> dict[int, Differenc
         .where((F.col("n0") > F.col("r0")) | (F.col("n1") > F.col("r1")))
         .collect()
     )
+    # A word counts once for each word it follows, and no more than it has texts.
     level = materialize(
-        pairs.groupBy("model", "toxic", F.col("w").alias("u")).agg(F.count("*").alias("n"))
+        counted.groupBy("model", "toxic", F.col("w").alias("u")).agg(
+            F.least(F.count_if(~in_texts), F.max(F.when(in_texts, F.col("n")))).alias("n")
+        )
     )
     sizes = {
         (r["model"], r["toxic"]): float(r["n"])

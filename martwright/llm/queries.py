@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import compression_bands, kn_toxicity
+from martwright.llm import compression_bands, dart_minhash, kn_toxicity
 from martwright.llm.rows import fold_of
 from martwright.llm.ship import ship
 
@@ -46,6 +46,12 @@ def op5_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 @query
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

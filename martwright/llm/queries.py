@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import compression_bands, dart_minhash, kn_toxicity
+from martwright.llm import compression_bands, dart_minhash, kn_toxicity, sparse_suffixes
 from martwright.llm.rows import fold_of
 from martwright.llm.ship import ship
 
@@ -59,3 +59,9 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
              "kept", "ratio", "n_chunks", "n_repetitive", "n_incompressible")
     judged = compression_bands.with_quality(docs)
     return judged.select("doc_id", *[F.col(f"quality_rules.{x}").alias(x) for x in names])
+
+
+@query
+def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sparse_suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.inline("spans").alias("start_word", "end_word"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright.llm.rows import texts_of, with_text_column
-from martwright.operators.workdir import materialize
+from martwright.llm.tables import keep
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -31,6 +33,7 @@ FIELDS = "struct<score:double, log_ratio:double, n_tokens:long>"
 DOCUMENT = "\n"
 #: Models: 0 and 1 without the labelled rows of that fold, 2 with all.
 FOLDS, WHOLE = 2, 2
+CELLS = [f"n{fold}{toxic}" for fold in range(FOLDS) for toxic in (0, 1)]
 
 
 def tokens(text: str) -> list[str]:
@@ -134,38 +137,34 @@ def labelled_sample(
 
 
 def _pair_counts(sample: DataFrame) -> DataFrame:
-    """(model, toxic, h, w, n): in how many texts w follows h ('': it comes first), or stands at
+    """(h, w, n<fold><class>...): in how many texts w follows h ('': it comes first), or stands at
     all (h is DOCUMENT)."""
 
     def count(batches):
         for batch in batches:
-            found: dict[tuple, int] = defaultdict(int)
+            found: dict[tuple, list[int]] = defaultdict(lambda: [0] * (2 * FOLDS))
             for toxic, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)),
                                          strict=True):
                 words = tokens(text)
                 once = {*zip(["", *words], words, strict=False), *((DOCUMENT, w) for w in words)}
                 for pair in once:  # a text that repeats itself says a thing once
-                    found[(toxic, fold, *pair)] += 1
-            keys = list(zip(*found, strict=True)) if found else [[], [], [], []]
+                    found[pair][2 * fold + toxic] += 1
+            keys = list(zip(*found, strict=True)) if found else [[], []]
+            sums = list(zip(*found.values(), strict=True)) if found else [[]] * (2 * FOLDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int32()),
-                 pa.array(keys[2], pa.string()), pa.array(keys[3], pa.string()),
-                 pa.array(list(found.values()), pa.int64())],
-                names=["toxic", "fold", "h", "w", "n"],
+                [*(pa.array(k, pa.string()) for k in keys),
+                 *(pa.array(list(n), pa.int64()) for n in sums)],
+                names=["h", "w", *CELLS],
             )
 
-    counted = sample.mapInArrow(count, "toxic int, fold int, h string, w string, n long")
-    models = F.explode(F.array(F.lit(WHOLE), F.lit(1) - F.col("fold")))
-    return (
-        counted.select(models.alias("model"), "toxic", "h", "w", "n")
-        .groupBy("model", "toxic", "h", "w")
-        .agg(F.sum("n").alias("n"))
-    )
+    schema = ", ".join(["h string", "w string", *(f"{c} long" for c in CELLS)])
+    return sample.mapInArrow(count, schema).groupBy("h", "w").agg(*[F.sum(c).alias(c) for c in CELLS])
 
 
-def _by_class(name: str):
-    return [F.sum(F.when(F.col("toxic") == c, F.col(name)).otherwise(0)).alias(f"{name}{c}")
-            for c in (0, 1)]
+def _in_model(model: int, toxic: int):
+    """A pair's count in a model: of the other fold, or of all."""
+    folds = range(FOLDS) if model == WHOLE else [f for f in range(FOLDS) if f != model]
+    return sum((F.col(f"n{f}{toxic}") for f in folds), F.lit(0))
 
 
 def learn_differences(sample: DataFrame, discount: float) -> dict[int, Difference]:
@@ -174,75 +173,105 @@ def learn_differences(sample: DataFrame, discount: float) -> dict[int, Differenc
     What comes to the driver are expressions seen more than ``discount`` times in the sample,
     whose number the sample bounds.
     """
-    low = F.least(F.col("n").cast("double"), F.lit(float(discount)))
-    counted = materialize(_pair_counts(sample))
+    def low(x):
+        return F.least(x.cast("double"), F.lit(float(discount)))
+
+    cells = [(m, c) for m in range(FOLDS + 1) for c in (0, 1)]
+    name = {cell: f"m{cell[0]}{cell[1]}" for cell in cells}
+    often = reduce(or_, [F.col(name[cell]) > discount for cell in cells])
+    counted = keep(
+        _pair_counts(sample).select(
+            "h", "w", *[_in_model(*cell).alias(name[cell]) for cell in cells]
+        ),
+        "pairs",
+    )
     in_texts = F.col("h") == DOCUMENT
     pairs = counted.where(~in_texts)
-    both = F.greatest("n0", "n1") > discount
-    listed_pairs = pairs.groupBy("model", "h", "w").agg(*_by_class("n")).where(both)
+    listed_pairs = pairs.where(often)
     listed = listed_pairs.collect()
     context = (
-        pairs.withColumn("r", low)
-        .groupBy("model", "h")
-        .agg(*_by_class("n"), *_by_class("r"))
-        .where((F.col("n0") > F.col("r0")) | (F.col("n1") > F.col("r1")))
+        pairs.groupBy("h")
+        .agg(*[F.sum(name[x]).alias(name[x]) for x in cells],
+             *[F.sum(low(F.col(name[x]))).alias(f"r{name[x]}") for x in cells])
+        .where(reduce(or_, [F.col(name[x]) > F.col(f"r{name[x]}") for x in cells]))
         .collect()
     )
     # A word counts once for each word it follows, and no more than it has texts.
-    level = materialize(
-        counted.groupBy("model", "toxic", F.col("w").alias("u")).agg(
-            F.least(F.count_if(~in_texts), F.max(F.when(in_texts, F.col("n")))).alias("n")
-        )
+    level = keep(
+        counted.groupBy(F.col("w").alias("u")).agg(
+            *[F.least(F.count_if(~in_texts & (F.col(name[x]) > 0)),
+                      F.max(F.when(in_texts, F.col(name[x])))).alias(name[x]) for x in cells]
+        ),
+        "words",
     )
-    sizes = {
-        (r["model"], r["toxic"]): float(r["n"])
-        for r in level.groupBy("model", "toxic").agg(F.sum("n").alias("n")).collect()
-    }
+    sums = [F.sum(name[x]).alias(name[x]) for x in cells]
+    totals = level.agg(*sums).first()
+    sizes = {x: float(totals[name[x]] or 0) for x in cells}
+
+    # Down from the word to the shortest stem: what the discount leaves to each stem.
     tables = []
     for size in [*STEMS, 0]:
-        split = level.withColumn("r", low).withColumn("p", F.expr(f"left(u, {size})"))
-        units = split.groupBy("model", "u", "p").agg(*_by_class("n"), F.sum("r").alias("r"))
-        parents = split.groupBy("model", "p").agg(F.sum("r").alias("rp"))
-        tables.append(units.join(parents, ["model", "p"]))
-        level = split.groupBy("model", "toxic", F.col("p").alias("u")).agg(F.sum("r").alias("n"))
-    rest = {(r["model"], r["toxic"]): float(r["n"]) for r in level.collect()}
-
-    # Each unit's probability in the shared pool, from the shortest stem up to the word.
-    above, levels = None, []
+        split = level.withColumn("p", F.expr(f"left(u, {size})"))
+        tables.append(split)
+        level = keep(
+            split.groupBy("p").agg(*[F.sum(low(F.col(name[x]))).alias(name[x]) for x in cells])
+            .withColumnRenamed("p", "u"),
+            "stems",
+        )
+    last = level.first()
+    rest = {x: float(last[name[x]] or 0) if last else 0.0 for x in cells}
+    # Up again: each unit's probability in the pool of each model, then what is seen often.
+    pools = [f"s{m}" for m in range(FOLDS + 1)]
+    above = level.select("u", *[F.lit(1.0).alias(s) for s in pools],
+                         *[(F.col(name[(m, 0)]) + F.col(name[(m, 1)])).alias(f"p{m}")
+                           for m in range(FOLDS + 1)])
+    levels = []
     for table in reversed(tables):
-        if above is None:
-            shared = table.withColumn("s", F.col("r") / F.col("rp"))
+        upper = above.select(F.col("u").alias("p"), *[F.col(s).alias(f"up{s}") for s in pools],
+                             *[F.col(f"p{m}") for m in range(FOLDS + 1)])
+        joined = table.join(upper, "p")
+        mass = [low(F.col(name[(m, 0)])) + low(F.col(name[(m, 1)])) for m in range(FOLDS + 1)]
+        shares = [(mass[m] / F.greatest(F.col(f"p{m}"), F.lit(1e-9)) * F.col(f"ups{m}"))
+                  .alias(f"s{m}") for m in range(FOLDS + 1)]
+        here = keep(joined.select("u", *[name[x] for x in cells], *shares), "pool")
+        # Pooled counts of the units as parents of the next level.
+        above = here.select("u", *pools)
+        if table is not tables[0]:
+            below = tables[tables.index(table) - 1]
+            parents = below.groupBy("p").agg(
+                *[F.sum(low(F.col(name[(m, 0)])) + low(F.col(name[(m, 1)]))).alias(f"p{m}")
+                  for m in range(FOLDS + 1)]
+            ).withColumnRenamed("p", "u")
+            above = above.join(parents, "u")
+            wanted = here.where(often)
         else:
-            upper = above.select("model", F.col("u").alias("p"), F.col("s").alias("sp"))
-            shared = table.join(upper, ["model", "p"]).withColumn(
-                "s", F.col("r") / F.col("rp") * F.col("sp")
-            )
-        above = shared.select("model", "u", "n0", "n1", "s")
-        wanted = above.where(both)
-        if table is tables[0]:
-            in_pairs = listed_pairs.select("model", F.col("w").alias("u")).distinct()
-            wanted = wanted.union(above.where(~both).join(in_pairs, ["model", "u"], "left_semi"))
+            in_pairs = listed_pairs.select(F.col("w").alias("u")).distinct()
+            wanted = here.where(often).union(here.where(~often).join(in_pairs, "u", "left_semi"))
         levels.append(wanted.collect())
 
     out = {}
     for model in range(FOLDS + 1):
-        total = [max(sizes.get((model, c), 0.0), 1.0) for c in (0, 1)]
+        total = [max(sizes[(model, c)], 1.0) for c in (0, 1)]
+        cols = [name[(model, c)] for c in (0, 1)]
         # The mass of the pool in each class; a class without rows gets some.
-        pool = tuple(max(rest.get((model, c), 0.0), 0.5) / total[c] for c in (0, 1))
+        pool = tuple(max(rest[(model, c)], 0.5) / total[c] for c in (0, 1))
         known: list[dict[str, tuple[float, float]]] = []
         scale: dict[str, float] = {}
         for rows in levels:
             here: dict[str, tuple[float, float]] = {}
-            for r in (r for r in rows if r["model"] == model):
+            for r in rows:
+                share = r[f"s{model}"]
+                if not share or (max(r[cols[0]], r[cols[1]]) <= discount and rows is not levels[-1]):
+                    continue
                 below = pool
                 for size, stems in zip(STEMS[len(STEMS) - len(known):], reversed(known),
                                        strict=True):
                     if r["u"][:size] in stems:
                         below = stems[r["u"][:size]]
                         break
-                own = [max(r[f"n{c}"] - discount, 0.0) / total[c] for c in (0, 1)]
-                here[r["u"]] = tuple(o / r["s"] + b for o, b in zip(own, below, strict=True))
-                scale[r["u"]] = r["s"]  # in the end the words'
+                own = [max(r[c] - discount, 0.0) / n for c, n in zip(cols, total, strict=True)]
+                here[r["u"]] = tuple(o / share + b for o, b in zip(own, below, strict=True))
+                scale[r["u"]] = share  # in the end the words'
             known.append(here)
 
         def ratio(p: tuple[float, float]) -> float:
@@ -251,15 +280,19 @@ def learn_differences(sample: DataFrame, discount: float) -> dict[int, Differenc
         *stems, words = [{u: ratio(p) for u, p in k.items()} for k in known]
         result = Difference(words, stems[::-1], ratio(pool), {}, {})
         seen = {}
-        for r in (r for r in context if r["model"] == model):
-            n = [float(r["n0"]), float(r["n1"])]
-            kept = [r[f"r{c}"] / n[c] if n[c] else 1.0 for c in (0, 1)]
-            seen[r["h"]] = n, kept
-            result.after[r["h"]] = ratio(tuple(kept))
-        for r in (r for r in listed if r["model"] == model):
+        for r in context:
+            n = [float(r[c]) for c in cols]
+            kept = [r[f"r{c}"] / x if x else 1.0 for c, x in zip(cols, n, strict=True)]
+            if min(kept) < 1.0:
+                seen[r["h"]] = n, kept
+                result.after[r["h"]] = ratio(tuple(kept))
+        for r in listed:
+            if r["h"] not in seen or max(r[cols[0]], r[cols[1]]) <= discount:
+                continue
             n, kept = seen[r["h"]]
             single = known[-1][r["w"]]
-            own = [max(r[f"n{c}"] - discount, 0.0) / n[c] if n[c] else 0.0 for c in (0, 1)]
+            own = [max(r[c] - discount, 0.0) / x if x else 0.0
+                   for c, x in zip(cols, n, strict=True)]
             result.pairs[(r["h"], r["w"])] = ratio(
                 tuple(own[c] + kept[c] * single[c] * scale[r["w"]] for c in (0, 1))
             )
@@ -295,7 +328,7 @@ def learn(
     The two models of a fold score the other fold's rows; on these scores the weights are fitted,
     so that they are those of unseen texts. Without rows of both classes every score is 0.
     """
-    sample = materialize(labelled_sample(docs, labels, per_class, doc_id, text, label))
+    sample = keep(labelled_sample(docs, labels, per_class, doc_id, text, label), "labelled")
     models = learn_differences(sample, discount)
     shared = docs.sparkSession.sparkContext.broadcast({k: models[k] for k in range(FOLDS)})
 

@@ -89,7 +89,7 @@ def signatures(text, element, weight, texts: int, coordinates: int = COORDINATES
         turn = 0
         while len(doc):
             turn += 1
-            dart = mix(base + np.uint64(turn) * _STEP)
+            dart = mix(base + np.uint64(turn * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
             u = (dart >> np.uint64(11)).astype(float) * _UNIT
             rank = rank - np.log1p(-u) / wide
             live = rank <= bound[doc]

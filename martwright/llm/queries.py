@@ -8,7 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import compression_bands, dart_minhash, kn_toxicity, sparse_suffixes
+from martwright.llm import (
+    best_fit_packing,
+    compression_bands,
+    dart_minhash,
+    kn_toxicity,
+    sparse_suffixes,
+)
 from martwright.llm.rows import fold_of
 from martwright.llm.ship import ship
 
@@ -30,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -242,16 +242,21 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def cut_repeats(
-    docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    size: str | None = None,
 ) -> DataFrame:
     """``docs`` without the words in ``spans`` and the blanks after them; all rows and columns stay.
 
     A text that repeats others from end to end becomes empty. Rows without spans are unchanged.
+    ``size``: a column that gets the number of characters of a text that was cut.
     """
     cuts = spans.select(F.col(doc_id).alias("__id"), F.col("spans").alias("__spans"))
-    cut = arrow_udf(_cut, "string")
+    cut = arrow_udf(_cut, "string").asNondeterministic()  # once a row, though used twice
     has = F.col("__spans").isNotNull()
     joined = docs.join(cuts, F.col(doc_id).cast("long") == F.col("__id"), "left")
-    return joined.withColumn(
-        text, F.when(has, cut(F.col(text).cast("string"), "__spans")).otherwise(F.col(text))
-    ).select(*docs.columns)
+    left = joined.withColumn("__left", cut(F.col(text).cast("string"), "__spans"))
+    new = {text: F.when(has, F.col("__left")).otherwise(F.col(text))}
+    if size is not None and size in docs.columns:
+        kind = docs.schema[size].dataType
+        new[size] = F.when(has, F.char_length("__left").cast(kind)).otherwise(F.col(size))
+    return left.withColumns(new).select(*docs.columns)

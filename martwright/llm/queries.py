@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from martwright.llm import (
     best_fit_packing,
+    bpe_tree,
     compression_bands,
     dart_minhash,
     kn_toxicity,
@@ -36,6 +37,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary's place is this query's parameter
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe_tree.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    vocabulary = bpe_tree.share(spark, ranks, public_tokenizers.PATTERN)
+    coded = bpe_tree.with_bytes(bpe_tree.with_tokens(docs, vocabulary), vocabulary)
+    # An array as text is [1, 2, 3].
+    listed = F.expr("trim(BOTH '[]' FROM replace(cast(ids AS string), ',', ''))")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))

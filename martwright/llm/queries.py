@@ -12,7 +12,9 @@ from martwright.llm import (
     best_fit_packing,
     bpe_tree,
     compression_bands,
+    cross_parsing,
     dart_minhash,
+    itq_hamming,
     kn_toxicity,
     sparse_suffixes,
 )
@@ -91,6 +93,26 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality_rules.{x}").alias(x) for x in names])
 
 
+@query
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    automata = cross_parsing.learn(docs.where(~held_out))
+    found = cross_parsing.with_language(docs.drop("lang"), automata)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.bits").alias("bits"),
+    )
+
+
+@query
+def op9_itq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_hamming.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sparse_suffixes.repeated_passages(table(spark, sf_dir, "documents"))

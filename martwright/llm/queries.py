@@ -16,6 +16,7 @@ from martwright.llm import (
     dart_minhash,
     itq_hamming,
     kn_toxicity,
+    quote_links,
     sparse_suffixes,
 )
 from martwright.llm.rows import fold_of
@@ -39,6 +40,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msg_id, text): the turns of ``conversations`` as mail. Each turn quotes the turn before it
+    and, one level deeper, what that one quoted first."""
+    turns = (
+        table(spark, sf_dir, "conversations")
+        .where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+        .groupBy("conv_id", "turn")
+        .agg(F.coalesce(F.max("text"), F.lit("")).alias("text"),
+             F.coalesce(F.max("role"), F.lit("someone")).alias("role"))
+    )
+
+    def quoted(back: int) -> DataFrame:
+        mark = "> " * back
+        lines = F.concat(F.lit(mark), F.replace("text", F.lit("\n"), F.lit("\n" + mark)))
+        head = F.concat(F.lit("> " * (back - 1) + "On an earlier day the "), "role",
+                        F.lit(" wrote:\n"))
+        return turns.select("conv_id", (F.col("turn") + back).alias("turn"),
+                            F.concat(head, lines).alias(f"quote{back}"))
+
+    both = turns.join(quoted(1), ["conv_id", "turn"], "left").join(
+        quoted(2), ["conv_id", "turn"], "left"
+    )
+    mail = F.concat_ws("\n", "text", F.when(F.col("quote1").isNotNull(), ""), "quote1", "quote2")
+    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), mail.alias("text"))
+
+
+@query
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.conversations(mailbox(spark, sf_dir))
+
+
+# States what the mailbox quotes instead of parsing it.
+ORACLE["op1_quote_links"] = r"""
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, conv_id * 1000 + turn AS id, coalesce(max(text), '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), said AS (
+    SELECT DISTINCT id, conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS print
+    FROM (SELECT id, conv_id, turn, unnest(regexp_split_to_array(text, '\n(?:\s*\n)+')) AS p
+          FROM turns)
+), prints AS (
+    SELECT * FROM said WHERE print <> ''
+), firsts AS (
+    SELECT print, min(id) AS original FROM prints GROUP BY print
+), quotes AS (
+    SELECT t.id, 1 AS level, p.print FROM turns t JOIN prints p
+    ON p.conv_id = t.conv_id AND p.turn = t.turn - 1
+    UNION ALL
+    SELECT t.id, 2, p.print FROM turns t JOIN prints p
+    ON p.conv_id = t.conv_id AND p.turn = t.turn - 2
+), links AS (
+    SELECT q.id, f.original,
+        row_number() OVER (PARTITION BY q.id ORDER BY q.level, f.original DESC) AS k
+    FROM quotes q JOIN firsts f USING (print) WHERE f.original < q.id
+), replies AS (
+    SELECT t.id, l.original AS parent, t.text
+    FROM turns t LEFT JOIN links l ON l.id = t.id AND l.k = 1
+), chain AS (
+    SELECT id, id AS root, 0 AS depth FROM replies WHERE parent IS NULL
+    UNION ALL
+    SELECT r.id, c.root, c.depth + 1 FROM replies r JOIN chain c ON r.parent = c.id
+)
+SELECT c.id AS message_id, c.root AS conversation_id, r.parent AS parent_id,
+    CAST(c.depth AS BIGINT) AS depth,
+    row_number() OVER (PARTITION BY c.root ORDER BY c.id) - 1 AS position,
+    regexp_replace(regexp_replace(r.text, '^\s+', ''), '\s+$', '') AS body
+FROM chain c JOIN replies r USING (id)
+"""
+
+
 @query
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the vocabulary's place is this query's parameter

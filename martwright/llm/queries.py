@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from martwright.llm import (
     best_fit_packing,
     bpe_tree,
+    brown_ngrams,
     compression_bands,
     cross_parsing,
     dart_minhash,
@@ -110,6 +111,12 @@ FROM chain c JOIN replies r USING (id)
 """
 
 
+@query
+def op2_brown_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    return brown_ngrams.score(table(spark, sf_dir, "documents"), held_out)
+
+
 @query
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the vocabulary's place is this query's parameter

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.rows import with_text_column
+from martwright.llm.rows import hash_sample, with_text_column
 
 #: Parsing starts anew after so many bytes, so that a text of any length is parsed side by side.
 BLOCK = 1024
@@ -149,9 +149,7 @@ def learn(
         F.col(lang).cast("string").alias("lang"), draw.alias("draw"),
         F.substring(F.col(text), start, F.lit(row_chars)).alias("piece"),
     )
-    order = Window.partitionBy("lang").orderBy("draw", "piece")
-    # Spark keeps the first rows of each language before it shuffles them.
-    chosen = pieces.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows)
+    chosen = hash_sample(pieces, "lang", sample_rows, "draw", "piece")
     rows = chosen.orderBy("lang", "draw", "piece").select("lang", "piece").collect()
     samples: dict[str, list[bytes]] = {}
     for row in rows:

@@ -18,10 +18,10 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.rows import texts_of, with_text_column
+from martwright.llm.rows import hash_sample, texts_of, with_text_column
 from martwright.llm.tables import keep
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -72,7 +72,7 @@ class Difference:
         words = tokens(text)
         if not words:
             return 0.0, 0.0, 0.0, 0
-        if len(memory) > 500_000:
+        if len(memory) > 150_000:
             memory.clear()
         for word in set(words).difference(memory):
             memory[word] = self.of_word(word)
@@ -123,10 +123,7 @@ def labelled_sample(
         .join(docs.where(F.col(text).isNotNull()).select(key.alias("__key")).distinct(), "__key",
               "left_semi")
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("__key"), "__key")
-    chosen = marked.withColumn("__rank", F.row_number().over(order)).where(
-        F.col("__rank") <= per_class
-    )
+    chosen = hash_sample(marked, "toxic", per_class, "__key")
     texts = docs.select(key.alias("__key"), F.col(text).alias("text"))
     return (
         texts.join(F.broadcast(chosen), "__key")  # at most 2 * per_class short rows

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -53,6 +55,24 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         start = stop
 
 
+def hash_sample(df: DataFrame, label: str, most: int, *key: str) -> DataFrame:
+    """``most`` rows of each label value, or all it has: those with the smallest hashes of ``key``.
+
+    Counts come first, so that about twice as many rows as are taken reach the task that ranks a
+    label's; the driver gets one number for each label value.
+    """
+    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    share = [
+        (F.col(label) == r[0]) & (draw < int(min(1.0, (2 * most + 100) / r[1]) * (1 << 40)))
+        for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    ]
+    some = df.where(reduce(or_, share, F.lit(False)))
+    order = Window.partitionBy(label).orderBy(draw, *key)
+    return some.withColumn("__rank", F.row_number().over(order)).where(
+        F.col("__rank") <= most
+    ).drop("__rank")
+
+
 class Words:
     """The words of some texts as arrays: runs of bytes other than x20 and x09-x0D.
 

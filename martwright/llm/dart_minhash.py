@@ -35,6 +35,9 @@ from martwright.llm.tables import components, keep
 SHINGLE = 5
 COORDINATES, BAND_SIZE = 100, 5
 SIMILARITY = 0.8
+#: Members of a bucket that are compared in one task are those of two blocks of about this size.
+BLOCK = 256
+COLUMNS = 8192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
 
@@ -213,10 +216,11 @@ def near_duplicates(
 def _links(docs, distinct, doc_id, text, similarity) -> DataFrame:
     """(a, b): enough links between distinct texts to connect all that candidate pairs connect.
 
-    In a bucket (a shared band) everyone is compared with its smallest node. Only where a bucket
-    still holds more than one class are others tried: of a random part of its members, larger each
-    round until it is the whole bucket, those of other classes. So a tight group of m texts costs
-    m comparisons a band, and no pair that could connect two classes is left out.
+    In a bucket (a shared band) everyone is compared with its smallest node. Where that leaves a
+    bucket with more than one class, all members of different classes are compared, block against
+    block inside tasks, and only links come out: of those of one task no more than connect its
+    classes. So a tight group of m texts costs m comparisons a band, a loose one no more than
+    its blocks, and no candidate pair that could connect two classes is left out.
     """
     entries = distinct.select(
         "node", F.posexplode("bands").alias("band", "value")
@@ -228,7 +232,6 @@ def _links(docs, distinct, doc_id, text, similarity) -> DataFrame:
     pairs = members.where(F.col("node") != F.col("hub")).select(
         F.col("hub").alias("a"), F.col("node").alias("b")
     ).distinct()
-    pairs = keep(pairs, "pairs")
     nodes = members.select(F.col("node").alias("id")).distinct()
     texts = keep(
         docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -248,37 +251,91 @@ def _links(docs, distinct, doc_id, text, similarity) -> DataFrame:
             "verified",
         )
 
-    tested, links = pairs, verified(pairs)
-    share = 16.0
-    while True:
-        classes = components(links)
-        placed = members.join(classes, "node", "left").select(
-            "bucket", "node", "size", F.coalesce("component", "node").alias("class")
-        )
-        mixed = placed.groupBy("bucket").agg(
-            F.min("class").alias("least"), F.max("class").alias("most")
-        ).where(F.col("least") != F.col("most")).select("bucket")
-        members = keep(placed.join(mixed, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            return links
-        part = F.lit(share) / F.col("size")
-        chance = F.pmod(F.xxhash64("node", F.lit(share)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-        hubs = members.where(chance < part).select(
-            "bucket", F.col("node").alias("a"), F.col("class").alias("class_a")
-        )
-        pairs = (
-            hubs.join(members, "bucket")
-            .where(F.col("class_a") != F.col("class"))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = keep(pairs, "pairs")
-        links = links.union(verified(pairs))
-        tested = tested.union(pairs)
-        # Buckets of which every member has been tried are done.
-        members = members.where(F.col("size") > share).select("bucket", "node", "size")
-        share *= 8
+    links = verified(pairs)
+    placed = members.join(components(links), "node", "left").select(
+        "bucket", "node", "size", F.coalesce("component", "node").alias("class")
+    )
+    mixed = placed.groupBy("bucket").agg(
+        F.min("class").alias("least"), F.max("class").alias("most")
+    ).where(F.col("least") != F.col("most")).select("bucket")
+    loose = keep(placed.join(mixed, "bucket", "left_semi"), "loose")
+    elements = arrow_udf(_elements, "array<int>").asNondeterministic()
+    sets = keep(
+        texts.join(loose.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+        .select(F.col("id").alias("node"), elements("text").alias("elements")),
+        "sets",
+    )
+    blocks = F.ceil(F.col("size") / BLOCK)
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    meets = loose.select(
+        "bucket", "node", "class", mine.alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"),
+    ).select("bucket", "node", "class", F.least("mine", "other").alias("i"),
+             F.greatest("mine", "other").alias("j"))
+    found = meets.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(
+        _between_classes(similarity), "a long, b long"
+    )
+    return links.union(verified(found.distinct()))
+
+
+def _elements(texts: pa.Array) -> pa.Array:
+    """A text's shingles as short hashes, one for each occurrence: the third of a shingle is
+    another element than its first. Equal elements stay equal, so a similarity by them is never
+    too small."""
+    flat, ends = [], [np.zeros(1, np.int64)]
+    for _, part in slices(texts):
+        _, _, text, grams = shingles(part)
+        text, grams, weight = weigh(text, grams)
+        count = weight.astype(np.int64)
+        layer = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        each = mix(np.repeat(grams, count) + layer.astype(np.uint64) * _STEP)
+        flat.append((each >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        sizes = np.bincount(text, count, len(part)).astype(np.int64)
+        ends.append(ends[-1][-1] + np.cumsum(sizes))
+    values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(values))
+
+
+def _between_classes(similarity: float):
+    def fn(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        label = rows.column("class").to_numpy()
+        lists = rows.column("elements").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[tuple[int, int]] = []
+        if len(set(label.tolist())) > 1:
+            owner = np.repeat(np.arange(len(node)), size)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = count[column] > 1  # what one text alone has meets nothing
+            order = np.argsort(column[shared], kind="stable")
+            owner, column = owner[shared][order], column[shared][order]
+            common = np.zeros((len(node), len(node)), np.float32)
+            edges = np.searchsorted(column, np.arange(0, len(count) + COLUMNS, COLUMNS))
+            for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if high > low:
+                    has = np.zeros((len(node), COLUMNS), np.float32)
+                    has[owner[low:high], column[low:high] - k * COLUMNS] = 1
+                    common += has @ has.T
+            whole = size[:, None] + size[None, :] - common
+            near = (common >= similarity * whole * (1 - 1e-6)) & (label[:, None] != label[None, :])
+            parent = {x: x for x in label.tolist()}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, j in np.argwhere(np.triu(near, 1)):
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()),
+                         "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return fn
 
 
 def filter_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from martwright.functions import attempts as att
 from martwright.functions import calendar as cal
 from martwright.functions import values as v
+from martwright.operators.frames import clamp_limit
 from martwright.operators.workdir import new_folder
 from martwright.plans import insights, jobs, marts, metrics, panel, payments, quality
 from martwright.plans.marts import MARTS, Marts, derive_marts
@@ -122,11 +123,13 @@ on_marts("q_top_product", lambda core, m: metrics.top_product(m, FULL))
 
 on_marts("q_day_breakdown", lambda core, m: metrics.day_breakdown(core, m, DAY, CFG))
 on_core("q_day_buyers", lambda core: metrics.day_buyers(core, DAY, CFG))
-on_core("q_day_orders", lambda core: metrics.day_orders(core, DAY, CFG))
+on_core("q_day_orders", lambda core: metrics.day_orders(core, DAY, CFG, 300))
+on_core("q_day_orders_all", lambda core: metrics.day_orders(core, DAY, CFG))
 on_core("q_funnel", lambda core: metrics.funnel(core, FULL, CFG))
 on_core("q_payments_daily", lambda core: payments.payments_daily(core, FULL, CFG))
 on_core("q_payments_providers", lambda core: payments.payments_providers(core, FULL, CFG))
-on_core("q_payment_failures", lambda core: payments.payment_failures(core, FULL, CFG))
+on_core("q_payment_failures", lambda core: payments.payment_failures(core, FULL, CFG, limit=50))
+on_core("q_payment_failures_all", lambda core: payments.payment_failures(core, FULL, CFG))
 on_core(
     "q_payments_summary",
     lambda core: payments.payments_summary(payments.payments_daily(core, FULL, CFG)),
@@ -137,13 +140,16 @@ on_marts(
     lambda core, m: payments.referrals_totals(payments.referrals(core, m, FULL, CFG)),
 )
 on_marts("q_kpis", lambda core, m: insights.kpis(core, m, FULL, CFG))
-on_marts("q_anomalies", lambda core, m: insights.anomalies(m, FULL))
+on_marts("q_anomalies", lambda core, m: insights.anomalies(m, FULL, 30))
+on_marts("q_anomalies_all", lambda core, m: insights.anomalies(m, FULL))
 on_core("q_hourly_heatmap", lambda core: insights.hourly_heatmap(core, FULL, CFG))
-on_core("q_users", lambda core: metrics.users(core, FULL, CFG))
+on_core("q_users", lambda core: metrics.users(core, FULL, CFG, limit=clamp_limit(None)))
+on_core("q_users_all", lambda core: metrics.users(core, FULL, CFG))
 on_core("q_users_search", lambda core: metrics.users(core, FULL, CFG, SEARCH, 300))
 on_core("q_user_profile", lambda core: metrics.user_profile(core, USER, CFG))
 on_core("q_user_summary", lambda core: metrics.user_summary(core, USER, FULL, CFG))
-on_core("q_user_orders", lambda core: metrics.user_orders(core, USER, FULL, CFG))
+on_core("q_user_orders", lambda core: metrics.user_orders(core, USER, FULL, CFG, 300))
+on_core("q_user_orders_all", lambda core: metrics.user_orders(core, USER, FULL, CFG))
 
 # --- quality -------------------------------------------------------------------------------
 
@@ -169,6 +175,12 @@ def _issues(core: CoreTables, m: Marts) -> DataFrame:
 
 on_marts("dq_missing_days", lambda core, m: quality.missing_days(damaged_daily(m), FULL, SEEN))
 on_marts("dq_negative_values", lambda core, m: quality.negative_values(damaged_daily(m), SEEN))
+on_marts(
+    "dq_negative_values_all",
+    lambda core, m: quality.negative_values(
+        m.daily.withColumn("revenue_rub", -F.col("revenue_rub") - 1), SEEN
+    ),
+)
 on_marts(
     "dq_paid_mismatch",
     lambda core, m: quality.paid_mismatch(core, damaged_daily(m), FULL, CFG, SEEN),
@@ -178,7 +190,7 @@ on_marts("dq_run", _issues)
 
 @query("dq_issues")
 def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.list_issues(_stored_issues(spark, sf_dir))
+    return quality.list_issues(_stored_issues(spark, sf_dir), limit=clamp_limit(None))
 
 
 @query("dq_summary")
@@ -379,7 +391,7 @@ on_marts(
     "p_period_compare_buyers",
     lambda core, m: panel.period_compare(m, RECENT, "unique_buyers_count"),
 )
-on_marts("p_cohort_matrix", lambda core, m: panel.cohort_matrix(m.cohort_weekly, range(8)))
+on_marts("p_cohort_matrix", lambda core, m: panel.cohort_matrix(m.cohort_weekly))
 on_core(
     "p_hourly_matrix",
     lambda core: panel.hourly_matrix(insights.hourly_heatmap(core, FULL, CFG)),

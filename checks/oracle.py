@@ -68,12 +68,12 @@ core_payment_transactions AS (
 core_promo_redemptions AS (
   SELECT CASE WHEN l_partkey % 29 <> 0 THEN 'PROMO' || (l_orderkey % 4 + 2) END AS code,
     {_when('2010-10-01', 'l_shipdate', 'l_orderkey % 1440')} AS created_at
-  FROM lineitem WHERE l_linenumber = 7),
+  FROM lineitem),
 core_referral_earnings AS (
   SELECT CASE WHEN l_partkey % 17 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS order_id,
     CASE WHEN l_partkey % 19 <> 0 THEN CAST(l_quantity AS INTEGER) END AS stars,
     {_when('2010-10-01', 'l_shipdate', 'l_orderkey % 1440')} AS created_at
-  FROM lineitem WHERE l_linenumber = 3)"""
+  FROM lineitem)"""
 
 
 def wall(ts: str) -> str:
@@ -304,7 +304,7 @@ SELECT 'negative_revenue_or_profit' AS issue_code, 'critical' AS severity,
     || {_short('prof')} AS message,
   '{{"date":"' || date || '","revenue_rub":"' || {_short('rev')} || '","profit_rub":"'
     || {_short('prof')} || '"}}' AS meta, {_ISSUE_TAIL}
-FROM (SELECT * FROM damaged WHERE rev < 0 OR prof < -1000000 ORDER BY date LIMIT 100)"""
+FROM (SELECT * FROM damaged WHERE rev < 0 OR prof < -1000000)"""
 
 _MISMATCH = f"""
 SELECT 'paid_count_mismatch' AS issue_code, 'critical' AS severity,
@@ -662,3 +662,15 @@ SELECT *, revenue_rub / greatest((SELECT max(revenue_rub) FROM b), 1) AS share_o
     "p_recent_referrals": q(f"SELECT * FROM ({_REF_ITEMS}) ORDER BY date DESC LIMIT 31"),
     "p_first_cohorts": q("SELECT * FROM m_cohort ORDER BY cohort_week, age_week LIMIT 40"),
 }
+
+# The same lists without their limits.
+ORACLE |= {
+    f"{name}_all": ORACLE[name].rpartition(" LIMIT ")[0]
+    for name in ("q_day_orders", "q_user_orders", "q_users", "q_payment_failures", "q_anomalies")
+}
+# Every day of the mart made bad.
+ORACLE["dq_negative_values_all"] = q(
+    _NEGATIVE.replace(
+        "FROM damaged", "FROM (SELECT date, -revenue_rub - 1 AS rev, profit_rub AS prof FROM m_daily)"
+    )
+)

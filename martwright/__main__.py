@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
 from martwright.plans import jobs
-from martwright.ranges import REFRESH_DAYS, DateRange, parse_day
+from martwright.ranges import REFRESH_DAYS, DateRange
 from martwright.session import build_session
 from martwright.settings import Settings
 from martwright.sources.core import read_core
@@ -27,31 +29,36 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="martwright", description=__doc__)
     parser.add_argument("--core", required=True, help="folder of the core tables")
     parser.add_argument("--marts", required=True, help="folder of the marts and logs")
+    parser.add_argument("--settings", help="JSON file of settings: zone, statuses, ...")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in BACKFILLS:
         sub = commands.add_parser(name)
-        sub.add_argument("start")
-        sub.add_argument("end")
+        sub.add_argument("start", type=dt.date.fromisoformat)
+        sub.add_argument("end", type=dt.date.fromisoformat)
     refresh = commands.add_parser("refresh")
     refresh.add_argument("mode", choices=list(REFRESH_DAYS))
-    refresh.add_argument("--as-of")
+    refresh.add_argument("--as-of", type=dt.date.fromisoformat)
     export = commands.add_parser("export")
     export.add_argument("kind", choices=list(EXPORT_KINDS))
-    export.add_argument("start")
-    export.add_argument("end")
+    export.add_argument("start", type=dt.date.fromisoformat)
+    export.add_argument("end", type=dt.date.fromisoformat)
     export.add_argument("folder")
     return parser
 
 
 def run(spark: SparkSession, argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
+    settings = {}
+    if args.settings:
+        with open(args.settings, encoding="utf-8") as file:
+            settings = json.load(file)
     env = jobs.Environment(
-        read_core(spark, args.core), MartStore(spark, args.marts), Settings()
+        read_core(spark, args.core), MartStore(spark, args.marts), Settings(**settings)
     )
     if args.command == "refresh":
-        jobs.incremental_refresh(env, args.mode, parse_day(args.as_of))
+        jobs.incremental_refresh(env, args.mode, args.as_of)
         return
-    rng = DateRange.parse(args.start, args.end, env.cfg.today())
+    rng = DateRange(args.start, args.end)
     if args.command == "export":
         print(env.store.export_csv(args.kind, rng, args.folder))
     else:

@@ -71,7 +71,7 @@ def _midnight_is_plain(day: dt.date, zone: str) -> bool:
 def _inside(
     df: DataFrame, ts: str, start: dt.date | None, end: dt.date, zone: str, keep: str
 ) -> DataFrame:
-    raw, folder = F.col(ts), f"{ts}_day"
+    raw, folder, stored = F.col(ts), f"{ts}_day", f"{ts}_instant"
     edges = [end + DAY] if start is None else [start, end + DAY]
     if all(_midnight_is_plain(edge, zone) for edge in edges):
         bounds, check = raw < day_begins(edges[-1], zone), None
@@ -82,6 +82,13 @@ def _inside(
         if start is not None:
             bounds = bounds & (raw >= F.lit(start - DAY).cast("timestamp_ntz"))
             check = check & (F.col(keep) >= F.lit(start))
+    if stored in df.columns:
+        # A zone-aware source: the stored column bears its own bounds, a day wider on either side.
+        edge = dt.timezone.utc
+        late = dt.datetime.combine(end + 2 * DAY, dt.time(), edge)
+        bounds = bounds & (F.col(stored) < F.lit(late))
+        if start is not None:
+            bounds = bounds & (F.col(stored) >= F.lit(dt.datetime.combine(start - DAY, dt.time(), edge)))
     if folder in df.columns:
         bounds = bounds & (F.col(folder) <= F.lit(end + DAY))
         if start is not None:

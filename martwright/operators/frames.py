@@ -10,31 +10,27 @@ from pyspark.sql import functions as F
 
 from martwright.ranges import DateRange
 
-# A frame with one row per day of a range may be broadcast up to this many days (270 years);
-# a longer range is left to the join strategy Spark measures at run time.
-BROADCAST_DAYS = 100_000
-
-
-def per_day(df: DataFrame, rng: DateRange) -> DataFrame:
-    """Mark a frame that has at most one row per day of ``rng`` as a broadcast side."""
-    return F.broadcast(df) if rng.days <= BROADCAST_DAYS else df
-
 
 def fill_days(spark: SparkSession, rng: DateRange, *by_date: DataFrame) -> DataFrame:
     """Every day of the range, left-joined with frames that hold one row per day."""
     return reduce(
-        lambda left, right: left.join(per_day(right, rng), "date", "left"),
+        lambda left, right: left.join(right, "date", "left"),
         by_date,
         rng.spine(spark),
     )
 
 
-def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """The first ``n`` rows in this order; all of them, ordered, if ``n`` is None."""
+    ordered = df.orderBy(*order)
+    return ordered if n is None else ordered.limit(n)
 
 
 def clamp_limit(value, default: int = 200, most: int = 1000) -> int:
-    """Requested row limit inside 1..most; the default stands in for a missing one."""
+    """Row limit of a request inside 1..most; the default stands in for a missing one.
+
+    For front ends that must bound a page. The queries themselves take any limit, or None.
+    """
     wanted = default if value is None else int(value)
     return min(max(wanted, 1), most)
 
@@ -62,16 +58,18 @@ def running_sum(value: str, by: str, order: str) -> Column:
 
 
 def attach_names(
-    bounded: DataFrame, table: DataFrame, key: str, columns: Sequence[str]
+    listed: DataFrame, table: DataFrame, key: str, columns: Sequence[str], limit: int | None
 ) -> DataFrame:
-    """Left-join columns of a large keyed table onto a frame that ends in a ``limit``.
+    """Left-join columns of a large keyed table onto a list. ``key`` is unique in ``table``.
 
-    The limit bounds the key list, so the table is cut down by a broadcast semi-join where it is
-    scanned and neither side is shuffled. ``key`` is unique in ``table``.
+    A ``limit`` the list ends in bounds its keys, so the table is cut down by a broadcast
+    semi-join where it is scanned. Without one the sizes Spark measures decide.
     """
-    keys = bounded.select(key).where(F.col(key).isNotNull()).distinct()
-    hits = table.select(key, *columns).join(F.broadcast(keys), key, "left_semi")
-    return bounded.join(F.broadcast(hits), key, "left")
+    keys = listed.select(key).where(F.col(key).isNotNull()).distinct()
+    hits = table.select(key, *columns).join(
+        keys if limit is None else F.broadcast(keys), key, "left_semi"
+    )
+    return listed.join(hits, key, "left")
 
 
 def totals_by(df: DataFrame, key: str, measures: Sequence[str], largest: str) -> DataFrame:

@@ -14,7 +14,7 @@ from martwright.settings import Settings
 from martwright.sources.core import CoreTables
 
 SHORT_DAYS, LONG_DAYS = 7, 30
-Z_THRESHOLD, ANOMALY_LIMIT = 2.0, 30
+Z_THRESHOLD = 2.0
 
 
 def _sum0(value: Column) -> Column:
@@ -92,8 +92,9 @@ def kpis(core: CoreTables, marts: Marts, rng: DateRange, cfg: Settings) -> DataF
     )
 
 
-def anomalies(marts: Marts, rng: DateRange) -> DataFrame:
-    """Days whose revenue or paid count lies two deviations or more from the range's mean."""
+def anomalies(marts: Marts, rng: DateRange, limit: int | None = None) -> DataFrame:
+    """Days whose revenue or paid count lies two deviations or more from the range's mean: all,
+    or the ``limit`` farthest."""
     scored = z_scores(
         marts.daily.where(rng.holds(F.col("date"))), ["revenue_rub", "orders_paid_count"]
     )
@@ -103,7 +104,7 @@ def anomalies(marts: Marts, rng: DateRange) -> DataFrame:
         F.round("value", 2).alias("value"),
         F.round("z", 2).alias("z_score"),
     )
-    return top(kept, ANOMALY_LIMIT, F.desc(F.abs("z_score")), F.asc("date"), F.asc("metric"))
+    return top(kept, limit, F.desc(F.abs("z_score")), F.asc("date"), F.asc("metric"))
 
 
 def hourly_heatmap(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:

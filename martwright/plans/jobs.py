@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from martwright.operators.workdir import materialize
 from martwright.plans import marts as m
@@ -29,6 +32,10 @@ class Environment:
     store: MartStore
     cfg: Settings
 
+    def reopened(self) -> Environment:
+        """The same with the source opened anew: it then shows the files that are there now."""
+        return replace(self, core=self.core.reopened())
+
 
 def run_logged(env: Environment, job: str, rng: DateRange, work: Callable[[], int]) -> int:
     """Run ``work`` between a 'running' and a 'success' or 'failed' entry; failures re-raise."""
@@ -42,10 +49,12 @@ def run_logged(env: Environment, job: str, rng: DateRange, work: Callable[[], in
     return rows
 
 
-def refresh_sales(env: Environment, rng: DateRange, everything: bool = True) -> None:
+def refresh_sales(
+    env: Environment, rng: DateRange, everything: bool = True, days: DataFrame | None = None
+) -> None:
     """Daily, provider and product marts, and with ``everything`` referral and promo too.
 
-    Two small grains are computed once and feed the builders: sales by (day, provider, product)
+    ``days``: a column ``date``; only rows of these days of the range are written. Two small grains are computed once and feed the builders: sales by (day, provider, product)
     and paid orders by (day, user).
     """
     core, cfg, at = env.core, env.cfg, env.cfg.now()
@@ -61,11 +70,13 @@ def refresh_sales(env: Environment, rng: DateRange, everything: bool = True) ->
         built["referral_daily"] = m.build_referral_daily(core, rng, cfg, buyers)
         built["promo_daily"] = m.build_promo_daily(core, rng, cfg)
     for name, df in built.items():
-        env.store.upsert(name, df, rng, at)
+        rows = df if days is None else df.join(F.broadcast(days), "date", "left_semi")
+        env.store.upsert(name, rows, rng, at)
 
 
 def backfill_daily(env: Environment, rng: DateRange) -> int:
     """All five day-keyed marts; returns the number of days."""
+    env = env.reopened()
 
     def work() -> int:
         refresh_sales(env, rng)
@@ -76,6 +87,7 @@ def backfill_daily(env: Environment, rng: DateRange) -> int:
 
 def backfill_referral(env: Environment, rng: DateRange) -> int:
     """Referral and promo marts only; returns the number of days."""
+    env = env.reopened()
 
     def work() -> int:
         at = env.cfg.now()
@@ -88,6 +100,7 @@ def backfill_referral(env: Environment, rng: DateRange) -> int:
 
 def backfill_cohort(env: Environment, rng: DateRange) -> int:
     """Cohorts whose first week lies in the range; returns the number of weeks."""
+    env = env.reopened()
 
     def work() -> int:
         built = m.build_cohort_weekly(env.core, rng, env.cfg)
@@ -100,6 +113,7 @@ def backfill_cohort(env: Environment, rng: DateRange) -> int:
 def check_quality(env: Environment, rng: DateRange | None = None) -> int:
     """Append what the checks find; returns the number of issues. Default: the last 31 days."""
     rng = rng or DateRange.last(QUALITY_DAYS, env.cfg.today())
+    env = env.reopened()
 
     def work() -> int:
         daily = env.store.read("daily")

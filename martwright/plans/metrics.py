@@ -11,7 +11,6 @@ from martwright.functions import calendar as cal
 from martwright.functions import values as v
 from martwright.operators.frames import (
     attach_names,
-    clamp_limit,
     fill_days,
     matching,
     one_row,
@@ -22,7 +21,6 @@ from martwright.ranges import DateRange, cohort_window
 from martwright.settings import Settings
 from martwright.sources.core import CoreTables
 
-ORDER_LIST_LIMIT = 300
 
 # --- mart reads ----------------------------------------------------------------------------
 
@@ -173,8 +171,13 @@ def day_buyers(core: CoreTables, day: dt.date, cfg: Settings) -> DataFrame:
             _paid_sum(cfg, v.gross_profit(cfg)).alias("gross_profit_rub"),
         )
     )
+    # The day's plain ids cut the users down before they are shuffled.
+    ids = cal.within(
+        core.orders.where(v.is_paid(cfg)), "timestamp", DateRange.one_day(day), cfg.zone
+    ).select("user_id")
+    names = core.users.select("user_id", "username").join(ids, "user_id", "left_semi")
     return (
-        bought.join(core.users.select("user_id", "username"), "user_id", "left")
+        bought.join(names, "user_id", "left")
         .select(
             "user_id",
             v.or_dash(F.col("username")).alias("username"),
@@ -197,14 +200,17 @@ def _order_line(cfg: Settings) -> list[Column]:
     ]
 
 
-def day_orders(core: CoreTables, day: dt.date, cfg: Settings) -> DataFrame:
-    """Latest orders of the day, newest first. The list is cut before names are attached."""
+def day_orders(
+    core: CoreTables, day: dt.date, cfg: Settings, limit: int | None = None
+) -> DataFrame:
+    """Orders of the day, newest first; a list of the latest ``limit`` is cut before names are
+    attached."""
     orders = cal.within(core.orders, "timestamp", DateRange.one_day(day), cfg.zone)
-    latest = top(orders, ORDER_LIST_LIMIT, F.desc("timestamp"), F.asc("order_id")).select(
+    latest = top(orders, limit, F.desc("timestamp"), F.asc("order_id")).select(
         "order_id", "user_id", "status", "product_type", *_order_line(cfg)
     )
     return (
-        attach_names(latest, core.users, "user_id", ["username"])
+        attach_names(latest, core.users, "user_id", ["username"], limit)
         .select(
             "order_id",
             "user_id",
@@ -253,18 +259,22 @@ def users(
     """Users by in-range revenue. First and last paid dates span all history.
 
     Orders collapse to one row per user first; profile columns never pass through the grouping.
-    ``%`` and ``_`` in the search text act as wildcards.
+    ``%`` and ``_`` in the search text act as wildcards, a backslash as itself. Of a search only
+    the orders of the users found are grouped. All users are listed, or the first ``limit``.
     """
     found = core.users
     wanted = (search or "").strip()
     if wanted:
-        pattern = f"%{wanted}%"
+        pattern = "%" + wanted.replace("\\", "\\\\") + "%"
         found = found.where(F.col("user_id").ilike(pattern) | F.col("username").ilike(pattern))
     date = F.col("date")
     inside, paid = rng.holds(date), v.is_paid(cfg)
     has_id = F.col("order_id").isNotNull()
+    orders = core.orders.where(F.col("user_id").isNotNull())
+    if wanted:
+        orders = orders.join(found.select("user_id"), "user_id", "left_semi")
     per_user = (
-        core.orders.where(F.col("user_id").isNotNull())
+        orders
         .withColumn("date", cal.local_date(F.col("timestamp"), cfg.zone))
         .groupBy("user_id")
         .agg(
@@ -286,7 +296,7 @@ def users(
         "last_paid_date",
     )
     order = (F.desc("revenue_rub"), F.desc("orders_paid_count"), F.asc("user_id"))
-    return top(listed, clamp_limit(limit), *order)
+    return top(listed, limit, *order)
 
 
 def user_profile(core: CoreTables, user_id: str, cfg: Settings) -> DataFrame:
@@ -307,9 +317,11 @@ def user_summary(core: CoreTables, user_id: str, rng: DateRange, cfg: Settings)
     )
 
 
-def user_orders(core: CoreTables, user_id: str, rng: DateRange, cfg: Settings) -> DataFrame:
+def user_orders(
+    core: CoreTables, user_id: str, rng: DateRange, cfg: Settings, limit: int | None = None
+) -> DataFrame:
     own = _orders_of(core, user_id, rng, cfg)
-    return top(own, ORDER_LIST_LIMIT, F.desc("timestamp"), F.asc("order_id")).select(
+    return top(own, limit, F.desc("timestamp"), F.asc("order_id")).select(
         "order_id", "status", "product_type", *_order_line(cfg)
     )
 

@@ -64,24 +64,20 @@ def period_compare(marts: Marts, rng: DateRange, value: str = "revenue_rub") ->
     ).orderBy("date")
 
 
-def cohort_matrix(cohorts: DataFrame, ages: Sequence[int] | None = None) -> DataFrame:
-    """Retention of the latest cohorts, one column per age; an absent cell is 0.
-
-    Without ``ages`` the lowest ages present become the columns; there are at most
-    ``COHORT_COLUMNS`` of them to fetch.
-    """
-    if ages is None:
-        present = cohorts.select("age_week").distinct().orderBy("age_week").limit(COHORT_COLUMNS)
-        ages = [row.age_week for row in present.collect()]
+def cohort_matrix(
+    cohorts: DataFrame,
+    ages: Sequence[int] = range(COHORT_COLUMNS),
+    weeks: int | None = COHORT_WEEKS,
+) -> DataFrame:
+    """Retention of the latest ``weeks`` cohorts (None: all), one column per age; an absent cell
+    is 0. The ages are those the panel shows, whatever is present."""
     cells = [
         F.coalesce(F.max(F.when(F.col("age_week") == a, F.col("retention_rate"))), F.lit(0))
         .cast("double")
         .alias(f"age_{a}")
         for a in ages
     ]
-    if not cells:
-        return cohorts.select("cohort_week").distinct()
-    return top(cohorts.groupBy("cohort_week").agg(*cells), COHORT_WEEKS, F.desc("cohort_week"))
+    return top(cohorts.groupBy("cohort_week").agg(*cells), weeks, F.desc("cohort_week"))
 
 
 def hourly_matrix(heatmap: DataFrame) -> DataFrame:
@@ -120,11 +116,12 @@ def provider_success(payment_providers: DataFrame) -> DataFrame:
     )
 
 
-def provider_bars(marts: Marts, rng: DateRange) -> DataFrame:
-    """Largest providers by revenue, each with its share of the largest."""
+def provider_bars(marts: Marts, rng: DateRange, count: int | None = BAR_COUNT) -> DataFrame:
+    """The ``count`` largest providers by revenue (None: all), each with its share of the
+    largest."""
+    totals = provider_totals(marts, rng)
     bars = (
-        provider_totals(marts, rng)
-        .limit(BAR_COUNT)
+        (totals if count is None else totals.limit(count))
         .select("payment_provider", F.col("revenue_rub").cast("double").alias("revenue_rub"))
     )
     longest = bars.agg(
@@ -135,9 +132,9 @@ def provider_bars(marts: Marts, rng: DateRange) -> DataFrame:
     )
 
 
-def recent_referrals(items: DataFrame) -> DataFrame:
-    return top(items, REFERRAL_DAYS, F.desc("date"))
+def recent_referrals(items: DataFrame, days: int | None = REFERRAL_DAYS) -> DataFrame:
+    return top(items, days, F.desc("date"))
 
 
-def first_cohorts(cohorts: DataFrame) -> DataFrame:
-    return top(cohorts, COHORT_LIST, F.asc("cohort_week"), F.asc("age_week"))
+def first_cohorts(cohorts: DataFrame, rows: int | None = COHORT_LIST) -> DataFrame:
+    return top(cohorts, rows, F.asc("cohort_week"), F.asc("age_week"))

@@ -21,7 +21,6 @@ from martwright.ranges import DateRange
 from martwright.settings import Settings
 from martwright.sources.core import CoreTables
 
-FAILURE_LIMIT = 50
 
 
 def _undated(core: CoreTables) -> DataFrame:
@@ -136,9 +135,11 @@ def payments_providers(
 
 
 def payment_failures(
-    core: CoreTables, rng: DateRange, cfg: Settings, events: DataFrame | None = None
+    core: CoreTables, rng: DateRange, cfg: Settings, events: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Attempts that never succeeded, by provider and status, most frequent first.
+    """Attempts that never succeeded, by provider and status, most frequent first: all, or the
+    first ``limit``.
 
     Events collapse to one row per (attempt, status); an attempt's outcome is then a window over
     its few statuses, and counting the rows counts the attempts.
@@ -154,7 +155,7 @@ def payment_failures(
         .agg(F.count("*").alias("failures_count"))
     )
     return top(
-        failed, FAILURE_LIMIT, F.desc("failures_count"), F.asc("provider"), F.asc("status")
+        failed, limit, F.desc("failures_count"), F.asc("provider"), F.asc("status")
     )
 
 

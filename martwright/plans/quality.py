@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions import calendar as cal
 from martwright.functions import values as v
-from martwright.operators.frames import clamp_limit, matching, one_row, top
+from martwright.operators.frames import matching, one_row, top
 from martwright.ranges import DateRange
 from martwright.settings import Settings
 from martwright.sources.core import CoreTables
@@ -21,7 +21,6 @@ ISSUES_SCHEMA = """
 
 # Fixed values.
 PROFIT_FLOOR = -1_000_000
-NEGATIVE_LIMIT = 100
 MISSING_TEXT = "No analytics_daily_metrics row for date %s"
 NEGATIVE_TEXT = "Suspicious values on %s: revenue=%s, profit=%s"
 MISMATCH_TEXT = "Raw paid orders (%d) != analytics_daily_metrics paid (%d)"
@@ -54,13 +53,14 @@ def missing_days(daily: DataFrame, rng: DateRange, seen: dt.datetime) -> DataFra
     )
 
 
-def negative_values(daily: DataFrame, seen: dt.datetime) -> DataFrame:
-    """Looks at the whole mart, whatever the range; the report is limited to its first rows."""
+def negative_values(daily: DataFrame, seen: dt.datetime, limit: int | None = None) -> DataFrame:
+    """Looks at the whole mart, whatever the range, and reports every bad day, or the first
+    ``limit``."""
     odd = daily.where((F.col("revenue_rub") < 0) | (F.col("profit_rub") < PROFIT_FLOOR))
     date = F.col("date").cast("string")
     revenue, profit = v.plain_decimal(F.col("revenue_rub")), v.plain_decimal(F.col("profit_rub"))
     return _issue(
-        top(odd, NEGATIVE_LIMIT, F.asc("date")),
+        top(odd, limit, F.asc("date")),
         "negative_revenue_or_profit",
         "critical",
         F.format_string(NEGATIVE_TEXT, date, revenue, profit),
@@ -110,11 +110,11 @@ def find_issues(
     )
 
 
-def list_issues(issues: DataFrame, resolved: bool | None = None, limit=None) -> DataFrame:
-    """Newest first."""
+def list_issues(issues: DataFrame, resolved: bool | None = None, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them, or the first ``limit``."""
     kept = matching(issues, resolved=resolved)
     order = (F.desc("detected_at"), F.asc("issue_code"), F.asc("message"))
-    return top(kept, clamp_limit(limit), *order)
+    return top(kept, limit, *order)
 
 
 def issues_summary(issues: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ Any reader can supply them: files, a catalog, a database connection.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cached_property
+from collections.abc import Callable, Sequence
+from itertools import pairwise
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,101 +50,134 @@ SNAPSHOT_OPTIONAL = ("app_events",)
 
 
 class CoreTables:
-    """The core tables by name, opened on first use."""
+    """The core tables by name, opened on first use.
+
+    A table once opened keeps the files it was opened with, so that the parts of one plan agree.
+    Each job and micro-batch starts from ``reopened()`` and sees what has arrived by then.
+    """
 
     def __init__(self, fetch: Callable[[str], DataFrame]) -> None:
         self._fetch = fetch
+        self._open: dict[str, DataFrame] = {}
+
+    def reopened(self) -> CoreTables:
+        return CoreTables(self._fetch)
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = _declared(self._fetch(name), name)
+        return self._open[name]
 
-    @cached_property
+    @property
     def orders(self) -> DataFrame:
-        return _declared(self._fetch("orders"), "orders")
+        return self._table("orders")
 
-    @cached_property
+    @property
     def users(self) -> DataFrame:
-        return _declared(self._fetch("users"), "users")
+        return self._table("users")
 
-    @cached_property
+    @property
     def payment_transactions(self) -> DataFrame:
-        return _declared(self._fetch("payment_transactions"), "payment_transactions")
+        return self._table("payment_transactions")
 
-    @cached_property
+    @property
     def promo_redemptions(self) -> DataFrame:
-        return _declared(self._fetch("promo_redemptions"), "promo_redemptions")
+        return self._table("promo_redemptions")
 
-    @cached_property
+    @property
     def referral_earnings(self) -> DataFrame:
-        return _declared(self._fetch("referral_earnings"), "referral_earnings")
+        return self._table("referral_earnings")
 
     @property
     def spark(self) -> SparkSession:
         return self.orders.sparkSession
 
 
-def _utc_wall_time(df: DataFrame) -> DataFrame:
-    """Instants of a zone-aware source as UTC wall time; columns already so are left alone."""
+def _typed(df: DataFrame, name: str) -> DataFrame:
+    """Declared columns in their declared types, others as they are.
+
+    Instants of a zone-aware source become UTC wall time. The event time then stays beside it as
+    stored, as ``<time>_instant``: a range is stated on that column, and so reaches the files. A
+    column already in its type is passed on unchanged.
+    """
+    declared = {f.name: f.dataType for f in T.StructType.fromDDL(SCHEMAS[name])} if (
+        name in SCHEMAS
+    ) else {}
+    event = EVENT_TIME.get(name)
+    new = {}
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.TimestampType):
-            wall = F.col(field.name).cast("timestamp_ntz")
-            df = df.withColumn(
-                field.name, F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
-            )
-    return df
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.TimestampType) and not field.name.endswith("_instant"):
+            if field.name == event:
+                new[f"{event}_instant"] = value
+            wall = value.cast("timestamp_ntz")
+            value = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
+            new[field.name] = value
+        wanted = declared.get(field.name)
+        if wanted is not None and wanted != field.dataType:
+            new[field.name] = value.cast(wanted)
+    for absent in set(declared) - set(df.columns):
+        new[absent] = F.lit(None).cast(declared[absent])
+    return df.withColumns(new) if new else df
 
 
 def _declared(df: DataFrame, name: str) -> DataFrame:
-    """The table's columns in their declared types, with its day folder where it has one.
-
-    A source already in those types is passed on unchanged, so its filters still reach the files.
-    """
-    df = _utc_wall_time(df)
-    have = {f.name: f.dataType for f in df.schema.fields}
-    columns = [
-        f.name
-        if have.get(f.name) == f.dataType
-        else F.col(f.name).cast(f.dataType).alias(f.name)
-        for f in T.StructType.fromDDL(SCHEMAS[name])
-    ]
-    day = f"{EVENT_TIME[name]}_day"
-    return df.select(*columns, *([day] if day in have else []))
+    """The table's declared columns, with its day folder and stored instant where it has them."""
+    typed = _typed(df, name)
+    names = [f.name for f in T.StructType.fromDDL(SCHEMAS[name])]
+    event = EVENT_TIME[name]
+    more = [c for c in (f"{event}_day", f"{event}_instant") if c in typed.columns]
+    return typed.select(*names, *more)
 
 
 def read_core(spark: SparkSession, root: str) -> CoreTables:
-    """Parquet folders ``<root>/<table>``, as left by :func:`snapshot_core`.
+    """Parquet folders ``<root>/<table>``, as left by :func:`snapshot_core` or another writer.
 
-    Day folders written by the snapshot appear as ``<time>_day`` and prune range scans.
+    Files are read in their own types and cast. Day folders written by the snapshot appear as
+    ``<time>_day`` and prune range scans.
     """
 
     def fetch(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+        try:
+            return spark.read.parquet(f"{root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")  # no file yet
 
     return CoreTables(fetch)
 
 
 def read_core_jdbc(
-    spark: SparkSession, url: str, bounds: dict[str, tuple[str, str]], slices: int, **options: str
+    spark: SparkSession, url: str, slices: dict[str, Sequence[str]], **options: str
 ) -> CoreTables:
-    """Core tables of a database, read in ``slices`` time slices per table.
+    """Core tables of a database, each read by the conditions given for it.
 
-    ``bounds`` gives the (first, last) event time per table; it shapes the slices only and loses
-    no row.
+    A table's conditions cover it without overlap, one task each; :func:`time_slices` makes them.
     """
 
     def fetch(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-        reader = reader.option("preferTimestampNTZ", "true")
-        if name in bounds:
-            low, high = bounds[name]
-            reader = reader.options(
-                partitionColumn=EVENT_TIME[name],
-                lowerBound=low,
-                upperBound=high,
-                numPartitions=str(slices),
-            )
-        return reader.load()
+        plain = {**options, "preferTimestampNTZ": "true"}
+        if name not in slices:
+            return spark.read.format("jdbc").options(url=url, dbtable=name, **plain).load()
+        names = {k: v for k, v in plain.items()}
+        return spark.read.jdbc(url, name, predicates=list(slices[name]), properties=names)
 
     return CoreTables(fetch)
 
 
+def time_slices(
+    column: str, edges: Sequence[str], undated: Sequence[str] = ("1 = 1",)
+) -> list[str]:
+    """Conditions for :func:`read_core_jdbc`: before the first edge, between edges, from the last
+    on, and rows without a time. The last may be many: ``undated`` splits them by conditions in
+    the database's own SQL that cover all rows without overlap, such as a hash of the key."""
+    dated = [f"{column} < '{edges[0]}'"]
+    dated += [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in pairwise(edges)]
+    dated.append(f"{column} >= '{edges[-1]}'")
+    return [*dated, *[f"{column} IS NULL AND ({part})" for part in undated]]
+
+
 # Tables whose snapshot is laid out in one folder per UTC day: the ones read by range.
 DAY_FOLDERS = ("orders", "payment_transactions", "promo_redemptions", "referral_earnings")
 
@@ -165,9 +198,9 @@ def snapshot_core(fetch: Callable[[str], DataFrame], target: str) -> list[str]:
     """
     names = [*SNAPSHOT_TABLES, *[n for n in SNAPSHOT_OPTIONAL if exists(fetch, n)]]
     for name in names:
-        df = fetch(name)
+        df = _typed(fetch(name), name)
+        df = df.drop(f"{EVENT_TIME.get(name)}_instant")
         if name in DAY_FOLDERS:
-            df = _utc_wall_time(df)
             day = f"{EVENT_TIME[name]}_day"
             df = df.withColumn(day, F.to_date(EVENT_TIME[name])).hint("rebalance", day)
             df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(

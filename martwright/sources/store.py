@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions.calendar import instant
-from martwright.operators.frames import clamp_limit, matching, top
+from martwright.operators.frames import matching, top
 from martwright.operators.keyed_merge import merge_rows
 from martwright.plans.marts import MARTS, Marts
 from martwright.plans.quality import ISSUES_SCHEMA
@@ -30,7 +30,8 @@ RUNS_SCHEMA = """
     rows_written int, error_text string, started_at timestamp_ntz, finished_at timestamp_ntz,
     created_at timestamp_ntz"""
 
-ERROR_TEXT_LENGTH = 2000
+# Kept of a failed run's error text; None keeps all of it. Fixed value.
+ERROR_TEXT_LENGTH: int | None = 2000
 
 # Export kinds and the mart each one lists; any other kind lists the daily mart. Fixed values.
 EXPORT_KINDS = {
@@ -117,7 +118,7 @@ class MartStore:
         )
 
     def append_issues(self, issues: DataFrame) -> None:
-        issues.coalesce(1).write.mode("append").parquet(self._path("data_quality_issues"))
+        issues.write.mode("append").parquet(self._path("data_quality_issues"))
 
     def issues(self) -> DataFrame:
         return self._load("data_quality_issues", T.StructType.fromDDL(ISSUES_SCHEMA))
@@ -200,10 +201,10 @@ def write_documents(bundle: dict[str, DataFrame], folder: str) -> None:
 # --- log queries -----------------------------------------------------------------------------
 
 
-def list_runs(runs: DataFrame, job_name=None, status=None, limit=None) -> DataFrame:
-    """Newest first."""
+def list_runs(runs: DataFrame, job_name=None, status=None, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them, or the first ``limit``."""
     kept = matching(runs, job_name=job_name, status=status)
-    return top(kept, clamp_limit(limit), F.desc("created_at"), F.asc("job_name"), F.asc("run_id"))
+    return top(kept, limit, F.desc("created_at"), F.asc("job_name"), F.asc("run_id"))
 
 
 def runs_summary(runs: DataFrame, at: dt.datetime) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from martwright.functions import calendar as cal
+from martwright.operators.workdir import materialize
 from martwright.plans.jobs import Environment, refresh_sales
-from martwright.ranges import runs_of
+from martwright.ranges import DateRange
 
 
 def touched_days(batch: DataFrame, zone: str) -> DataFrame:
@@ -19,15 +20,21 @@ def touched_days(batch: DataFrame, zone: str) -> DataFrame:
     return batch.select(date).where(F.col("date").isNotNull()).distinct()
 
 
-def refresh_touched(env: Environment, batch: DataFrame) -> None:
-    """Rebuild the touched days from the whole orders table and upsert them.
+def refresh_touched(env: Environment, batch: DataFrame, everything: bool = False) -> None:
+    """Rebuild the touched days from the whole orders table and upsert them, in one pass.
 
-    Only calendar days come to the driver, at most one per day of history. No state is kept and
-    any lateness is handled; a replayed batch writes the same rows again.
+    The driver gets the first and the last of the touched days; the number of jobs does not depend
+    on how many there are or how they lie. No state
+    is kept and any lateness is handled; a replayed batch writes the same rows again. A row that
+    moves an order to another day refreshes that day; its former day is refreshed when the source
+    delivers the old row too, or by the next rolling window.
     """
-    days = [row.date for row in touched_days(batch, env.cfg.zone).collect()]
-    for rng in runs_of(days):
-        refresh_sales(env, rng, everything=False)
+    env = env.reopened()
+    days = materialize(touched_days(batch, env.cfg.zone))  # at most one row a day of history
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return
+    refresh_sales(env, DateRange(first, last), everything, days)
 
 
 def stream_refresh(
@@ -37,16 +44,18 @@ def stream_refresh(
     schema: T.StructType,
     checkpoint: str,
     as_orders: Callable[[DataFrame], DataFrame] = lambda df: df,
+    everything: bool = False,
 ) -> StreamingQuery:
     """Start one pass over the files not yet seen; await the returned query.
 
     ``source`` is a folder or glob of Parquet order files and ``as_orders`` maps a batch to order
-    rows. ``env.core.orders`` is expected to show the current version of every order.
+    rows. ``env.core.orders`` is expected to show the current version of every order; it is opened
+    anew for each batch. With ``everything`` the referral and promo marts of the days follow too.
     """
     arriving = spark.readStream.schema(schema).parquet(source)
 
     def on_batch(batch: DataFrame, _batch_id: int) -> None:
-        refresh_touched(env, as_orders(batch))
+        refresh_touched(env, as_orders(batch), everything)
 
     return (
         arriving.writeStream.foreachBatch(on_batch)

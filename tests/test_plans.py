@@ -122,3 +122,45 @@ def test_snapshot_has_day_folders(stored):
     assert set(cs.DAY_FOLDERS) == {n for n in cs.SCHEMAS
                                    if f"{cs.EVENT_TIME[n]}_day" in getattr(stored, n).columns}
     assert stored.orders.where(F.to_date("timestamp") != F.col("timestamp_day")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_foreign_types_are_cast_and_ranges_pushed(spark, tmp_path, kind):
+    """A database-shaped copy: wide numbers, bigint keys, instants with or without a zone."""
+    orders = sample_core(spark, SMALL).orders
+    moment = F.col("timestamp")
+    if kind == "timestamp":
+        moment = F.to_timestamp(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
+    wide = orders.withColumns({
+        "user_id": F.col("user_id").cast("bigint"), "order_id": F.col("order_id").cast("bigint"),
+        "amount_rub": F.col("amount_rub").cast("decimal(38,18)"), "timestamp": moment,
+    })
+    wide.write.parquet(str(tmp_path / "orders"))
+    core = cs.read_core(spark, str(tmp_path))
+    built = marts.build_provider_daily(core, MARCH, CFG)
+    want = marts.build_provider_daily(sample_core(spark, SMALL), MARCH, CFG)
+    assert built.exceptAll(want).count() == 0 and want.exceptAll(built).count() == 0
+    scans = [line for line in plan_of(built).splitlines() if "FileScan" in line]
+    assert scans
+    for scan in scans:
+        pushed = scan.split("PushedFilters")[1]
+        assert "GreaterThanOrEqual(timestamp" in pushed and "LessThan(timestamp" in pushed
+
+    def fetch(name):
+        return wide if name == "orders" else getattr(sample_core(spark, SMALL), name, wide)
+
+    target = str(tmp_path / "copy")
+    cs.snapshot_core(fetch, target)
+    again = cs.read_core(spark, target)
+    assert dict(again.orders.dtypes)["amount_rub"] == "decimal(14,2)"
+    copied = marts.build_provider_daily(again, MARCH, CFG)
+    assert copied.exceptAll(want).count() == 0 and want.exceptAll(copied).count() == 0
+
+
+def test_time_slices_cover_without_overlap(spark):
+    parts = cs.time_slices("t", ["2011-01-01", "2011-02-01"], ["k % 2 = 0", "k % 2 = 1"])
+    df = spark.sql(
+        "SELECT id AS k, if(id % 5 = 0, NULL, timestampadd(DAY, int(id), timestamp_ntz'2010-12-01'))"
+        " AS t FROM range(100)"
+    )
+    assert [sum(df.where(p).count() for p in parts), len(parts)] == [100, 5]

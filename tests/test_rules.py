@@ -485,6 +485,7 @@ def test_user_list(tables):
     assert found("n_b") == ["u1"]
     assert found("U_") == ["u1", "u2"]
     assert found("", 1) == ["u1"]
+    assert found("a\\b") == []
 
 
 def test_user_details(tables):
@@ -504,8 +505,11 @@ def test_day_orders_are_the_latest_300_with_names(tables):
             for i in range(350)
         ],
     )
-    got = rows(metrics.day_orders(core, day(5), CFG))
+    everything = rows(metrics.day_orders(core, day(5), CFG))
+    assert [r["order_id"] for r in everything] == [f"{i:03d}" for i in range(349, -1, -1)]
+    got = rows(metrics.day_orders(core, day(5), CFG, 300))
     assert [r["order_id"] for r in got] == [f"{i:03d}" for i in range(349, 49, -1)]
+    assert got == everything[:300]
     assert {(r["user_id"], r["username"]) for r in got} == {("u", "Ann"), (None, "-")}
 
 
@@ -558,10 +562,11 @@ def test_checks_find_nothing_on_sound_marts(tables):
     assert rows(quality.find_issues(core, marts.build_daily(core, JAN, CFG), JAN, CFG, SEEN)) == []
 
 
-def test_negative_report_is_cut_at_100_and_ignores_the_range(spark, tables):
+def test_negative_report_has_every_bad_day_and_ignores_the_range(spark, tables):
     daily = marts.build_daily(tables(), DateRange(dt.date(2023, 1, 1), day(31)), CFG)
     bad = daily.withColumn("revenue_rub", F.lit(D("-2.50")).cast("decimal(14,2)"))
-    got = rows(quality.negative_values(bad, SEEN))
+    assert len(rows(quality.negative_values(bad, SEEN))) == 396
+    got = rows(quality.negative_values(bad, SEEN, 100))
     assert len(got) == 100
     assert got[0]["message"] == "Suspicious values on 2023-01-01: revenue=-2.5, profit=0.0"
     assert got[0]["meta"] == '{"date":"2023-01-01","revenue_rub":"-2.5","profit_rub":"0.0"}'

@@ -11,7 +11,7 @@ from martwright.settings import Settings
 from martwright.sources.core import CoreTables
 from martwright.sources.sample import sample_core
 from martwright.sources.store import MartStore
-from martwright.streaming.refresh import stream_refresh, touched_days
+from martwright.streaming.refresh import refresh_touched, stream_refresh, touched_days
 from tests.conftest import SMALL, rows, utc
 
 CFG = Settings(clock=lambda: utc("2011-04-01 00:00:00"))
@@ -59,3 +59,54 @@ def test_pass_without_new_files_does_nothing(spark, tmp_path):
         total = env.store.read("daily").agg(F.sum("orders_created_count")).first()[0]
         assert total == 1500
     assert env.store.read("daily", DateRange.one_day(dt.date(2010, 11, 14))).count() == 1
+
+
+def test_one_environment_sees_what_arrives(spark, tmp_path):
+    """The same environment refreshes, gets more files of a known and of a new day, refreshes
+    again by stream and by the rolling job, and equals the batch each time."""
+    orders = sample_core(spark, SMALL).orders
+    folder = str(tmp_path / "orders")
+    core = sample_core(spark, SMALL)
+
+    def fetch(name):
+        if name == "orders":
+            return spark.read.schema(orders.schema).parquet(folder)
+        return getattr(core, name)
+
+    env = jobs.Environment(CoreTables(fetch), MartStore(spark, str(tmp_path / "s")), CFG)
+    day = F.to_date("timestamp")
+    first = orders.where((day == "2011-03-10") & (F.col("order_id").cast("int") % 2 == 0))
+    later = orders.where(
+        ((day == "2011-03-10") & (F.col("order_id").cast("int") % 2 == 1)) | (day == "2011-03-20")
+    )
+    for df in (first, later):
+        df.coalesce(1).write.mode("append").parquet(folder)
+        stream_refresh(
+            spark, env, folder, orders.schema, str(tmp_path / "p"), everything=True
+        ).awaitTermination()
+        now = env.core.reopened()
+        for name in ("daily", "promo_daily"):
+            want = marts.BUILDERS[name](now, catalog.FULL, CFG)
+            days = [r.date for r in touched_days(now.orders, CFG.zone).collect()]
+            want = want.where(F.col("date").isin(days))
+            got = env.store.read(name).drop("created_at", "updated_at")
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    orders.where(day == "2011-03-25").coalesce(1).write.mode("append").parquet(folder)
+    jobs.incremental_refresh(env, "last_30_days", dt.date(2011, 3, 30))
+    total = env.store.read("daily").agg(F.sum("orders_created_count")).first()[0]
+    assert total == env.core.reopened().orders.count()
+
+
+def test_job_count_does_not_depend_on_the_days(spark, tmp_path):
+    orders = sample_core(spark, SMALL).orders
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs_for(days, name):
+        env = jobs.Environment(sample_core(spark, SMALL), MartStore(spark, str(tmp_path / name)), CFG)
+        spark.sparkContext.setJobGroup(name, name)
+        refresh_touched(env, orders.where(F.to_date("timestamp").isin(days)))
+        return len(tracker.getJobIdsForGroup(name))
+
+    few = jobs_for(["2011-01-03"], "few")
+    many = jobs_for([f"2011-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in (3, 9, 15, 21, 27)], "many")
+    assert many <= 1.5 * few

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -62,6 +63,8 @@ class Codec:
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Merge the neighbours of lowest rank, the leftmost of equals, until none can be."""
+        if len(data) > 64:
+            return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get = self.ranks.get
         while len(parts) > 1:
@@ -75,6 +78,27 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple([self.ranks[p] for p in parts])
 
+    def _merge_long(self, data: bytes) -> tuple[int, ...]:
+        """The same by a queue of pairs, for windows of many bytes."""
+        get, n = self.ranks.get, len(data)
+        end = list(range(1, n + 1))  # of the part that starts here; 0: no part starts here
+        before = list(range(-1, n - 1))
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapify(queue)
+        while queue:
+            _, i, stop = heappop(queue)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of the two has been merged since
+            end[middle], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if (r := get(data[i : end[stop]])) is not None:
+                    heappush(queue, (r, i, end[stop]))
+            if i and (r := get(data[before[i] : stop])) is not None:
+                heappush(queue, (r, before[i], stop))
+        return tuple([self.ranks[data[i : end[i]]] for i in range(n) if end[i]])
+
     def _tree(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= LEAF:
             return self.merge(data)
@@ -100,7 +124,8 @@ class Codec:
             loose_right = b < len(right) and window[-1] != right[b - 1]
             if not loose_left and not loose_right:
                 return left[: len(left) - a] + window + right[b:]
-            a, b = a + loose_left, b + loose_right
+            a = min(a << loose_left, len(left))
+            b = min(b << loose_right, len(right))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()

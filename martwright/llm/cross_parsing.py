@@ -117,17 +117,20 @@ def _table(samples: dict[str, bytes]) -> Automata:
     tables, roots, states = [], [], 0
     for lang in langs:
         step = suffix_automaton(samples[lang])
-        here = np.full((len(step), end + 1), -1, np.int64)
+        here = np.full((len(step) + 1, end + 1), -1, np.int64)
         for i, ways in enumerate(step):
             for byte, to in ways.items():
                 here[i, symbol[byte]] = to
-        # No way on: a phrase ends, and the byte begins another, if the sample has it at all.
-        again = np.where(here[0] >= 0, here[0], 0)
-        table = np.where(here >= 0, 2 * (here + states), 2 * (again + states)[None, :] + 1)
-        table[:, end] = 2 * (np.arange(len(step)) + states)
+        # No way on: a phrase ends and the byte begins another. A byte that the sample lacks is a
+        # phrase by itself; the last state stands for that, there every byte begins a phrase.
+        alone = len(step)
+        again = 2 * (np.where(here[0] >= 0, here[0], alone) + states) + 1
+        table = np.where(here >= 0, 2 * (here + states), again[None, :])
+        table[0] -= here[0] < 0  # nothing has begun yet
+        table[:, end] = 2 * (np.arange(alone + 1) + states)
         tables.append(table.astype(np.int32))
         roots.append(states)
-        states += len(step)
+        states += alone + 1
     sizes = np.array([max(len(samples[x]), 2) for x in langs], float)
     return Automata(langs, np.array(roots), symbol, np.concatenate(tables), np.log2(sizes))
 

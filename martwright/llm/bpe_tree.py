@@ -29,6 +29,7 @@ from martwright.llm.rows import slices, with_text_column
 LEAF = 4
 #: Entries a worker remembers: pieces of text, parts of pieces, seams.
 MEMORY = 300_000
+NONE = 1 << 60  # a pair that no token joins
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,15 +68,15 @@ class Codec:
             return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        ranks = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) < NONE:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], NONE)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], NONE)
         return tuple([self.ranks[p] for p in parts])
 
     def _merge_long(self, data: bytes) -> tuple[int, ...]:

@@ -30,10 +30,11 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 50, seed:
     dims = centred.shape[1]
     rng = np.random.default_rng(seed)
     blocks, left = [], bits
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    # Of the dims x dims moments; a full decomposition of the sample would be sample x sample.
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
     while left > 0:
         width = min(dims, left)
-        base = axes[:width].T
+        base = axes[:, :width]
         flat = centred @ base
         rotation, _ = np.linalg.qr(rng.standard_normal((width, width)))
         for _ in range(rounds):

@@ -1,11 +1,12 @@
 """Brown class-based n-grams: words in classes by exchange, class trigrams, word emissions.
 
-Every word type has a class. Words that are at least ``min_share`` of the training tokens, so no
-more than 1 / min_share of them, are put into ``classes`` classes by exchange clustering: a word
-moves to the class that raises the likelihood of the class bigrams most; a third of the words may
-move in a round, on the counts of the round before. All other words, known or not, are in a class
-by their shape (length, last character, digits). The end of a text is a word and a class of its
-own, and stands before its beginning.
+Every word type has a class. Words seen ``min_count`` times or more, by default all that are not
+seen just once, are put into ``classes`` classes by exchange clustering: a word moves to the class
+that raises the likelihood of the class bigrams most; a third of the words may move in a round, on
+the counts of the round before, or fewer where that lowers the likelihood. Rounds go on until a pass over all words moves fewer than 1 % of
+them or adds less than 0.001 to the log-likelihood of a token. Words seen once are what the model
+knows of unknown words; both are in a class by their shape (length, last character, digits). The
+end of a text is a word and a class of its own, and stands before its beginning.
 
 p(word | text so far) = p(class | two classes before) * p(word | class), where class trigrams are
 smoothed by Witten and Bell's rule down to one class, and in a shape class known words give up an
@@ -25,7 +26,13 @@ from pyspark.sql import functions as F
 from martwright.llm.rows import Words, slices, word_hashes
 from martwright.llm.tables import keep
 
-CLASSES, MIN_SHARE, ROUNDS = 48, 1 / 20_000, 9
+CLASSES, MIN_COUNT = 48, 2
+#: A pass over all words in so many rounds; passes end below these shares of words and nats a token.
+TURNS, FEW_MOVES, LITTLE_GAIN = 3, 0.01, 0.001
+#: A pass that lowers the likelihood is repeated in more rounds, up to about so many.
+MOST_TURNS = 81
+#: Words above this share of the tokens have their neighbours summed over all tasks.
+HEAVY_SHARE = 1 / 1000
 SHAPES = 18
 #: Text scored together, in bytes: its rare words are looked up at once.
 CHUNK_BYTES = 24 << 20
@@ -66,7 +73,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Units:
-    """Frequent words by hash, sorted, with their classes; then the shapes, then the end."""
+    """Clustered words by hash, sorted, with their classes; then the shapes, then the end."""
 
     hashes: np.ndarray
     class_of: np.ndarray  # of each unit
@@ -76,11 +83,31 @@ class Units:
     def end(self) -> int:
         return len(self.hashes) + SHAPES
 
+    def _starts(self) -> tuple[np.ndarray, np.uint64]:
+        """Where the hashes with the same leading bits begin; built once in a process."""
+        found = self.__dict__.get("_index")
+        if found is None:
+            bits = max(1, int(len(self.hashes)).bit_length())
+            shift = np.uint64(64 - bits)
+            sizes = np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits)
+            found = self.__dict__["_index"] = (np.cumsum(sizes) - sizes, shift)
+        return found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+
     def of(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
+        size = len(self.hashes)
+        if not size:
             return shapes.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes) + shapes)
+        starts, shift = self._starts()
+        at = np.minimum(starts[(hashes >> shift).astype(np.int64)], size - 1)
+        late = np.flatnonzero(self.hashes[at] < hashes)
+        while len(late):  # a few words have the same leading bits
+            late = late[at[late] < size - 1]
+            at[late] += 1
+            late = late[self.hashes[at[late]] < hashes[late]]
+        return np.where(self.hashes[at] == hashes, at, size + shapes)
 
     def stream(self, words: Words, units: np.ndarray, ahead: int) -> np.ndarray:
         """The units of all texts with the end after each, and ``ahead`` ends before the first."""
@@ -102,7 +129,7 @@ def _grams(shared, size: int, classes: bool):
                 end = model.end
                 width = end + 1
                 if classes:
-                    units, end = model.class_of[units], int(model.class_of[model.end])
+                    units, end = model.class_of[units].astype(np.int64), int(model.class_of[model.end])
                     width = model.classes
                 if size == 2:
                     key = units[:-1] * width + units[1:]
@@ -120,107 +147,201 @@ def _f(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def _best_classes(shared, movable: int):
-    """(unit, class): where each word's move would raise the likelihood most."""
+def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.ndarray:
+    """The class of each word that gives the class bigrams the highest likelihood.
+
+    ``after`` and ``before``: word x class, the counts of its neighbours other than itself.
+    """
+    words = np.arange(len(own))
+    gain = np.zeros((len(own), movable))
+    for counts, others, cells in ((after, before, matrix.T), (before, after, matrix)):
+        w, j = np.nonzero(counts)
+        if not len(w):
+            continue
+        n, mine, each = counts[w, j], own[w], np.arange(len(w))
+        rest = cells[j, :movable]  # without the word itself
+        rest[each, mine] -= n
+        same = np.flatnonzero(j == mine)
+        rest[same] -= others[w[same], :movable]
+        rest[same, mine[same]] -= self_n[w[same]]
+        rest = np.maximum(rest, 0)
+        more = _f(rest + n[:, None]) - _f(rest)
+        inner = np.flatnonzero(j < movable)
+        more[inner, j[inner]] = 0
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(more, first, axis=0)
+    rest = np.tile(np.diag(matrix)[:movable], (len(own), 1))
+    rest[words, own] -= after[words, own] + before[words, own] + self_n
+    rest = np.maximum(rest, 0)
+    gain += _f(rest + after[:, :movable] + before[:, :movable] + self_n[:, None]) - _f(rest)
+    for counts, axis in ((after, 1), (before, 0)):
+        total = counts.sum(axis=1) + self_n
+        rest = np.tile(matrix.sum(axis=axis)[:movable], (len(own), 1))
+        rest[words, own] -= total
+        rest = np.maximum(rest, 0)
+        gain -= _f(rest + total[:, None]) - _f(rest)
+    to = gain.argmax(axis=1)
+    return np.where(gain[words, to] > gain[words, own] + 1e-6, to, own)
+
+
+def _best_classes(shared, movable: int, tasks: int, most: int = 128):
+    """(unit, class) of the words that a move would make more likely.
+
+    After every ``most`` words a task adds their moves to its class counts ``tasks`` times, as the
+    other tasks meet words of the same kinds; else all would rush to the same classes.
+    """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, matrix, turn, turns = shared.value
-        size = len(matrix)
+        class_of, matrix = shared.value
+        matrix, size = matrix.copy(), len(matrix)
         for batch in batches:
-            moved: list[tuple[int, int]] = []
-            for unit, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if unit % turns != turn:
-                    continue
-                flat = entries.values
-                side, other, n = (
-                    flat.field(k).to_numpy(zero_copy_only=False) for k in ("side", "other", "n")
-                )
-                self_n = float(n[(side == 0) & (other == unit)].sum())
-                apart = other != unit
-                after, before = (
-                    np.bincount(class_of[other[apart & (side == k)]], n[apart & (side == k)], size)
-                    for k in (0, 1)
-                )
-                total_after, total_before = after.sum() + self_n, before.sum() + self_n
+            units = batch.column(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *batch.column(1).value_lengths().to_numpy(zero_copy_only=False)])
+            flat = batch.column(1).flatten()
+            side, other, n = (
+                flat.field(k).to_numpy(zero_copy_only=False) for k in ("side", "other", "n")
+            )
+            for start in range(0, len(units), most):
+                unit = units[start : start + most]
+                place = slice(ends[start], ends[start + len(unit)])
+                word = np.repeat(np.arange(len(unit)), np.diff(ends[start : start + len(unit) + 1]))
+                apart = other[place] != unit[word]
+                cell = (side[place] * len(unit) + word) * size + class_of[other[place]]
+                counts = np.bincount(cell[apart], n[place][apart], 2 * len(unit) * size)
+                after, before = counts.reshape(2, len(unit), size)
+                itself = ~apart & (side[place] == 0)
+                self_n = np.bincount(word[itself], n[place][itself], len(unit))
                 own = class_of[unit]
-                rest = matrix.copy()
-                rest[own, :] -= after
-                rest[:, own] -= before
-                rest[own, own] -= self_n
-                rest = np.maximum(rest, 0)
-                rows, cols = rest.sum(axis=1), rest.sum(axis=0)
-                wide = _f(rest + after[None, :]) - _f(rest) - _f(after)[None, :]
-                tall = _f(rest + before[:, None]) - _f(rest) - _f(before)[:, None]
-                diag = np.arange(size)
-                gain = wide.sum(axis=1) + tall.sum(axis=0)
-                gain -= wide[diag, diag] + tall[diag, diag]
-                gain += (
-                    _f(rest[diag, diag] + after + before + self_n)
-                    - _f(rest[diag, diag]) - _f(after) - _f(before)
-                )
-                gain -= _f(rows + total_after) - _f(rows) + _f(cols + total_before) - _f(cols)
-                moved.append((unit, int(gain[:movable].argmax())))
-            yield _batch({
-                "unit": np.array([m[0] for m in moved], np.int64),
-                "to": np.array([m[1] for m in moved], np.int64),
-            })
+                to = _best(own, after, before, self_n, matrix, movable)
+                moved = to != own
+                for sign, at in ((-tasks, own[moved]), (tasks, to[moved])):
+                    np.add.at(matrix, at, sign * after[moved])
+                    np.add.at(matrix.T, at, sign * before[moved])
+                    np.add.at(matrix, (at, at), sign * self_n[moved])
+                np.maximum(matrix, 0, out=matrix)
+                yield _batch({"unit": unit[moved], "to": to[moved].astype(np.int64)})
 
     return fn
 
 
-def exchange(pairs: DataFrame, units: Units, counts: np.ndarray, rounds: int = ROUNDS) -> Units:
-    """Units with classes after ``rounds`` rounds. ``pairs``: (u, v, n), u before v."""
+def _likelihood(matrix: np.ndarray) -> float:
+    return float(_f(matrix).sum() - _f(matrix.sum(axis=1)).sum() - _f(matrix.sum(axis=0)).sum())
+
+
+def exchange(pairs: DataFrame, units: Units, counts: np.ndarray) -> Units:
+    """Units with the classes they have when few words move. ``pairs``: (u, v, n), u before v.
+
+    The driver gets class counts, the class counts around heavy words, and moves; classes are
+    broadcast, four bytes a word.
+    """
     frequent = len(units.hashes)
-    movable = units.classes - SHAPES - 1
+    m, movable = units.classes, units.classes - SHAPES - 1
     sc = pairs.sparkSession.sparkContext
-    sides = pairs.select(F.col("u").alias("unit"), F.lit(0).alias("side"), F.col("v").alias("other"), "n").union(
-        pairs.select(F.col("v").alias("unit"), F.lit(1).alias("side"), F.col("u").alias("other"), "n")
-    )
-    # A row holds a frequent word's neighbours, of which there are no more than twice the units.
+    tokens = float(counts.sum())
+    # A third of the heavy words is at hand in each round.
+    heavy = np.flatnonzero(counts > HEAVY_SHARE * tokens)
+    sides = pairs.select(
+        F.col("u").alias("unit"), F.lit(0).alias("side"), F.col("v").alias("other"), "n"
+    ).union(pairs.select(F.col("v").alias("unit"), F.lit(1).alias("side"), F.col("u").alias("other"), "n"))
+    light = (F.col("unit") < frequent) & ~F.col("unit").isin([int(x) for x in heavy])
+    # A row holds a word's neighbours, of which there are no more than twice its occurrences.
     rows = keep(
-        sides.where(F.col("unit") < frequent).groupBy("unit").agg(
+        sides.where(light).groupBy("unit").agg(
             F.collect_list(F.struct("side", "other", "n")).alias("entries")
         ),
         "neighbours",
     )
-    def matrix_of(class_of: np.ndarray) -> np.ndarray:
-        shared = sc.broadcast(class_of)
+
+    def count_classes(shared):
+        """Cells of the class matrix, then of the heavy words' neighbours, then their own pairs."""
 
         def fn(batches):
-            found = np.zeros((units.classes, units.classes))
+            class_of, mine = shared.value
+            rank = np.full(len(class_of), -1)
+            rank[mine] = np.arange(len(mine))
+            found = np.zeros(m * m + len(mine) * (2 * m + 1))
             for batch in batches:
                 u, v, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                np.add.at(found, (shared.value[u], shared.value[v]), n)
+                of_u, of_v = class_of[u], class_of[v]
+                found += np.bincount(of_u * m + of_v, n, len(found))
+                if not len(mine):
+                    continue
+                for side, unit, other in ((0, u, of_v), (1, v, of_u)):
+                    at = np.flatnonzero((rank[unit] >= 0) & (u != v))
+                    cell = m * m + (side * len(mine) + rank[unit[at]]) * m + other[at]
+                    found += np.bincount(cell, n[at], len(found))
+                at = np.flatnonzero((rank[u] >= 0) & (u == v))
+                found += np.bincount(m * m + 2 * len(mine) * m + rank[u[at]], n[at], len(found))
             at = np.flatnonzero(found)
-            yield _batch({"cell": at, "n": found.reshape(-1)[at]})
+            yield _batch({"cell": at, "n": found[at]})
 
-        out = np.zeros(units.classes**2)
-        got = pairs.mapInArrow(fn, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect()
-        for cell, n in got:  # at most classes * classes numbers
-            out[cell] = n
-        return out.reshape(units.classes, units.classes)
+        return fn
 
     class_of = units.class_of.copy()
-    for turn in range(rounds if frequent else 0):
-        shared = sc.broadcast((class_of, matrix_of(class_of), turn % 3, 3))
-        for unit, to in rows.mapInArrow(_best_classes(shared, movable), "unit long, to long").collect():
-            class_of[unit] = to  # no more rows than frequent words
-    return Units(units.hashes, class_of, units.classes)
+    best, reached, moves, turn, turns = class_of.copy(), -np.inf, frequent, 0, TURNS
+    undone, tasks = False, rows.rdd.getNumPartitions()
+    while frequent:
+        mine = heavy[heavy % turns == turn]
+        shared = sc.broadcast((class_of, mine))
+        got = (
+            pairs.mapInArrow(count_classes(shared), "cell long, n double")
+            .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        )
+        shared.destroy()
+        out = np.zeros(m * m + len(mine) * (2 * m + 1))
+        out[got["cell"].to_numpy()] = got["n"].to_numpy()
+        matrix = out[: m * m].reshape(m, m)
+        if turn == 0:
+            now = _likelihood(matrix)
+            gained, few = now - reached, moves < FEW_MOVES * frequent
+            if undone:
+                gained, few, undone = np.inf, False, False
+            if gained > 0:
+                best, reached = class_of.copy(), now
+            if few or 0 <= gained < LITTLE_GAIN * tokens or turns > MOST_TURNS:
+                break
+            moves = 0
+            if gained < 0:
+                # Too many words moved together: the pass is undone, and fewer do.
+                class_of, turns, undone = best.copy(), TURNS * turns, True
+                continue
+        shared = sc.broadcast((class_of, matrix))
+        moved = (
+            rows.where(F.col("unit") % turns == turn)
+            .mapInArrow(_best_classes(shared, movable, tasks), "unit long, to long").toArrow()
+        )
+        shared.destroy()
+        own = class_of[mine]
+        after, before = out[m * m : m * m + 2 * len(mine) * m].reshape(2, len(mine), m)
+        to = _best(own, after, before, out[m * m + 2 * len(mine) * m :], matrix, movable)
+        class_of[moved["unit"].to_numpy()] = moved["to"].to_numpy()
+        class_of[mine] = to
+        moves += moved.num_rows + int((to != own).sum())
+        turn = (turn + 1) % turns
+    return Units(units.hashes, best if frequent else class_of, units.classes)
 
 
 @dataclass
 class Model:
     units: Units
     log_next: np.ndarray  # class x class x class: log10 p(third | first, second)
-    log_word: np.ndarray  # of each frequent word in its class
+    log_size: np.ndarray  # log10 of the clustered tokens of each class
     shape_total: np.ndarray  # tokens of rare words by shape
     discount: np.ndarray
     log_unknown: np.ndarray  # of the unknown word of each shape
-    counts: np.ndarray  # of the frequent words
+    counts: np.ndarray  # of the clustered words
     tokens: int
     types: int
     texts: int
 
+    def emission(self, units: np.ndarray) -> np.ndarray:
+        """log10 p(word | class) of clustered words."""
+        return np.log10(self.counts[units]) - self.log_size[self.units.class_of[units]]
+
+    @property
+    def log_word(self) -> np.ndarray:
+        return self.emission(np.arange(len(self.counts)))
+
 
 def _trigram_table(found, m: int) -> np.ndarray:
     """log10 of Witten-Bell probabilities from counts of three classes."""
@@ -240,12 +361,13 @@ def _trigram_table(found, m: int) -> np.ndarray:
 
 
 def learn(
-    train: DataFrame, text: str = "text", classes: int = CLASSES, min_share: float = MIN_SHARE,
-    rounds: int = ROUNDS,
+    train: DataFrame, text: str = "text", classes: int = CLASSES, min_count: int = MIN_COUNT,
+    min_share: float = 0.0,
 ) -> tuple[Model, DataFrame]:
     """The model, and the table (h, shape, n) of all training words. Null texts are empty ones.
 
-    The driver gets the frequent words, whose number ``min_share`` bounds, and class counts.
+    The driver gets the hashes and counts of the clustered words (as Arrow, 20 bytes a word) and
+    class counts. A caller may bound the words by ``min_share`` of the tokens; by default it is 0.
     """
     spark = train.sparkSession
     sc = spark.sparkContext
@@ -259,22 +381,25 @@ def learn(
     total = words.agg(F.sum("n"), F.count("*")).first()
     tokens = int(total[0] or 0) + texts
     types = int(total[1]) + (texts > 0)
-    often = F.col("n") >= max(min_share * tokens, 2)
-    frequent = sorted((np.uint64(h % 2**64), n) for h, n in words.where(often).select("h", "n").collect())
-    hashes = np.array([x[0] for x in frequent], np.uint64)
-    counts = np.array([x[1] for x in frequent], float)
+    often = F.col("n") >= max(min_share * tokens, min_count)
+    frequent = words.where(often).select("h", "n").toArrow()
+    hashes = frequent["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], frequent["n"].to_numpy()[order].astype(float)
     shapes = {
         r["shape"]: r
-        for r in words.where(~often).groupBy("shape").agg(
-            F.sum("n").alias("n"), F.count("*").alias("kinds"),
+        for r in words.groupBy("shape").agg(
+            F.sum(F.when(~often, F.col("n"))).alias("n"),
+            F.count_if(~often).alias("kinds"),
             F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
-        ).collect()
+        ).where("kinds > 0").collect()
     }
     movable = max(1, min(classes, len(hashes)))
-    start = np.empty(len(hashes), np.int64)
-    start[np.argsort(-counts, kind="stable")] = np.arange(len(hashes)) % movable
+    start = np.empty(len(hashes), np.int32)
+    # The most frequent words have a class each, all others the last one.
+    start[np.argsort(-counts, kind="stable")] = np.minimum(np.arange(len(hashes)), movable - 1)
     units = Units(
-        hashes, np.concatenate([start, movable + np.arange(SHAPES + 1)]), movable + SHAPES + 1
+        hashes, np.concatenate([start, movable + np.arange(SHAPES + 1, dtype=np.int32)]), movable + SHAPES + 1
     )
     width = units.end + 1
     found = only.mapInArrow(_grams(sc.broadcast(units), 2, False), "key long, n long")
@@ -284,7 +409,7 @@ def learn(
         ),
         "pairs",
     )
-    units = exchange(pairs, units, counts, rounds)
+    units = exchange(pairs, units, counts)
     grams = only.mapInArrow(_grams(sc.broadcast(units), 3, True), "key long, n long")
     table = _trigram_table(
         grams.groupBy("key").agg(F.sum("n").alias("n")).collect(), units.classes
@@ -296,8 +421,8 @@ def learn(
         d = min(max(d, 0.1), 0.95)
         shape_total[shape], discount[shape] = r["n"], d
         log_unknown[shape] = np.log10(d * r["kinds"] / r["n"])
-    log_word = np.log10(counts / size[units.class_of[: len(hashes)]]) if len(hashes) else counts
-    model = Model(units, table, log_word, shape_total, discount, log_unknown, counts, tokens,
+    log_size = np.log10(np.maximum(size, 1))
+    model = Model(units, table, log_size, shape_total, discount, log_unknown, counts, tokens,
                   types, texts)
     return model, words.where(~often).select("h", "n")
 
@@ -349,7 +474,7 @@ def _score(model: Model, part: pa.Array, known: np.ndarray, n_known: np.ndarray)
     emit = np.zeros(len(hashes))
     often = units < frequent
     count[often] = model.counts[units[often]]
-    emit[often] = model.log_word[units[often]]
+    emit[often] = model.emission(units[often])
     rare = np.flatnonzero(~often)
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes[rare]), len(known) - 1)

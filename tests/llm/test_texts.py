@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,49 @@ def test_probabilities_of_the_next_word_add_to_one(spark):
     assert rare.count() > 0
 
 
+def test_rare_words_are_in_learned_classes(spark):
+    rng = random.Random(3)
+    # 30,000 words of three occurrences or so, of one shape; the word before tells their kind.
+    rows = [(i, " ".join(f"{k} {k}{rng.randrange(15_000):05d}" for k in rng.choices("xy", k=50)))
+            for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rare = brown_ngrams.learn(docs, classes=4)
+    counts = Counter(w for _, text in rows for w in text.encode().split())
+    assert len(model.counts) == sum(n > 1 for n in counts.values()) > 20_000
+    assert rare.count() == sum(n == 1 for n in counts.values())
+    words = sorted(w for w, n in counts.items() if n > 1 and len(w) > 1)
+    _, hashes, shapes = brown_ngrams._words(pa.array([b" ".join(words).decode()], pa.large_string()))
+    classes = model.units.class_of[model.units.of(hashes, shapes)]
+    assert classes.max() < 4
+    kinds = Counter((w[:1], int(c)) for w, c in zip(words, classes, strict=True))
+    pure = sum(max(kinds[(b"x", c)], kinds[(b"y", c)]) for c in range(4))
+    assert pure > 0.99 * len(words)
+
+
+def test_best_class_is_that_of_the_highest_likelihood():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 4, (12, 12)).astype(float)
+    class_of = rng.integers(0, 4, 12)
+    class_of[10:] = [4, 5]  # not movable
+
+    def matrix(of):
+        return np.array([[pairs[np.ix_(of == a, of == b)].sum() for b in range(6)] for a in range(6)])
+
+    onto = np.eye(6)[class_of]
+    apart = pairs * (1 - np.eye(12))
+    got = brown_ngrams._best(
+        class_of[:10], (apart @ onto)[:10], (apart.T @ onto)[:10], np.diag(pairs)[:10].copy(),
+        matrix(class_of), 4,
+    )
+    for word in range(10):
+        reached = []
+        for c in range(4):
+            other = class_of.copy()
+            other[word] = c
+            reached.append(brown_ngrams._likelihood(matrix(other)))
+        assert reached[got[word]] == pytest.approx(max(reached))
+
+
 def brute_best_fit(sizes, opened, capacities, cost):
     bins = []
     for size in sorted(sizes, reverse=True):

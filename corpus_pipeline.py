@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the count rules and whose compression stays in its bands."""
     ship(spark)
-    return compression_bands.filter_quality(docs)
+    return compression_bands.filter_quality(docs, bands=compression_bands.MEASURED)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

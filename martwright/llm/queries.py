@@ -167,7 +167,7 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
              "kept", "ratio", "n_chunks", "n_repetitive", "n_incompressible")
-    judged = compression_bands.with_quality(docs)
+    judged = compression_bands.with_quality(docs, bands=compression_bands.MEASURED)
     return judged.select("doc_id", *[F.col(f"quality_rules.{x}").alias(x) for x in names])
 
 

@@ -7,12 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from martwright.llm import bpe_tree, compression_bands, cross_parsing, kn_toxicity
+from martwright.llm.queries import QUERIES
 
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 HARD = [None, "", " \n\t", "a", "x" * 30_000, "word " * 20_000, "Ünï çødé 日本語 ‍👩‍🚀", "same", "same"]
 
+SF = "/root/testdata/sf0.01"
+
 
 def frame(spark, texts, **more):
     """Rows with a null id, a repeated id and a clashing extra column."""
@@ -110,6 +113,25 @@ def test_quality_bands(spark):
     assert compression_bands.filter_quality(df).columns == df.columns
 
 
+def test_measured_bands_decide(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = QUERIES["op7_compression_bands"](spark, SF).where(~F.col("base_failed"))
+    lost = judged.where(~F.col("kept")).join(labels, "doc_id").groupBy("quality").count()
+    lost = {r["quality"]: r["count"] for r in lost.collect()}
+    assert lost.get(0, 0) > 0 and lost.get(1, 0) == 0
+    rng = random.Random(7)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    noise = [" ".join("".join(rng.choices(letters[:k], k=8)) for _ in range(n))
+             for k, n in [(62, 100), (62, 400), (62, 4000), (16, 700), (16, 4000)]]
+    bands = compression_bands.MEASURED
+    rows = compression_bands.with_quality(frame(spark, noise), bands=bands).collect()
+    assert not any(r["quality_rules"]["kept"] or r["quality_rules"]["base_failed"] for r in rows)
+    fitted = compression_bands.fit(docs).limits
+    assert [x[0] for x in fitted] == [x[0] for x in bands.limits]
+    assert all(abs(x[1] - y[1]) < 0.05 for x, y in zip(fitted[3:6], bands.limits[3:6], strict=True))
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     common = [f"w{i}" for i in range(60)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import (
@@ -41,6 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def message_id(conv_id: Column, turn: Column) -> Column:
+    """A number for each (conv_id, turn), in order of turns within a conversation.
+
+    Turns 0 to 999 are numbered as the SQL does. Others, which would run into the next
+    conversations, have the ranges of 2 ** 61 numbers around 2 ** 62 and -2 ** 62 to themselves.
+    What fits nowhere is an error.
+    """
+    conv_id, turn = conv_id.cast("long"), turn.cast("long")
+    usual = turn.between(0, 999)
+    far = F.when(turn > 0, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62)))
+    return (
+        F.when(usual & conv_id.between(-(10**15), 10**15), conv_id * 1000 + turn)
+        .when(~usual & conv_id.between(-(1 << 28), 1 << 28) & turn.between(-(1 << 32), (1 << 32) - 1),
+              far + conv_id * (1 << 32) + turn)
+        .otherwise(F.raise_error(F.lit("conv_id or turn too large for a message id")).cast("long"))
+    )
+
+
 def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(msg_id, text): the turns of ``conversations`` as mail. Each turn quotes the turn before it
     and, one level deeper, what that one quoted first."""
@@ -64,7 +82,8 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         quoted(2), ["conv_id", "turn"], "left"
     )
     mail = F.concat_ws("\n", "text", F.when(F.col("quote1").isNotNull(), ""), "quote1", "quote2")
-    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), mail.alias("text"))
+    number = message_id(F.col("conv_id"), F.col("turn"))
+    return both.select(number.alias("msg_id"), mail.alias("text"))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from martwright.llm import best_fit_packing, brown_ngrams, quote_links
+from martwright.llm.queries import QUERIES, message_id
 from martwright.llm.rows import fold_of
 from tests.conftest import SMALL
 
@@ -193,6 +194,26 @@ def test_conversations(spark):
     assert quote_links.conversations(mail.limit(0)).count() == 0
 
 
+def test_long_conversations_do_not_run_into_others(spark, tmp_path):
+    rows = [(1, t, "user", f"first says {t}") for t in range(-2, 1203)]
+    rows += [(2, t, "user", f"second says {t}") for t in range(300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op1_quote_links"](spark, str(tmp_path)).collect()
+    assert sorted(r["body"] for r in got) == sorted(r[3] for r in rows)
+    body = {r["message_id"]: r["body"] for r in got}
+    assert len(body) == len(rows)
+    replies = {r["body"]: body.get(r["parent_id"]) for r in got}
+    before = {(c, t): text for c, t, _, text in rows}
+    assert replies == {text: before.get((c, t - 1)) for c, t, _, text in rows}
+    places = {r["body"]: r["position"] for r in got}
+    assert places == {text: t + 2 if c == 1 else t for c, t, _, text in rows}
+    assert {2000 + t for t in range(300)} < set(body)
+    beyond = spark.range(1).select(message_id(F.lit(1 << 40), F.lit(1000)))
+    with pytest.raises(Exception, match="too large"):
+        beyond.collect()
+
+
 def test_long_chain_and_broad_star(spark):
     rows = [(0, "start")]
     rows += [(i, f"say {i}\n> {'start' if i == 1 else f'say {i - 1}'}") for i in range(1, 70)]

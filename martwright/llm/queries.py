@@ -15,9 +15,12 @@ from martwright.llm import (
     compression_bands,
     cross_parsing,
     dart_minhash,
+    filter_audit,
     itq_hamming,
     kn_toxicity,
+    prefix_trie,
     quote_links,
+    secret_crf,
     sparse_suffixes,
 )
 from martwright.llm.rows import fold_of
@@ -214,3 +217,148 @@ def op9_itq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sparse_suffixes.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.inline("spans").alias("start_word", "end_word"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents"))
+    postings = filter_audit.posting_lists(failed, table(spark, sf_dir, "labels"))
+    return filter_audit.audit(filter_audit.removals(postings))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')
+            AS words
+    FROM documents
+), marked AS (
+    SELECT part,
+        list_filter([
+            CASE WHEN len(words) < 200 THEN 'A' END,
+            CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+            CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text)
+                THEN 'C' END,
+            CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+            CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END
+        ], lambda f: f IS NOT NULL) AS fails,
+        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic
+    FROM docs
+), kinds AS (
+    SELECT part, fails, good, toxic, count(*) AS n FROM marked GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS f,
+        string_split(substr(filter_order, 1, step - 1), '') AS before
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counts AS (
+    SELECT part, filter_order, step, f,
+        sum(n) FILTER (NOT list_contains(fails, f) AND NOT list_has_any(fails, before)) AS kept,
+        sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS removed,
+        sum(n) FILTER (list_contains(fails, f) AND list_has_any(fails, before)) AS redundant,
+        sum(n) FILTER (fails = [f]) AS unique_fails,
+        sum(n) FILTER (good AND list_contains(fails, f) AND NOT list_has_any(fails, before))
+            AS good_lost,
+        sum(n) FILTER (toxic AND list_contains(fails, f) AND NOT list_has_any(fails, before))
+            AS toxic_lost
+    FROM kinds, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+    CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+    CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+    CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(turns))
+    return nodes.drop("id", "parent")
+
+
+# Keeps every prefix as a list of its turns, and sums over the prefixes of each node.
+ORACLE["op13_prefix_trie"] = r"""
+WITH RECURSIVE bytes(i, k, v) AS (
+    SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+    FROM bytes WHERE k < 8
+), digits(conv, s, i, crc) AS (
+    SELECT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT)
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    UNION ALL
+    SELECT conv, s, d.i + 1, xor(crc >> 8, b.v)
+    FROM digits d JOIN bytes b ON b.k = 8 AND b.i = xor(crc, ascii(substr(s, d.i + 1, 1))) & 255
+    WHERE d.i < length(s)
+), convs AS (
+    SELECT conv, conv - conv % 100 AS base, xor(crc, 4294967295) % 6 AS h
+    FROM digits WHERE i = length(s)
+), turns AS (
+    SELECT conv_id AS conv, coalesce(text, '') AS text,
+        length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+            coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), parts AS (
+    SELECT c.conv, 0 AS own, t.k, t.said, t.text FROM convs c JOIN turns t ON t.conv = c.base
+    WHERE t.k <= c.h
+    UNION ALL
+    SELECT c.conv, 1, t.k, t.said, t.text FROM convs c JOIN turns t ON t.conv = c.conv
+    WHERE t.k > c.h
+), whole AS (
+    SELECT c.conv, coalesce(list(p.said ORDER BY own, k) FILTER (p.said IS NOT NULL), []) AS said,
+        coalesce(list(p.text ORDER BY own, k) FILTER (p.said IS NOT NULL), []) AS texts
+    FROM convs c LEFT JOIN parts p USING (conv) GROUP BY c.conv
+), starts AS (
+    SELECT conv, d, said[1:d] AS path, length(texts[d]) AS size, d = len(said) AS ends
+    FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM whole)
+), nodes AS (
+    SELECT path, d, min(conv) AS conv_id, count(*) AS n_convs, coalesce(max(size), 0) AS size,
+        sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (ends), ''))
+            AS ends_sha256
+    FROM starts GROUP BY path, d
+), kids AS (
+    SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), counted AS (
+    SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)
+), above AS (
+    SELECT path[1:a] AS path, sum((n_convs - 1) * size) AS saved, count_if(n_children = 0) AS leaves
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
+    c.n_convs, c.n_children, CAST(a.leaves AS BIGINT) AS n_leaves,
+    CAST(a.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN above a USING (path) LEFT JOIN nodes p ON c.d > 0 AND p.path = c.path[1:c.d - 1]
+"""
+
+
+@query
+def op11_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_crf.with_secrets(docs, secret_crf.learn(docs))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(
+                ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
+        )
+
+    spans = F.col("secrets.spans")
+    base = F.filter(spans, lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *[F.col(f"secrets.{n}").alias(n) for n in ("n_assign", "n_access", "n_hex")],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )

@@ -16,6 +16,28 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key counts as hot when it has more than one in so many of the rows.
+HOT_SHARE = 4096
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` left-joined with ``found``, whatever the skew of the keys (none of them null).
+
+    ``found`` has one row a key; ``weight`` says how many of the rows have it and is dropped. Keys
+    with at least one in ``HOT_SHARE`` of all weight, so at most that many, are broadcast; the rest
+    is joined by shuffles in which no key weighs more. ``rows`` is read twice: pass a kept table.
+    """
+    found = keep(found, "found")
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE >= total
+    heavy = F.broadcast(found.where(hot).drop(weight))
+    light = found.where(~hot).drop(weight)
+    return (
+        rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, "left")
+        .unionByName(rows.join(heavy, keys))
+    )
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_, or_
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,45 +70,56 @@ def _midnight_is_plain(day: dt.date, zone: str) -> bool:
     return midnight.utcoffset() == midnight.replace(fold=1).utcoffset()
 
 
-def _inside(
-    df: DataFrame, ts: str, start: dt.date | None, end: dt.date, zone: str, keep: str
-) -> DataFrame:
+def _bounds(
+    df: DataFrame, ts: str, start: dt.date | None, end: dt.date, zone: str
+) -> tuple[dict[str, Column], bool]:
+    """Conditions on the time, on its stored form and on the day folder, as far as the table has
+    them, and whether the first alone is exact."""
     raw, folder, stored = F.col(ts), f"{ts}_day", f"{ts}_instant"
     edges = [end + DAY] if start is None else [start, end + DAY]
-    if all(_midnight_is_plain(edge, zone) for edge in edges):
-        bounds, check = raw < day_begins(edges[-1], zone), None
-        if start is not None:
-            bounds = bounds & (raw >= day_begins(start, zone))
+    exact = all(_midnight_is_plain(edge, zone) for edge in edges)
+
+    def both(column: Column, low, high) -> Column:
+        return high(column) if start is None else high(column) & low(column)
+
+    if exact:
+        first = both(raw, lambda c: c >= day_begins(start, zone),
+                     lambda c: c < day_begins(end + DAY, zone))
     else:
-        bounds, check = raw < F.lit(end + 2 * DAY).cast("timestamp_ntz"), F.col(keep) <= F.lit(end)
-        if start is not None:
-            bounds = bounds & (raw >= F.lit(start - DAY).cast("timestamp_ntz"))
-            check = check & (F.col(keep) >= F.lit(start))
+        first = both(raw, lambda c: c >= F.lit(start - DAY).cast("timestamp_ntz"),
+                     lambda c: c < F.lit(end + 2 * DAY).cast("timestamp_ntz"))
+    found = {ts: first}
     if stored in df.columns:
         # A zone-aware source: the stored column bears its own bounds, a day wider on either side.
-        edge = dt.timezone.utc
-        late = dt.datetime.combine(end + 2 * DAY, dt.time(), edge)
-        bounds = bounds & (F.col(stored) < F.lit(late))
-        if start is not None:
-            bounds = bounds & (F.col(stored) >= F.lit(dt.datetime.combine(start - DAY, dt.time(), edge)))
+        def midnight(day: dt.date) -> Column:
+            return F.lit(dt.datetime.combine(day, dt.time(), dt.timezone.utc))
+
+        found[stored] = both(F.col(stored), lambda c: c >= midnight(start - DAY),
+                             lambda c: c < midnight(end + 2 * DAY))
     if folder in df.columns:
-        bounds = bounds & (F.col(folder) <= F.lit(end + DAY))
-        if start is not None:
-            bounds = bounds & (F.col(folder) >= F.lit(start - DAY))
-    kept = df.where(bounds).withColumn(keep, local_date(raw, zone))
-    return kept if check is None else kept.where(check)
+        found[folder] = both(F.col(folder), lambda c: c >= F.lit(start - DAY),
+                             lambda c: c <= F.lit(end + DAY))
+    return found, exact
 
 
 def within(df: DataFrame, ts: str, rng: DateRange, zone: str, keep: str = "date") -> DataFrame:
     """Rows whose local date lies in ``rng``; the local date is added as ``keep``.
 
     The range is stated on the stored instant, where it reaches the files and costs no conversion
-    per row; where the table is laid out in day folders (``<ts>_day``) it prunes folders too. Only
-    a zone that repeats or skips one of the two midnights needs a check of the converted date.
+    per row; where the table is laid out in day folders (``<ts>_day``) it prunes folders too.
+    Scattered days are stated piece by piece on each of these columns. Only a zone that repeats or
+    skips one of the midnights needs a check of the converted date, and days too many to state.
     """
-    return _inside(df, ts, rng.start, rng.end, zone, keep)
+    told = [_bounds(df, ts, piece.start, piece.end, zone) for piece in rng.pieces]
+    for column in told[0][0]:
+        df = df.where(reduce(or_, [found[column] for found, _ in told]))
+    kept = df.withColumn(keep, local_date(F.col(ts), zone))
+    exact = rng.exact and all(plain for _, plain in told)
+    return kept if exact else kept.where(rng.holds(F.col(keep)))
 
 
 def up_to(df: DataFrame, ts: str, day: dt.date, zone: str, keep: str = "date") -> DataFrame:
     """All history up to and including local ``day``, with the local date as ``keep``."""
-    return _inside(df, ts, None, day, zone, keep)
+    found, exact = _bounds(df, ts, None, day, zone)
+    kept = df.where(reduce(and_, found.values())).withColumn(keep, local_date(F.col(ts), zone))
+    return kept if exact else kept.where(F.col(keep) <= F.lit(day))

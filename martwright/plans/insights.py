@@ -29,7 +29,7 @@ def _buyer_history(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
     that can count is read.
     """
     last_day = rng.end + DAY * LONG_DAYS
-    paid = core.orders.where(v.is_paid(cfg) & F.col("user_id").isNotNull())
+    paid = core.events("orders").where(v.is_paid(cfg) & F.col("user_id").isNotNull())
     date, first = F.col("date"), F.col("first_date")
     after, inside = date > first, rng.holds(date)
     early = date <= F.date_add(first, LONG_DAYS)
@@ -110,7 +110,7 @@ def anomalies(marts: Marts, rng: DateRange, limit: int | None = None) -> DataFra
 def hourly_heatmap(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     local = cal.local_ts(F.col("timestamp"), cfg.zone)
     return (
-        cal.within(core.orders.where(v.is_paid(cfg)), "timestamp", rng, cfg.zone)
+        cal.within(core.events("orders").where(v.is_paid(cfg)), "timestamp", rng, cfg.zone)
         .groupBy(cal.iso_weekday(local).alias("iso_dow"), cal.hour_of(local).alias("hour"))
         .agg(
             F.count("*").alias("paid_orders_count"),

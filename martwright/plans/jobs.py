@@ -6,9 +6,6 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from martwright.operators.workdir import materialize
 from martwright.plans import marts as m
 from martwright.plans.quality import find_issues
@@ -49,13 +46,11 @@ def run_logged(env: Environment, job: str, rng: DateRange, work: Callable[[], in
     return rows
 
 
-def refresh_sales(
-    env: Environment, rng: DateRange, everything: bool = True, days: DataFrame | None = None
-) -> None:
+def refresh_sales(env: Environment, rng: DateRange, everything: bool = True) -> None:
     """Daily, provider and product marts, and with ``everything`` referral and promo too.
 
-    ``days``: a column ``date``; only rows of these days of the range are written. Two small grains are computed once and feed the builders: sales by (day, provider, product)
-    and paid orders by (day, user).
+    Two small grains are computed once and feed the builders: sales by (day, provider, product)
+    and paid orders by (day, user). A ``DaySet`` reads and writes its days only.
     """
     core, cfg, at = env.core, env.cfg, env.cfg.now()
     mix = materialize(m.sales_mix(core, rng, cfg))
@@ -70,8 +65,7 @@ def refresh_sales(
         built["referral_daily"] = m.build_referral_daily(core, rng, cfg, buyers)
         built["promo_daily"] = m.build_promo_daily(core, rng, cfg)
     for name, df in built.items():
-        rows = df if days is None else df.join(F.broadcast(days), "date", "left_semi")
-        env.store.upsert(name, rows, rng, at)
+        env.store.upsert(name, df, rng, at)
 
 
 def backfill_daily(env: Environment, rng: DateRange) -> int:

@@ -131,7 +131,7 @@ def _rolled_up(totals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def sales_mix(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     """Grain that daily, provider and product marts all roll up from: one scan for the three."""
-    return sales_totals(core.orders, rng, cfg, ("payment_provider", "product_type"))
+    return sales_totals(core.events("orders"), rng, cfg, ("payment_provider", "product_type"))
 
 
 def buyer_days(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
@@ -140,7 +140,7 @@ def buyer_days(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     A buyer with any share of the orders is one row per day from here on. NULL users form a group.
     """
     return (
-        cal.within(core.orders.where(v.is_paid(cfg)), "timestamp", rng, cfg.zone)
+        cal.within(core.events("orders").where(v.is_paid(cfg)), "timestamp", rng, cfg.zone)
         .groupBy("date", "user_id")
         .agg(
             F.count("*").alias("paid_n"),
@@ -178,7 +178,7 @@ def build_daily(
     the first skip the NULL user, the second count it as one buyer.
     """
     totals = (
-        sales_totals(core.orders, rng, cfg) if mix is None else _rolled_up(mix, ("date",))
+        sales_totals(core.events("orders"), rng, cfg) if mix is None else _rolled_up(mix, ("date",))
     )
     by_user = buyer_days(core, rng, cfg) if buyers is None else buyers
     buyer_counts = by_user.groupBy("date").agg(
@@ -199,7 +199,7 @@ def build_provider_daily(
 ) -> DataFrame:
     keys = ("date", "payment_provider")
     totals = (
-        sales_totals(core.orders, rng, cfg, keys[1:]) if mix is None else _rolled_up(mix, keys)
+        sales_totals(core.events("orders"), rng, cfg, keys[1:]) if mix is None else _rolled_up(mix, keys)
     )
     conversion = v.exact_rate(F.col("paid_n"), F.col("created_n"))
     return shaped(
@@ -213,18 +213,18 @@ def build_product_daily(
 ) -> DataFrame:
     keys = ("date", "product_type")
     totals = (
-        sales_totals(core.orders, rng, cfg, keys[1:]) if mix is None else _rolled_up(mix, keys)
+        sales_totals(core.events("orders"), rng, cfg, keys[1:]) if mix is None else _rolled_up(mix, keys)
     )
     return shaped("product_daily", totals.withColumns(_sales_columns()))
 
 
 def referred_ids(core: CoreTables) -> DataFrame:
     """Users with a referrer; an empty referrer text counts as one."""
-    return core.users.where(F.col("referrer_id").isNotNull()).select("user_id")
+    return core.events("users").where(F.col("referrer_id").isNotNull()).select("user_id")
 
 
 def referred_signups(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
-    referred = core.users.where(F.col("referrer_id").isNotNull())
+    referred = core.events("users").where(F.col("referrer_id").isNotNull())
     return (
         cal.within(referred, "created_at", rng, cfg.zone)
         .groupBy("date")
@@ -237,7 +237,7 @@ def referral_bonuses(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
     order with a large share of the earnings meets the join as one row per day."""
     stars = (
         cal.within(
-            core.referral_earnings.where(F.col("order_id").isNotNull()),
+            core.events("referral_earnings").where(F.col("order_id").isNotNull()),
             "created_at",
             rng,
             cfg.zone,
@@ -246,7 +246,7 @@ def referral_bonuses(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
         .agg(F.sum("stars").alias("stars"))
         .where(F.col("stars") != 0)
     )
-    prices = core.orders.where(F.col("cost_per_star") != 0).select("order_id", "cost_per_star")
+    prices = core.events("orders").where(F.col("cost_per_star") != 0).select("order_id", "cost_per_star")
     return (
         stars.join(prices, "order_id")
         .groupBy("date")
@@ -286,14 +286,14 @@ def build_promo_daily(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFr
     """Redemptions beside paid orders by (day, code). NULL codes are dropped, empty ones kept."""
     redeemed = (
         cal.within(
-            core.promo_redemptions.where(F.col("code").isNotNull()), "created_at", rng, cfg.zone
+            core.events("promo_redemptions").where(F.col("code").isNotNull()), "created_at", rng, cfg.zone
         )
         .groupBy("date", F.col("code").alias("promo_code"))
         .agg(F.count("*").alias("redemptions_count"))
     )
     bought = (
         cal.within(
-            core.orders.where(v.is_paid(cfg) & F.col("promo_code").isNotNull()),
+            core.events("orders").where(v.is_paid(cfg) & F.col("promo_code").isNotNull()),
             "timestamp",
             rng,
             cfg.zone,
@@ -320,7 +320,7 @@ def build_cohort_weekly(core: CoreTables, rng: DateRange, cfg: Settings) -> Data
     weeks = rng.weeks()
     last_day = weeks.end + DAY * (7 * COHORT_AGES - 1)
     user_weeks = (
-        cal.up_to(core.orders.where(v.is_paid(cfg)), "timestamp", last_day, cfg.zone)
+        cal.up_to(core.events("orders").where(v.is_paid(cfg)), "timestamp", last_day, cfg.zone)
         .groupBy("user_id", cal.week_start(F.col("date")).alias("week"))
         .agg(v.sum_kopecks(F.col("amount_rub")).alias("kopecks"))
     )

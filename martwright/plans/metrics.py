@@ -128,7 +128,7 @@ def _paid_sum(cfg: Settings, value: Column) -> Column:
 def day_breakdown(core: CoreTables, marts: Marts, day: dt.date, cfg: Settings) -> DataFrame:
     """Money of one day: revenue less cost, promo discounts and referral bonuses."""
     rng = DateRange.one_day(day)
-    sales = cal.within(core.orders, "timestamp", rng, cfg.zone).agg(
+    sales = cal.within(core.events("orders"), "timestamp", rng, cfg.zone).agg(
         F.count("*").alias("orders_created_count"),
         F.count_if(v.is_paid(cfg)).alias("orders_paid_count"),
         _paid_sum(cfg, F.col("amount_rub")).alias("revenue"),
@@ -161,7 +161,7 @@ def day_buyers(core: CoreTables, day: dt.date, cfg: Settings) -> DataFrame:
     are looked up; NULL users stay one unnamed row."""
     bought = (
         cal.within(
-            core.orders.where(v.is_paid(cfg)), "timestamp", DateRange.one_day(day), cfg.zone
+            core.events("orders").where(v.is_paid(cfg)), "timestamp", DateRange.one_day(day), cfg.zone
         )
         .groupBy("user_id")
         .agg(
@@ -173,9 +173,9 @@ def day_buyers(core: CoreTables, day: dt.date, cfg: Settings) -> DataFrame:
     )
     # The day's plain ids cut the users down before they are shuffled.
     ids = cal.within(
-        core.orders.where(v.is_paid(cfg)), "timestamp", DateRange.one_day(day), cfg.zone
+        core.events("orders").where(v.is_paid(cfg)), "timestamp", DateRange.one_day(day), cfg.zone
     ).select("user_id")
-    names = core.users.select("user_id", "username").join(ids, "user_id", "left_semi")
+    names = core.events("users").select("user_id", "username").join(ids, "user_id", "left_semi")
     return (
         bought.join(names, "user_id", "left")
         .select(
@@ -205,12 +205,12 @@ def day_orders(
 ) -> DataFrame:
     """Orders of the day, newest first; a list of the latest ``limit`` is cut before names are
     attached."""
-    orders = cal.within(core.orders, "timestamp", DateRange.one_day(day), cfg.zone)
+    orders = cal.within(core.events("orders"), "timestamp", DateRange.one_day(day), cfg.zone)
     latest = top(orders, limit, F.desc("timestamp"), F.asc("order_id")).select(
         "order_id", "user_id", "status", "product_type", *_order_line(cfg)
     )
     return (
-        attach_names(latest, core.users, "user_id", ["username"], limit)
+        attach_names(latest, core.events("users"), "user_id", ["username"], limit)
         .select(
             "order_id",
             "user_id",
@@ -262,7 +262,7 @@ def users(
     ``%`` and ``_`` in the search text act as wildcards, a backslash as itself. Of a search only
     the orders of the users found are grouped. All users are listed, or the first ``limit``.
     """
-    found = core.users
+    found = core.events("users")
     wanted = (search or "").strip()
     if wanted:
         pattern = "%" + wanted.replace("\\", "\\\\") + "%"
@@ -270,7 +270,7 @@ def users(
     date = F.col("date")
     inside, paid = rng.holds(date), v.is_paid(cfg)
     has_id = F.col("order_id").isNotNull()
-    orders = core.orders.where(F.col("user_id").isNotNull())
+    orders = core.events("orders").where(F.col("user_id").isNotNull())
     if wanted:
         orders = orders.join(found.select("user_id"), "user_id", "left_semi")
     per_user = (
@@ -300,11 +300,11 @@ def users(
 
 
 def user_profile(core: CoreTables, user_id: str, cfg: Settings) -> DataFrame:
-    return core.users.where(F.col("user_id") == F.lit(user_id)).select(*_profile_columns(cfg))
+    return core.events("users").where(F.col("user_id") == F.lit(user_id)).select(*_profile_columns(cfg))
 
 
 def _orders_of(core: CoreTables, user_id: str, rng: DateRange, cfg: Settings) -> DataFrame:
-    own = core.orders.where(F.col("user_id") == F.lit(user_id))
+    own = core.events("orders").where(F.col("user_id") == F.lit(user_id))
     return cal.within(own, "timestamp", rng, cfg.zone)
 
 
@@ -351,12 +351,12 @@ def funnel(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     of events is one row there; orders then collapse to (day, user).
     """
     with_payment = (
-        core.payment_transactions.where(F.col("order_id").isNotNull())
+        core.events("payment_transactions").where(F.col("order_id").isNotNull())
         .select("order_id")
         .distinct()
         .withColumn("checked_out", F.lit(1))
     )
-    orders = cal.within(core.orders, "timestamp", rng, cfg.zone)
+    orders = cal.within(core.events("orders"), "timestamp", rng, cfg.zone)
     by_day = (
         orders.join(with_payment, "order_id", "left")
         .groupBy("date", "user_id")

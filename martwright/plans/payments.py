@@ -25,7 +25,7 @@ from martwright.sources.core import CoreTables
 
 def _undated(core: CoreTables) -> DataFrame:
     """Transactions that take their day from their order."""
-    tx = core.payment_transactions
+    tx = core.events("payment_transactions")
     missing = F.col("created_at").isNull() & F.col("order_id").isNotNull()
     if "created_at_day" in tx.columns:
         missing = missing & F.col("created_at_day").isNull()
@@ -33,7 +33,7 @@ def _undated(core: CoreTables) -> DataFrame:
 
 
 def _order_dates(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
-    return cal.within(core.orders, "timestamp", rng, cfg.zone).select("order_id", "date")
+    return cal.within(core.events("orders"), "timestamp", rng, cfg.zone).select("order_id", "date")
 
 
 def payment_events(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
@@ -52,7 +52,7 @@ def payment_events(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
         is_success(cfg).alias("success"),
         F.lit(1).alias("events"),
     ]
-    dated = cal.within(core.payment_transactions, "created_at", rng, cfg.zone)
+    dated = cal.within(core.events("payment_transactions"), "created_at", rng, cfg.zone)
     by_order = _undated(core).join(_order_dates(core, rng, cfg), "order_id")
     return dated.select(*columns).unionByName(by_order.select(*columns))
 
@@ -96,7 +96,7 @@ def payments_daily(
 ) -> DataFrame:
     events = payment_events(core, rng, cfg) if events is None else events
     filled = fill_days(
-        core.spark, rng, sales_totals(core.orders, rng, cfg), _attempts(events, "date")
+        core.spark, rng, sales_totals(core.events("orders"), rng, cfg), _attempts(events, "date")
     )
     return filled.select(
         "date",
@@ -114,7 +114,7 @@ def payments_providers(
     """Orders beside attempts by provider. Aliases are folded on the attempt side only."""
     events = payment_events(core, rng, cfg) if events is None else events
     orders = (
-        cal.within(core.orders, "timestamp", rng, cfg.zone)
+        cal.within(core.events("orders"), "timestamp", rng, cfg.zone)
         .groupBy(v.or_unknown(F.col("payment_provider")).alias("provider"))
         .agg(
             F.count("*").alias("orders_created_count"),
@@ -209,7 +209,7 @@ def _referred_orders(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
     """Orders of referred users by day, collapsed to (day, user) before the users are joined."""
     paid = v.is_paid(cfg)
     return (
-        cal.within(core.orders.where(F.col("user_id").isNotNull()), "timestamp", rng, cfg.zone)
+        cal.within(core.events("orders").where(F.col("user_id").isNotNull()), "timestamp", rng, cfg.zone)
         .groupBy("date", "user_id")
         .agg(
             F.count("*").alias("created"),
@@ -236,7 +236,7 @@ def _referred_transactions(core: CoreTables, rng: DateRange, cfg: Settings) -> D
     the users are, so neither a heavy order nor a heavy user reaches a join as more than one row
     per day. Grouping by order rides on the join's own partitioning.
     """
-    tx = core.payment_transactions.where(F.col("order_id").isNotNull())
+    tx = core.events("payment_transactions").where(F.col("order_id").isNotNull())
     dated = (
         cal.within(tx, "created_at", rng, cfg.zone)
         .groupBy("order_id", F.col("date").alias("own_date"))
@@ -248,7 +248,7 @@ def _referred_transactions(core: CoreTables, rng: DateRange, cfg: Settings) -> D
         .agg(F.count("*").alias("events"))
         .withColumn("own_date", F.lit(None).cast("date"))
     )
-    orders = core.orders.where(F.col("user_id").isNotNull()).select(
+    orders = core.events("orders").where(F.col("user_id").isNotNull()).select(
         "order_id", "user_id", cal.local_date(F.col("timestamp"), cfg.zone).alias("order_date")
     )
     return (

@@ -73,7 +73,7 @@ def paid_mismatch(
     core: CoreTables, daily: DataFrame, rng: DateRange, cfg: Settings, seen: dt.datetime
 ) -> DataFrame:
     """One row when the paid orders of the range and the mart's paid counts differ."""
-    raw = cal.within(core.orders.where(v.is_paid(cfg)), "timestamp", rng, cfg.zone).agg(
+    raw = cal.within(core.events("orders").where(v.is_paid(cfg)), "timestamp", rng, cfg.zone).agg(
         F.count("*").alias("raw_paid")
     )
     booked = daily.where(rng.holds(F.col("date"))).agg(

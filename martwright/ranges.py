@@ -61,6 +61,26 @@ class DateRange:
     def week_count(self) -> int:
         return (monday(self.end) - monday(self.start)).days // 7 + 1
 
+    @property
+    def pieces(self) -> tuple[DateRange, ...]:
+        """Contiguous ranges that cover the days."""
+        return (self,)
+
+    @property
+    def exact(self) -> bool:
+        """Whether the pieces hold no other day."""
+        return True
+
+    def months(self) -> list[dt.date]:
+        """First days of the months that the pieces touch."""
+        found = set()
+        for piece in self.pieces:
+            month = month_start(piece.start)
+            while month <= piece.end:
+                found.add(month)
+                month = month_start(month + 31 * DAY)
+        return sorted(found)
+
     def weeks(self) -> DateRange:
         """Both ends moved back to their Monday."""
         return DateRange(monday(self.start), monday(self.end), self.ordered)
@@ -74,7 +94,8 @@ class DateRange:
 
     def spine(self, spark: SparkSession) -> DataFrame:
         """One row per day; the row count is known here, so a single task is enough."""
-        return spark.range(0, self.days, 1, 1).select(
+        span = max(0, (self.end - self.start).days + 1)
+        return spark.range(0, span, 1, 1).select(
             F.date_add(F.lit(self.start), F.col("id").cast("int")).alias("date")
         )
 
@@ -90,6 +111,46 @@ def runs_of(days: list[dt.date]) -> list[DateRange]:
     return out
 
 
+#: A scan is told of at most this many ranges; days beyond are told apart by a set of dates.
+MOST_PIECES = 64
+
+
+@dataclass(frozen=True)
+class DaySet(DateRange):
+    """Scattered days. ``start`` and ``end`` are the outermost; days between are not meant."""
+
+    listed: frozenset[dt.date] = frozenset()
+
+    @classmethod
+    def of(cls, days: list[dt.date]) -> DaySet:
+        return cls(min(days), max(days), True, frozenset(days))
+
+    @property
+    def days(self) -> int:
+        return len(self.listed)
+
+    @property
+    def pieces(self) -> tuple[DateRange, ...]:
+        """The runs of days; where they are too many, those with the smallest gaps are one."""
+        runs = runs_of(list(self.listed))
+        if len(runs) <= MOST_PIECES:
+            return tuple(runs)
+        gaps = sorted(range(1, len(runs)), key=lambda i: runs[i].start - runs[i - 1].end)
+        cuts = sorted(gaps[-(MOST_PIECES - 1):])
+        edges = zip([0, *cuts], [*cuts, len(runs)])
+        return tuple(DateRange(runs[a].start, runs[b - 1].end) for a, b in edges)
+
+    @property
+    def exact(self) -> bool:
+        return sum(p.days for p in self.pieces) == len(self.listed)
+
+    def holds(self, date_col):
+        return date_col.isin([F.lit(day) for day in sorted(self.listed)])
+
+    def spine(self, spark: SparkSession) -> DataFrame:
+        return super().spine(spark).where(self.holds(F.col("date")))
+
+
 # Refresh modes: number of days that end at the as-of day. Fixed values.
 REFRESH_DAYS = {"today": 1, "last_3_days": 3, "last_30_days": 30}
 COHORT_LOOKBACK_DAYS = 84

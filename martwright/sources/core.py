@@ -63,11 +63,17 @@ class CoreTables:
     def reopened(self) -> CoreTables:
         return CoreTables(self._fetch)
 
-    def _table(self, name: str) -> DataFrame:
+    def events(self, name: str) -> DataFrame:
+        """The table for range scans: beside the declared columns those that a range is stated on,
+        where the source has them, ``<time>_day`` (day folders) and ``<time>_instant`` (the time
+        as stored by a zone-aware source)."""
         if name not in self._open:
             self._open[name] = _declared(self._fetch(name), name)
         return self._open[name]
 
+    def _table(self, name: str) -> DataFrame:
+        return self.events(name).drop(f"{EVENT_TIME[name]}_instant")
+
     @property
     def orders(self) -> DataFrame:
         return self._table("orders")

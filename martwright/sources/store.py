@@ -2,7 +2,8 @@
 
 A mart lies in Parquet folders per calendar month, so a daily mart of many years stays a few
 files, a range read opens only its months, and an upsert rewrites only the months it touches.
-One writer per mart is assumed, as the rewrite is not isolated from concurrent readers.
+Months are replaced under a manifest (``operators.versions``): a reader sees the mart before an
+upsert or after it, and writers that meet on a month take turns.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import types as T
 from martwright.functions.calendar import instant
 from martwright.operators.frames import matching, top
 from martwright.operators.keyed_merge import merge_rows
+from martwright.operators.versions import Conflict, Version, VersionedFolder
 from martwright.plans.marts import MARTS, Marts
 from martwright.plans.quality import ISSUES_SCHEMA
-from martwright.ranges import DateRange, month_start
+from martwright.ranges import DateRange
 
 AUDIT = "created_at timestamp_ntz, updated_at timestamp_ntz"
 MONTH = "month"
@@ -30,6 +32,9 @@ RUNS_SCHEMA = """
     rows_written int, error_text string, started_at timestamp_ntz, finished_at timestamp_ntz,
     created_at timestamp_ntz"""
 
+#: How often an upsert starts again after other writers' upserts of the same months.
+UPSERT_ATTEMPTS = 5
+
 # Kept of a failed run's error text; None keeps all of it. Fixed value.
 ERROR_TEXT_LENGTH: int | None = 2000
 
@@ -67,26 +72,36 @@ class MartStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _mart(self, name: str) -> DataFrame:
-        schema = T.StructType.fromDDL(f"{MARTS[name].ddl}, {AUDIT}, {MONTH} date")
-        return self._load(name, schema)
+    def _folder(self, name: str) -> VersionedFolder:
+        return VersionedFolder(self.spark, self._path(name), MONTH)
+
+    def version(self, name: str) -> Version:
+        """The mart as it is now; what is read of it later stays the same."""
+        return self._folder(name).current()
 
-    def _months(self, name: str, rng: DateRange) -> DataFrame:
-        months = F.col(MONTH).between(F.lit(month_start(rng.start)), F.lit(month_start(rng.end)))
-        return self._mart(name).where(months)
+    def _months(self, name: str, rng: DateRange | None, version: Version) -> DataFrame:
+        schema = T.StructType.fromDDL(f"{MARTS[name].ddl}, {AUDIT}, {MONTH} date")
+        months = None if rng is None else [str(m) for m in rng.months()]
+        return self._folder(name).read(version, schema, months)
 
-    def read(self, name: str, rng: DateRange | None = None) -> DataFrame:
+    def read(
+        self, name: str, rng: DateRange | None = None, version: Version | None = None
+    ) -> DataFrame:
         """Key, measures and audit columns; only the months of ``rng`` are opened."""
-        if rng is None:
-            return self._mart(name).drop(MONTH)
-        return self._months(name, rng).where(rng.holds(F.col(MARTS[name].period))).drop(MONTH)
+        rows = self._months(name, rng, version or self.version(name))
+        if rng is not None:
+            rows = rows.where(rng.holds(F.col(MARTS[name].period)))
+        return rows.drop(MONTH)
 
     def marts(self, rng: DateRange | None = None) -> Marts:
-        """All marts without audit columns, as the metric queries take them."""
+        """All marts without audit columns, as the metric queries take them; each as it was when
+        this was called."""
+        versions = {name: self.version(name) for name in MARTS}
 
         def fetch(name: str) -> DataFrame:
             weekly = rng is not None and name == "cohort_weekly"
-            return self.read(name, rng.weeks() if weekly else rng).drop("created_at", "updated_at")
+            rows = self.read(name, rng.weeks() if weekly else rng, versions[name])
+            return rows.drop("created_at", "updated_at")
 
         return Marts(fetch)
 
@@ -95,27 +110,36 @@ class MartStore:
     def upsert(self, name: str, updates: DataFrame, rng: DateRange, at: dt.datetime) -> None:
         """Insert new keys, update known ones, keep the rest; ``rng`` spans the update's dates.
 
-        Rows already stored in the touched months are carried over, then those month folders are
-        replaced as a whole. Running it again gives the same table. An update outside ``rng``
-        stops the write, as it would replace a month whose rows were not carried over.
+        Rows already stored in the touched months are carried over, and new folders of these
+        months take the place of the old ones in one step. Running it again gives the same table.
+        An update outside ``rng`` stops the write, as it would replace a month whose rows were not
+        carried over. Another writer's upsert of the same month makes this one start again on top
+        of it.
         """
-        spec = MARTS[name]
+        spec, folder = MARTS[name], self._folder(name)
         period = F.col(spec.period)
         refusal = F.raise_error(F.lit(f"{name} update outside {rng.start}..{rng.end}"))
         checked = updates.withColumn(
             spec.period, F.when(rng.holds(period), period).otherwise(refusal.cast("date"))
         )
-        merged = merge_rows(
-            self._months(name, rng).drop(MONTH), checked, spec.keys, instant(at)
-        )
-        (
-            merged.withColumn(MONTH, F.trunc(period, "month"))
-            .hint("rebalance", MONTH)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(MONTH)
-            .parquet(self._path(name))
-        )
+        for attempt in range(UPSERT_ATTEMPTS):
+            base = folder.current()
+            merged = merge_rows(
+                self._months(name, rng, base).drop(MONTH), checked, spec.keys, instant(at)
+            )
+            parts = folder.write(
+                merged.withColumn(MONTH, F.trunc(period, "month")).hint("rebalance", MONTH)
+            )
+            try:
+                folder.publish(base, [str(m) for m in rng.months()], parts)
+                return
+            except Conflict:
+                if attempt + 1 == UPSERT_ATTEMPTS:
+                    raise
+
+    def vacuum(self, before: dt.datetime) -> int:
+        """Remove what upserts before this UTC time left behind; returns the folders removed."""
+        return sum(self._folder(name).vacuum(before) for name in MARTS)
 
     def append_issues(self, issues: DataFrame) -> None:
         issues.write.mode("append").parquet(self._path("data_quality_issues"))

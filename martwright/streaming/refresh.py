@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from martwright.functions import calendar as cal
-from martwright.operators.workdir import materialize
 from martwright.plans.jobs import Environment, refresh_sales
-from martwright.ranges import DateRange
+from martwright.ranges import DaySet
 
 
 def touched_days(batch: DataFrame, zone: str) -> DataFrame:
@@ -20,21 +19,39 @@ def touched_days(batch: DataFrame, zone: str) -> DataFrame:
     return batch.select(date).where(F.col("date").isNotNull()).distinct()
 
 
-def refresh_touched(env: Environment, batch: DataFrame, everything: bool = False) -> None:
-    """Rebuild the touched days from the whole orders table and upsert them, in one pass.
+def order_days(orders: DataFrame, zone: str) -> DataFrame:
+    """(key, days): every day on which an order has been seen, as a running state of a stream.
 
-    The driver gets the first and the last of the touched days; the number of jobs does not depend
-    on how many there are or how they lie. No state
-    is kept and any lateness is handled; a replayed batch writes the same rows again. A row that
-    moves an order to another day refreshes that day; its former day is refreshed when the source
-    delivers the old row too, or by the next rolling window.
+    The state holds the distinct days of an order, so that a row which moves an order names the
+    days it leaves as well. Rows without an order id cannot move; their key is their day, so that
+    they share no state but that of their day.
     """
-    env = env.reopened()
-    days = materialize(touched_days(batch, env.cfg.zone))  # at most one row a day of history
-    first, last = days.agg(F.min("date"), F.max("date")).first()
-    if first is None:
-        return
-    refresh_sales(env, DateRange(first, last), everything, days)
+    date = cal.local_date(F.col("timestamp"), zone)
+    own = F.concat(F.lit("order "), F.col("order_id"))
+    return (
+        orders.select(F.coalesce(own, F.concat(F.lit("day "), date.cast("string"))).alias("key"),
+                      date.alias("date"))
+        .where(F.col("key").isNotNull())
+        .groupBy("key").agg(F.collect_set("date").alias("days"))
+    )
+
+
+def refresh_days(env: Environment, days: DataFrame, everything: bool = False) -> None:
+    """Rebuild the days of a column ``date`` from the whole orders table and upsert them.
+
+    The driver gets these days, at most one row a day of the calendar. Only their rows are read,
+    and only their months are rewritten; the number of jobs does not depend on how many there are
+    or how they lie. A replayed batch writes the same rows again.
+    """
+    listed = [r.date for r in days.where(F.col("date").isNotNull()).distinct().collect()]
+    if listed:
+        refresh_sales(env.reopened(), DaySet.of(listed), everything)
+
+
+def refresh_touched(env: Environment, batch: DataFrame, everything: bool = False) -> None:
+    """Refresh the days of these order rows. Days that their orders leave are not known here; see
+    ``stream_refresh``."""
+    refresh_days(env, touched_days(batch, env.cfg.zone), everything)
 
 
 def stream_refresh(
@@ -48,17 +65,22 @@ def stream_refresh(
 ) -> StreamingQuery:
     """Start one pass over the files not yet seen; await the returned query.
 
-    ``source`` is a folder or glob of Parquet order files and ``as_orders`` maps a batch to order
+    ``source`` is a folder or glob of Parquet order files and ``as_orders`` maps its rows to order
     rows. ``env.core.orders`` is expected to show the current version of every order; it is opened
     anew for each batch. With ``everything`` the referral and promo marts of the days follow too.
+
+    The stream keeps the days of each order as its state, below ``checkpoint``: an order that
+    arrives again on another day refreshes the day it left and the day it went to, however far
+    apart. The state takes one row an order; batches only touch the rows of their orders.
     """
-    arriving = spark.readStream.schema(schema).parquet(source)
+    arriving = as_orders(spark.readStream.schema(schema).parquet(source))
 
     def on_batch(batch: DataFrame, _batch_id: int) -> None:
-        refresh_touched(env, as_orders(batch), everything)
+        refresh_days(env, batch.select(F.explode("days").alias("date")), everything)
 
     return (
-        arriving.writeStream.foreachBatch(on_batch)
+        order_days(arriving, env.cfg.zone)
+        .writeStream.outputMode("update").foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -100,21 +100,23 @@ def test_no_window_over_a_single_partition(spark):
                 assert "SinglePartition" not in "\n".join(lines[i : i + 4]), name
 
 
-def test_long_ranges_are_not_broadcast(spark):
+def test_measured_size_decides_how_days_are_filled(spark):
+    """No hint: frames of few days are broadcast, and none is once they exceed the threshold."""
     core = sample_core(spark, SMALL)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def final_plan() -> str:
+        df = marts.build_daily(core, MARCH, CFG)
+        df.collect()
+        return plan_of(df).split("Initial Plan")[0]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    short = final_plan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64")
     try:
-        short = plan_of(marts.build_daily(core, MARCH, CFG))
-        from martwright.operators import frames
-
-        limit, frames.BROADCAST_DAYS = frames.BROADCAST_DAYS, 10
-        try:
-            long = plan_of(marts.build_daily(core, MARCH, CFG))
-        finally:
-            frames.BROADCAST_DAYS = limit
+        long = final_plan()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    assert "BroadcastHashJoin" in short
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in short and "SortMergeJoin" not in short
     assert "BroadcastHashJoin" not in long and "SortMergeJoin" in long
 
 

@@ -26,8 +26,8 @@ from martwright.llm.tables import keep
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
-#: Nats by which a token must favour a class to count; what passes them is summed.
-STRONG = (1.0, 2.0)
+#: Nats by which a token must favour a class to tell by itself; what passes them is summed.
+STRONG = 1.0
 FIELDS = "struct<score:double, log_ratio:double, n_tokens:long>"
 #: Stands for the word before in rows that count a word's texts; no token has it.
 DOCUMENT = "\n"
@@ -65,7 +65,8 @@ class Difference:
         return self.nothing
 
     def text(self, text: str, memory: dict[str, float]) -> tuple[float, float, float, int]:
-        """(sum over the tokens, sums of what passes 1 and 2 nats, number of tokens).
+        """(sum over the tokens, sums of what passes ``STRONG`` nats for and against, number of
+        tokens).
 
         ``memory`` keeps words already looked up.
         """
@@ -82,8 +83,7 @@ class Difference:
             if step is not None:
                 pair = self.pairs.get((before[i], words[i]))
                 each[i] = each[i] + step if pair is None else pair
-        size = np.abs(each)
-        strong = [float((np.sign(each) * np.maximum(size - x, 0)).sum()) for x in STRONG]
+        strong = [float(np.maximum(sign * each - STRONG, 0).sum()) for sign in (1, -1)]
         return float(each.sum()), *strong, len(words)
 
 
@@ -94,14 +94,16 @@ class Model:
 
 
 def features(found: list[tuple]) -> np.ndarray:
-    """Length-normalised differences of the expressions that tell the classes apart, and length.
+    """The length-normalised log-likelihood difference, a token's; what single expressions tell
+    strongly for and against; the length.
 
-    The many small differences are left out: they follow a text's language and subject, not its
-    tone, and add up with its length. A sum over n tokens varies as the root of n.
+    The sums of strong differences are normalised by the root of the length, as a sum over n tokens
+    varies: a few insults in a long text tell, though its mean hardly moves.
     """
-    _, first, second, n = np.array(found, float).reshape(-1, 4).T
+    total, more, less, n = np.array(found, float).reshape(-1, 4).T
     n = np.maximum(n, 1)
-    return np.stack([first / np.sqrt(n), second / np.sqrt(n), np.log1p(n), np.ones_like(n)], -1)
+    root = np.sqrt(n)
+    return np.stack([total / n, more / root, less / root, np.log1p(n), np.ones_like(n)], -1)
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -134,8 +136,12 @@ def labelled_sample(
 
 
 def _pair_counts(sample: DataFrame) -> DataFrame:
-    """(h, w, n<fold><class>...): in how many texts w follows h ('': it comes first), or stands at
-    all (h is DOCUMENT)."""
+    """(h, w, n<fold><class>...): after how many words w follows h ('': it comes first), each text
+    giving one; or in how many texts w stands at all (h is DOCUMENT).
+
+    So a pair in a passage that many texts copy counts once, as a word does that always follows
+    the same word.
+    """
 
     def count(batches):
         for batch in batches:
@@ -143,19 +149,28 @@ def _pair_counts(sample: DataFrame) -> DataFrame:
             for toxic, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)),
                                          strict=True):
                 words = tokens(text)
-                once = {*zip(["", *words], words, strict=False), *((DOCUMENT, w) for w in words)}
-                for pair in once:  # a text that repeats itself says a thing once
-                    found[pair][2 * fold + toxic] += 1
-            keys = list(zip(*found, strict=True)) if found else [[], []]
+                once = {(DOCUMENT, w): "" for w in words}
+                for g, *pair in zip(["", "", *words], ["", *words], words, strict=False):
+                    once.setdefault(tuple(pair), g)  # a text that repeats itself says a thing once
+                for pair, g in once.items():
+                    found[(g, *pair)][2 * fold + toxic] += 1
+            keys = list(zip(*found, strict=True)) if found else [[], [], []]
             sums = list(zip(*found.values(), strict=True)) if found else [[]] * (2 * FOLDS)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(k, pa.string()) for k in keys),
                  *(pa.array(list(n), pa.int64()) for n in sums)],
-                names=["h", "w", *CELLS],
+                names=["g", "h", "w", *CELLS],
             )
 
-    schema = ", ".join(["h string", "w string", *(f"{c} long" for c in CELLS)])
-    return sample.mapInArrow(count, schema).groupBy("h", "w").agg(*[F.sum(c).alias(c) for c in CELLS])
+    schema = ", ".join(["g string", "h string", "w string", *(f"{c} long" for c in CELLS)])
+    seen = sample.mapInArrow(count, schema).groupBy("g", "h", "w").agg(
+        *[F.sum(c).alias(c) for c in CELLS]
+    )
+    in_texts = F.col("h") == DOCUMENT
+    return seen.groupBy("h", "w").agg(
+        *[F.sum(F.when(in_texts, F.col(c)).otherwise((F.col(c) > 0).cast("long"))).alias(c)
+          for c in CELLS]
+    )
 
 
 def _in_model(model: int, toxic: int):
@@ -287,27 +302,42 @@ def learn_differences(sample: DataFrame, discount: float) -> dict[int, Differenc
             if r["h"] not in seen or max(r[cols[0]], r[cols[1]]) <= discount:
                 continue
             n, kept = seen[r["h"]]
-            single = known[-1][r["w"]]
+            # How much more often w stands after h than elsewhere is taken from both classes
+            # together, so that a pair one class has not seen costs it little.
+            alone = [p * scale[r["w"]] for p in known[-1][r["w"]]]
+            both, share = sum(n), np.average(alone, weights=total)
+            lost = min(discount, r[cols[0]]) + min(discount, r[cols[1]])
+            after = (r[cols[0]] + r[cols[1]] - lost) / both + np.average(kept, weights=n) * share
             own = [max(r[c] - discount, 0.0) / x if x else 0.0
                    for c, x in zip(cols, n, strict=True)]
             result.pairs[(r["h"], r["w"])] = ratio(
-                tuple(own[c] + kept[c] * single[c] * scale[r["w"]] for c in (0, 1))
+                tuple(own[c] + kept[c] * alone[c] * after / share for c in (0, 1))
             )
         out[model] = result
     return out
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method; classes weigh as they are in the sample."""
-    w = np.zeros(x.shape[1])
+    """Logistic regression by Newton's method; classes weigh as they are in the sample.
+
+    The last column is the constant. The others are brought to one scale before the penalty.
+    """
+    mean, scale = x.mean(0), x.std(0)
+    mean[-1], scale[-1] = 0.0, 1.0
+    scale[scale == 0] = 1.0
+    z, w = (x - mean) / scale, np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w))
+    penalty[-1, -1] = 1e-6
     for _ in range(30):
-        p = probability(x, w)
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        p = probability(z, w)
+        grad = z.T @ (p - y) + penalty @ w
+        hess = (z * (p * (1 - p))[:, None]).T @ z + penalty
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
+    w = w / scale
+    w[-1] -= mean @ w
     return w
 
 
@@ -350,7 +380,7 @@ def learn(
     ).collect()  # five numbers for each row of the bounded sample
     y = np.array([r["toxic"] for r in scored], float)
     if len(set(y)) < 2:
-        return Model(models[WHOLE], np.array([0.0, 0.0, 0.0, -50.0]))
+        return Model(models[WHOLE], np.array([0.0, 0.0, 0.0, 0.0, -50.0]))
     x = features([tuple(r)[1:] for r in scored])
     return Model(models[WHOLE], fit_weights(x, y))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,127 @@ def test_toxicity_on_unseen_texts(spark):
     assert kn_toxicity.filter_toxic(docs, even).count() == 360
 
 
+def plain_differences(rows, discount):
+    """Log-ratios of words and pairs by the definition, with dictionaries."""
+    first, texts = {}, {}
+    for toxic, fold, text in rows:
+        words, known = kn_toxicity.tokens(text), set()
+        for w in set(words):
+            texts[toxic, w] = texts.get((toxic, w), 0) + 1
+        for g, h, w in zip(["", "", *words], ["", *words], words):
+            if (h, w) not in known:
+                known.add((h, w))
+                first.setdefault((fold, toxic, h, w), set()).add(g)
+    pair = {}
+    for (_, c, h, w), before in first.items():
+        pair[c, h, w] = pair.get((c, h, w), 0) + len(before)
+    words = {w for _, _, w in pair}
+    follows = {}
+    for c, _, w in pair:
+        follows[c, w] = follows.get((c, w), 0) + 1
+    levels = [{w: [min(follows.get((c, w), 0), texts.get((c, w), 0)) for c in (0, 1)] for w in words}]
+    totals = [max(1.0, sum(n[c] for n in levels[0].values())) for c in (0, 1)]
+    sizes = [*kn_toxicity.STEMS, 0]
+    for size in sizes:
+        up = {}
+        for u, n in levels[-1].items():
+            here = up.setdefault(u[:size], [0, 0])
+            for c in (0, 1):
+                here[c] += min(n[c], discount)
+        levels.append(up)
+    rest = levels[-1][""]
+    pool = [max(rest[c], 0.5) / totals[c] for c in (0, 1)]
+    share, known = {"": 1.0}, []
+    for depth in range(len(sizes) - 1, -1, -1):
+        mass = {u: sum(min(x, discount) for x in n) for u, n in levels[depth].items()}
+        pooled = {}
+        for u, x in mass.items():
+            pooled[u[:sizes[depth]]] = pooled.get(u[:sizes[depth]], 0) + x
+        share = {u: x / pooled[u[:sizes[depth]]] * share[u[:sizes[depth]]] for u, x in mass.items()}
+        here = {}
+        for u, n in levels[depth].items():
+            if share[u] and (depth == 0 or max(n) > discount):
+                below = next((k[u[:s]] for s, k in zip(sizes[depth:-1], known[::-1])
+                              if u[:s] in k), pool)
+                here[u] = [max(n[c] - discount, 0) / totals[c] / share[u] + below[c] for c in (0, 1)]
+        known.append(here)
+    alone = {w: [p * share[w] for p in known[-1][w]] for w in known[-1]}
+    of_h = {}
+    for (c, h, _), n in pair.items():
+        all_, left = of_h.setdefault(h, [[0, 0], [0, 0]])
+        all_[c] += n
+        left[c] += min(n, discount)
+    pairs, after = {}, {}
+    for h, (n, left) in of_h.items():
+        kept = [left[c] / n[c] if n[c] else 1.0 for c in (0, 1)]
+        if min(kept) < 1:
+            after[h] = np.log(kept[1] / kept[0])
+    for h, w in {(h, w) for _, h, w in pair}:
+        n = [pair.get((c, h, w), 0) for c in (0, 1)]
+        if h in after and max(n) > discount:
+            all_, left = of_h[h]
+            kept = [left[c] / all_[c] if all_[c] else 1.0 for c in (0, 1)]
+            both = sum(p * t for p, t in zip(alone[w], totals)) / sum(totals)
+            joint = sum(max(x - discount, 0) for x in n) / sum(all_)
+            joint += sum(k * x for k, x in zip(kept, all_)) / sum(all_) * both
+            p = [(max(n[c] - discount, 0) / all_[c] if all_[c] else 0)
+                 + kept[c] * alone[w][c] * joint / both for c in (0, 1)]
+            pairs[h, w] = np.log(p[1] / p[0])
+    singles = {w: np.log(p[1] / p[0]) for w, p in known[-1].items()}
+    return singles, pairs, after
+
+
+def test_differences_by_definition(spark):
+    rng = random.Random(12)
+    vocabulary = ["the", "a", "of", "vilely", "vilest", "vileness", "house", "houses", "é", "日本"]
+    rows = [(int(i % 3 == 0), i % 2,
+             " ".join(rng.choices(vocabulary, [9, 7, 5, 3 * (i % 3 == 0) + .1, 2, 1, 3, 3, 1, 1],
+                                  k=rng.randint(0, 25))))
+            for i in range(90)] + [(0, 0, "the same long passage said by many")] * 9
+    sample = spark.createDataFrame(rows, "toxic int, fold int, text string")
+    found = kn_toxicity.learn_differences(sample, 2.0)[kn_toxicity.WHOLE]
+    words, pairs, after = plain_differences(rows, 2.0)
+    assert pairs and ("same", "long") not in pairs  # copies count once a fold
+    # Words seen rarely are not listed: their stems speak for them.
+    assert found.words.keys() <= words.keys() and {"the", "vilely", "house"} <= found.words.keys()
+    words = {w: words[w] for w in found.words}
+    assert found.pairs.keys() == pairs.keys()
+    assert found.after.keys() == after.keys()
+    for got, want in ((found.words, words), (found.pairs, pairs), (found.after, after)):
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_held_out_toxicity_on_the_supplied_table(spark):
+    """Most toxic rows of the held-out fold are found and few others, by their texts alone."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL")
+    found = QUERIES["op5_kn_toxicity"](spark, sf).where("held_out").join(labels, "doc_id")
+    got = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.85 * (got[1, 1] + got.get((1, 0), 0))
+    assert got.get((0, 1), 0) <= 0.02 * (got[0, 0] + got.get((0, 1), 0))
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "toxic words", "x", 1.0), (2, None, None, None)],
+        "doc_id long, text string, toxicity string, score double",
+    )
+    labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    model = kn_toxicity.learn(docs, labels)
+    assert kn_toxicity.learn(docs.limit(0), labels).weights is not None
+    assert kn_toxicity.filter_toxic(docs, model).columns == docs.columns
+    assert kn_toxicity.filter_toxic(docs, model).count() == 2
+    assert kn_toxicity.with_toxicity(docs.limit(0), model).count() == 0
+    quality = docs.withColumnRenamed("toxicity", "quality_rules")
+    assert compression_bands.with_quality(quality.limit(0)).count() == 0
+    assert compression_bands.with_quality(quality).columns == quality.columns
+    assert compression_bands.filter_quality(quality).columns == quality.columns
+    language = docs.withColumnRenamed("toxicity", "language").withColumn("lang", F.lit("en"))
+    automata = cross_parsing.learn(language)
+    assert cross_parsing.with_language(language, automata).columns == language.columns
+    assert cross_parsing.with_language(language.limit(0), automata).count() == 0
+
+
 def brute_phrases(text: bytes, sample: bytes) -> int:
     count, start = 0, 0
     while start < len(text):

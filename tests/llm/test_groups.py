@@ -221,6 +221,61 @@ def test_near_vectors(spark):
     assert itq_hamming.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size_and_shared_ids(spark):
+    """Components whose squares vanish or overflow, a constant table, ids that say two things."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(8)
+    rows = [(i, (s * (base + 0.05 * rng.standard_normal(8))).tolist())
+            for i, s in enumerate((1e-200, 1e200, 1.0, 5e-324 * 1e16, 1e300, -1e-200))]
+    rows += [(6, (base * 2).tolist()), (6, rng.standard_normal(8).tolist()), (None, base.tolist()),
+             (None, (-base).tolist()), (7, [1e-200] * 8), (8, [1e200] * 8), (9, [0.0, -0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept)
+                  for r in itq_hamming.near_vectors(df).collect()), key=str)
+    units = [np.array(x) / np.abs(x).max() if any(x) else None for _, x in rows]
+    units = [u / np.linalg.norm(u) if u is not None else None for u in units]
+    near = [[j for j in range(len(rows)) if j != i and units[i] is not None and units[j] is not None
+             and units[i] @ units[j] >= 0.9] for i in range(len(rows))]
+    want = []
+    for i, (vec_id, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        component = min(ids, default=None)
+        want.append((vec_id, len(near[i]), component, component is None or vec_id == component))
+    want = [(a, b, c, bool(d) if a is not None else c is None) for a, b, c, d in want]
+    assert got == sorted(want, key=str)
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in itq_hamming.near_vectors(one).collect()] == [(1, 0, 1, True)]
+
+
+def test_tables_grow_with_the_vectors_and_buckets_do_not():
+    for n in (10, 10**5, 10**8):
+        part, parts, apart = itq_hamming.layout(n, 0.9)
+        assert n / 2**part <= 1
+        flip = np.arccos(0.9) / np.pi
+        assert 1 - (1 - (1 - flip) ** part) ** parts >= itq_hamming.RECALL - 1e-9
+        assert 30 < apart < 50
+
+
+def test_recall_on_clusters_of_every_nearness(spark):
+    """Cosines from the limit to equality, against brute force."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([
+        rng.standard_normal(64) + spread * rng.standard_normal((5, 64))
+        for spread in np.linspace(0.05, 0.36, 150)
+    ]).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = int((unit @ unit.T >= 0.9).sum()) - len(x)
+    got = itq_hamming.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert want > 1000 and 0.95 * want <= got <= want
+
+
 def test_vector_recall_at_the_limit(spark):
     """Pairs whose cosine is just above the limit, against brute force."""
     rng = np.random.default_rng(4)

@@ -9,9 +9,9 @@ their own; inside never follows outside. The best tagging is found by Viterbi ov
 never over windows: texts lie one after the other in a chain whose links forget the past where a
 text starts, and blocks of the chain are solved side by side by max-plus products.
 
-The field is fitted by maximum likelihood on at most ``rows_a_kind`` rows that hold a rule's match
-and as many that hold none, of texts of up to ``most_bytes`` (bounds of the fit only; every text is
-tagged whole). What the rules match are the tags it learns from, so it finds more of what looks
+The field is fitted by maximum likelihood on at most ``rows_a_kind`` texts that hold a rule's match
+and as many that hold none, of up to ``most_bytes`` and out of ``drawn`` rows (bounds of the fit
+only; every text is tagged whole). What the rules match are the tags it learns from, so it finds more of what looks
 and stands like them: upper-case digests, keys of other lengths, values after other words.
 
 Nulls: a null text is empty and has no span. Without any row that a rule matches nothing is learned
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.llm.rows import hash_sample, run_hashes, slices, with_text_column
+from martwright.llm.tables import keep
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 _NEVER = -40.0
@@ -91,7 +92,7 @@ N_FEATURES = _VOID + 1
 
 class Tokens:
     """Tokens of some texts: ``start`` and ``end`` bytes, ``first`` of each text (and the number
-    of all), ``features`` as one row of weight numbers a token."""
+    of all), ``features`` as one column of weight numbers a token."""
 
     def __init__(self, texts: pa.Array):
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[
@@ -122,8 +123,8 @@ class Tokens:
         digit = (data >= 48) & (data < 58)
 
         def count(flag: np.ndarray) -> np.ndarray:
-            sums = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(flag, out=sums[1:])
+            sums = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(flag, dtype=np.int32, out=sums[1:])
             return sums[end] - sums[start]
 
         lows, highs, digits = count(low), count(high), count(digit)
@@ -168,7 +169,7 @@ class Tokens:
             columns.append((at + np.searchsorted(_SHARES, share, "right"))[text])
             at += 8
         columns.append((at + np.searchsorted(_SIZES, np.diff(self.first), "right"))[text])
-        return np.stack(columns, 1) if len(start) else np.zeros((0, len(columns)), np.int64)
+        return np.stack(columns).astype(np.int32)
 
     def starts(self) -> np.ndarray:
         """Whether each token is the first of its text."""
@@ -189,9 +190,9 @@ class Field:
     opening: np.ndarray
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(features), 3))
-        for column in features.T:
-            total += self.weights[column]
+        total = np.zeros((features.shape[1], 3), self.weights.dtype)
+        for column in features:
+            total += np.take(self.weights, column, axis=0)
         return total
 
 
@@ -296,9 +297,9 @@ def expectations(field: Field, scores: np.ndarray, first: np.ndarray, block: int
 def _thinned(features: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Features of which half of the tokens miss the neighbours, half the case of their letters."""
     thin = features.copy()
-    alone = rng.random(len(thin)) < 0.5
-    thin[np.ix_(alone, range(3, 2 + len(_NEAR)))] = _VOID
-    thin[rng.random(len(thin)) < 0.5, 0] = _VOID
+    many = thin.shape[1]
+    thin[3 : 2 + len(_NEAR), rng.random(many) < 0.5] = _VOID
+    thin[0, rng.random(many) < 0.5] = _VOID
     return thin
 
 
@@ -322,7 +323,7 @@ def fit(batches: list[tuple[Tokens, np.ndarray]], rounds: int = 60, rate: float
             features = _thinned(tokens.features, rng)
             each, pairs, opened = expectations(field, field.scores(features), first)
             gap = np.eye(3)[states] - each
-            for column in features.T:
+            for column in features:
                 for k in range(3):
                     slopes[0][:, k] += np.bincount(column, gap[:, k], N_FEATURES)
             real = np.zeros((3, 3))
@@ -358,13 +359,21 @@ def rule_states(tokens: Tokens) -> np.ndarray:
 
 def learn(
     docs: DataFrame, text: str = "text", rows_a_kind: int = 300, most_bytes: int = 8192,
-    batch_bytes: int = 1 << 18,
+    drawn: int = 20_000, batch_bytes: int = 1 << 18,
 ) -> Field | None:
-    """A field fitted on a bounded sample of ``docs``; None where no text has a match."""
-    body = F.col(text).cast("string")
-    labelled = docs.where(F.octet_length(body).between(1, most_bytes)).select(
-        body.alias("body"), F.when(body.rlike(ANY_RULE), 1).otherwise(0).alias("kind")
-    )
+    """A field fitted on a bounded sample of ``docs``; None where no text of it has a match.
+
+    About ``drawn`` rows are drawn by a hash of their texts, equal texts counting once, and of
+    these ``rows_a_kind`` with a rule's match and as many without.
+    """
+    share = min(1.0, drawn / max(1, docs.count()))
+    body = docs.select(F.col(text).cast("string").alias("body"))
+    some = body.where(
+        F.octet_length("body").between(1, most_bytes)
+        & (F.pmod(F.xxhash64(F.lit(5), "body"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    ).distinct()
+    kind = F.when(F.col("body").rlike(ANY_RULE), 1).otherwise(0).alias("kind")
+    labelled = keep(some.select("body", kind), "labelled")
     chosen = hash_sample(labelled, "kind", rows_a_kind, "body").select("body", "kind").toArrow()
     if not pc.any(pc.equal(chosen.column("kind"), 1)).as_py():
         return None
@@ -389,9 +398,28 @@ _TYPE = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex",
                    ("spans", pa.list_(_SPAN))])
 
 
+def _undecided(field: Field, scores: np.ndarray) -> np.ndarray:
+    """Tokens that may be in a secret. A text without any is best tagged outside throughout.
+
+    Take a run of k tokens that are not outside and tag them outside instead: of its k + 1 moves
+    each loses at most ``gain``, and each token wins its lead. A lead of twice the gain suffices.
+    """
+    moves, opening = field.moves - field.moves[OUT, OUT], field.opening - field.opening[OUT]
+    gain = max(0.0, moves.max(), (opening[1:]).max())
+    return scores[:, OUT] - scores[:, 1:].max(1) <= 2 * gain
+
+
 def field_spans(field: Field, tokens: Tokens) -> Iterator[tuple[int, int, int]]:
     """(text, start, end) in bytes of each begin and the insides after it."""
-    states = viterbi(field, field.scores(tokens.features), tokens.starts())
+    scores = field.scores(tokens.features)
+    states = np.full(len(scores), OUT)
+    open_ = np.flatnonzero(_undecided(field, scores))
+    if len(open_):
+        which = np.unique(np.searchsorted(tokens.first, open_, "right") - 1)
+        chosen = np.zeros(len(tokens.first) - 1, bool)
+        chosen[which] = True
+        of_them = np.repeat(chosen, np.diff(tokens.first))
+        states[of_them] = viterbi(field, scores[of_them], tokens.starts()[of_them])
     begins = np.flatnonzero(states == BEGIN)
     if not len(begins):
         return

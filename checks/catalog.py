@@ -13,7 +13,7 @@ from martwright.functions import attempts as att
 from martwright.functions import calendar as cal
 from martwright.functions import values as v
 from martwright.operators.frames import clamp_limit
-from martwright.operators.workdir import new_folder
+from martwright.operators.workdir import materialize, new_folder
 from martwright.plans import insights, jobs, marts, metrics, panel, payments, quality
 from martwright.plans.marts import MARTS, Marts, derive_marts
 from martwright.ranges import DateRange
@@ -318,6 +318,37 @@ def json_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _json_round_trip(spark, items)
 
 
+@query("export_json_payments")
+def json_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payments document (range, summary, lists) written as one JSON file and read back: every
+    row of its three lists beside the head of the document."""
+    core = sample_core(spark, sf_dir)
+    parts = payments.payments(core, FULL, CFG, materialize)
+    path = f"{new_folder(spark, 'document')}.json"
+    st.write_document(path, {"from": FULL.start, "to": FULL.end, **parts}, ("summary",))
+
+    def nested(name: str) -> str:
+        fields = parts[name].schema.simpleString()
+        return fields if name == "summary" else f"array<{fields}>"
+
+    schema = ", ".join(["`from` string", "`to` string", *[f"{n} {nested(n)}" for n in parts]])
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    def rows_of(name: str, label: str, detail: str | None, n: str) -> DataFrame:
+        inside = whole.select("from", "to", F.inline(F.array(name) if name == "summary" else name))
+        return inside.select(
+            "from", "to", F.lit(name).alias("list"), F.expr(label).cast("string").alias("label"),
+            F.expr(detail or "NULL").cast("string").alias("detail"), F.col(n).alias("n"),
+        )
+
+    attempts = "payment_attempts_count"
+    return (
+        rows_of("daily", "date", None, attempts)
+        .union(rows_of("providers", "provider", None, attempts))
+        .union(rows_of("failure_reasons", "provider", "status", "failures_count"))
+        .union(rows_of("summary", "'all'", None, attempts))
+    )
+
+
 @query("stream_refresh")
 def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily mart as left by the file stream over the order files."""
@@ -392,6 +423,8 @@ on_marts(
     lambda core, m: panel.period_compare(m, RECENT, "unique_buyers_count"),
 )
 on_marts("p_cohort_matrix", lambda core, m: panel.cohort_matrix(m.cohort_weekly))
+on_marts("p_cohort_cells", lambda core, m: panel.cohort_cells(
+    m.cohort_weekly.where("age_week = 0 OR age_week % 2 = 1"), ages=6))
 on_core(
     "p_hourly_matrix",
     lambda core: panel.hourly_matrix(insights.hourly_heatmap(core, FULL, CFG)),

@@ -617,6 +617,16 @@ WHERE cohort_week BETWEEN date_trunc('week', DATE '{TO}' - 84) AND DATE '{TO}'""
     "export_csv_promos": q("SELECT * FROM m_promo"),
     "export_json_summary": q(_SUMMARY),
     "export_json_referrals": q(_REF_ITEMS),
+    "export_json_payments": q(f"""
+, rows AS (
+  SELECT 'daily' AS list, CAST(date AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS detail,
+    payment_attempts_count AS n FROM v_pay_daily
+  UNION ALL SELECT 'providers', provider, NULL, payment_attempts_count FROM v_pay_prov
+  UNION ALL SELECT 'failure_reasons', prov, st, {big('count(DISTINCT k)')} FROM
+    (SELECT *, max(win) OVER (PARTITION BY prov, k) AS best FROM pay WHERE {between('d')})
+    WHERE best = 0 GROUP BY prov, st
+  UNION ALL SELECT 'summary', 'all', NULL, {big('sum(payment_attempts_count)')} FROM v_pay_daily)
+SELECT '2010-10-01' AS "from", '2011-03-30' AS "to", * FROM rows"""),
     "stream_refresh": q("SELECT * FROM m_daily WHERE orders_created_count > 0"),
     # panel
     "p_provider_totals": q(f"""
@@ -643,6 +653,14 @@ FROM ({_PROVIDER_TOTALS})"""),
     "p_period_compare_buyers": q(_compare("unique_buyers_count")),
     "p_cohort_matrix": q(f"""SELECT cohort_week, {_MATRIX} FROM m_cohort GROUP BY cohort_week
 ORDER BY cohort_week DESC LIMIT 8"""),
+    "p_cohort_cells": q("""
+, c AS (SELECT * FROM m_cohort WHERE age_week = 0 OR age_week % 2 = 1)
+, w AS (SELECT DISTINCT cohort_week FROM c ORDER BY cohort_week DESC LIMIT 8)
+, a AS (SELECT age_week, row_number() OVER (ORDER BY age_week) - 1 AS place
+  FROM (SELECT DISTINCT age_week FROM c ORDER BY age_week LIMIT 6))
+SELECT w.cohort_week, CAST(a.place AS INTEGER) AS place, a.age_week,
+  CAST(ifnull(c.retention_rate, 0) AS DOUBLE) AS retention_rate
+FROM w CROSS JOIN a LEFT JOIN c ON c.cohort_week = w.cohort_week AND c.age_week = a.age_week"""),
     "p_hourly_matrix": q(f"""
 , g AS (SELECT CAST(a AS INTEGER) AS iso_dow, CAST(b AS INTEGER) AS hour
   FROM range(1, 8) x(a), range(24) y(b))

@@ -72,6 +72,23 @@ def attach_names(
     return listed.join(hits, key, "left")
 
 
+#: Buckets of a reducer: at most so many numbers are broadcast, 8 MB, whatever the tables hold.
+REDUCER_BUCKETS = 1 << 20
+
+
+def reduced(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among those of ``wanted``: a filter before a shuffle.
+
+    Both sides' keys fall into buckets by their hash, and the buckets in use are broadcast, a Bloom
+    filter of one hash. Rows of other keys that share a bucket stay, so a join must follow; with
+    far fewer wanted keys than buckets nearly all others go where they are scanned.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(REDUCER_BUCKETS))
+    used = wanted.where(F.col(key).isNotNull()).select(bucket.alias("__bucket")).distinct()
+    marked = df.withColumn("__bucket", bucket)
+    return marked.join(F.broadcast(used), "__bucket", "left_semi").drop("__bucket")
+
+
 def totals_by(df: DataFrame, key: str, measures: Sequence[str], largest: str) -> DataFrame:
     """Sums by label over a range, largest first."""
     label = F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit("unknown"))

@@ -14,6 +14,7 @@ from martwright.operators.frames import (
     fill_days,
     matching,
     one_row,
+    reduced,
     top,
 )
 from martwright.plans.marts import Marts
@@ -347,16 +348,17 @@ def user_details(
 def funnel(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     """Stand-in funnel by day: distinct ordering users, orders, orders with a payment event.
 
-    Payment events collapse to distinct order ids before the join, so an order with any number
-    of events is one row there; orders then collapse to (day, user).
+    Payment events of all history are first reduced to the range's orders where they are scanned,
+    so what is shuffled grows with the range. They collapse to distinct order ids before the join,
+    so an order with any number of events is one row there; orders then collapse to (day, user).
     """
+    orders = cal.within(core.events("orders"), "timestamp", rng, cfg.zone)
+    paying = core.events("payment_transactions").where(F.col("order_id").isNotNull())
     with_payment = (
-        core.events("payment_transactions").where(F.col("order_id").isNotNull())
-        .select("order_id")
+        reduced(paying.select("order_id"), "order_id", orders)
         .distinct()
         .withColumn("checked_out", F.lit(1))
     )
-    orders = cal.within(core.events("orders"), "timestamp", rng, cfg.zone)
     by_day = (
         orders.join(with_payment, "order_id", "left")
         .groupBy("date", "user_id")

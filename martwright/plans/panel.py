@@ -64,20 +64,46 @@ def period_compare(marts: Marts, rng: DateRange, value: str = "revenue_rub") ->
     ).orderBy("date")
 
 
+def cohort_cells(
+    cohorts: DataFrame, ages: int = COHORT_COLUMNS, weeks: int | None = COHORT_WEEKS
+) -> DataFrame:
+    """(cohort_week, place, age_week, retention_rate) of the latest cohorts and the first ``ages``
+    ages that any cohort has; a cell that a cohort lacks is 0.
+
+    Both lists are short: ages stop at the mart's last one, cohorts are weeks.
+    """
+    held = cohorts.groupBy("cohort_week", "age_week").agg(
+        F.max("retention_rate").cast("double").alias("rate")
+    )
+    shown = top(cohorts.select("age_week").distinct(), ages, F.asc("age_week"))
+    shown = shown.agg(F.sort_array(F.collect_list("age_week")).alias("listed"))
+    latest = top(cohorts.select("cohort_week").distinct(), weeks, F.desc("cohort_week"))
+    grid = latest.select("cohort_week", F.posexplode(
+        F.coalesce(shown.scalar(), F.array().cast("array<int>"))).alias("place", "age_week"))
+    return grid.join(held, ["cohort_week", "age_week"], "left").select(
+        "cohort_week", "place", "age_week", F.coalesce("rate", F.lit(0.0)).alias("retention_rate")
+    ).orderBy(F.desc("cohort_week"), "place")
+
+
 def cohort_matrix(
     cohorts: DataFrame,
-    ages: Sequence[int] = range(COHORT_COLUMNS),
+    ages: Sequence[int] | None = None,
     weeks: int | None = COHORT_WEEKS,
 ) -> DataFrame:
     """Retention of the latest ``weeks`` cohorts (None: all), one column per age; an absent cell
-    is 0. The ages are those the panel shows, whatever is present."""
+    is 0. Without ``ages`` they are the first eight that any cohort has; a small job finds them."""
+    if ages is None:
+        present = top(cohorts.select("age_week").distinct(), COHORT_COLUMNS, F.asc("age_week"))
+        ages = [r.age_week for r in present.collect()]
     cells = [
         F.coalesce(F.max(F.when(F.col("age_week") == a, F.col("retention_rate"))), F.lit(0))
         .cast("double")
         .alias(f"age_{a}")
         for a in ages
     ]
-    return top(cohorts.groupBy("cohort_week").agg(*cells), weeks, F.desc("cohort_week"))
+    # Without any age there is no cohort either.
+    found = cohorts.groupBy("cohort_week").agg(*(cells or [F.count("*").alias("n")]))
+    return top(found.select("cohort_week", *[f"age_{a}" for a in ages]), weeks, F.desc("cohort_week"))
 
 
 def hourly_matrix(heatmap: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from martwright.functions import calendar as cal
 from martwright.functions import values as v
 from martwright.functions.attempts import attempt_key, is_success, provider_name
-from martwright.operators.frames import fill_days, top
+from martwright.operators.frames import fill_days, reduced, top
 from martwright.plans.marts import (
     Marts,
     referred_ids,
@@ -232,30 +232,23 @@ def _referred_orders(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFra
 def _referred_transactions(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
     """Payment events and distinct paying orders of referred users by day.
 
+    Orders of all history are reduced to those of the range's events where they are scanned, and
+    events without a time to the range's orders, so what is shuffled grows with the range.
     Events collapse to (order, day) before the orders are joined, and then to (day, user) before
     the users are, so neither a heavy order nor a heavy user reaches a join as more than one row
     per day. Grouping by order rides on the join's own partitioning.
     """
     tx = core.events("payment_transactions").where(F.col("order_id").isNotNull())
-    dated = (
-        cal.within(tx, "created_at", rng, cfg.zone)
-        .groupBy("order_id", F.col("date").alias("own_date"))
-        .agg(F.count("*").alias("events"))
-    )
-    undated = (
-        _undated(core)
-        .groupBy("order_id")
-        .agg(F.count("*").alias("events"))
-        .withColumn("own_date", F.lit(None).cast("date"))
-    )
-    orders = core.events("orders").where(F.col("user_id").isNotNull()).select(
-        "order_id", "user_id", cal.local_date(F.col("timestamp"), cfg.zone).alias("order_date")
-    )
+    placed = core.events("orders").where(F.col("user_id").isNotNull())
+    dated = cal.within(tx, "created_at", rng, cfg.zone)
+    own = dated.groupBy("order_id", "date").agg(F.count("*").alias("events"))
+    owners = reduced(placed.select("order_id", "user_id"), "order_id", dated)
+    in_range = cal.within(placed, "timestamp", rng, cfg.zone).select("order_id", "user_id", "date")
+    undated = reduced(_undated(core).select("order_id"), "order_id", in_range)
+    borrowed = undated.groupBy("order_id").agg(F.count("*").alias("events"))
     return (
-        dated.unionByName(undated)
-        .join(orders, "order_id")
-        .withColumn("date", F.coalesce("own_date", "order_date"))
-        .where(rng.holds(F.col("date")))
+        own.join(owners, "order_id")
+        .unionByName(borrowed.join(in_range, "order_id"))
         .groupBy("date", "order_id", "user_id")
         .agg(F.sum("events").alias("events"))
         .groupBy("date", "user_id")

@@ -9,6 +9,7 @@ upsert or after it, and writers that meet on a month take turns.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions.calendar import instant
+from martwright.operators.files import join_parts, parts_of, remove_folder, write_lines
 from martwright.operators.frames import matching, top
 from martwright.operators.keyed_merge import merge_rows
 from martwright.operators.versions import Conflict, Version, VersionedFolder
+from martwright.operators.workdir import new_folder
 from martwright.plans.marts import MARTS, Marts
 from martwright.plans.quality import ISSUES_SCHEMA
 from martwright.ranges import DateRange
@@ -196,18 +199,23 @@ class MartStore:
         span = rng.weeks() if name == "cohort_weekly" else rng
         return self.read(name, span).orderBy(*MARTS[name].keys)
 
-    def export_csv(self, kind: str, rng: DateRange, folder: str, one_file: bool = False) -> str:
-        """Ordered CSV with a header; an empty range leaves no header and no row.
+    def export_csv(self, kind: str, rng: DateRange, folder: str, one_file: bool = True) -> str:
+        """Ordered CSV under one header, as one file; an empty range leaves an empty file.
 
-        ``one_file`` funnels the sorted rows through one task and is meant for small extracts.
+        The rows are sorted and written by many tasks, and their parts joined in order. Without
+        ``one_file`` they stay a folder of parts, each with the header, for readers of such.
         """
         path = f"{folder}/metrics_{kind or 'daily'}_{rng.start}_{rng.end}.csv"
         rows = self.export_rows(kind, rng)
-        if rows.isEmpty():
-            rows.limit(0).select(F.lit("").alias("value")).write.mode("overwrite").text(path)
+        if not one_file:
+            rows.write.mode("overwrite").option("header", True).csv(path)
             return path
-        rows = rows.coalesce(1) if one_file else rows
-        rows.write.mode("overwrite").option("header", True).csv(path)
+        parts = new_folder(self.spark, "csv")
+        rows.write.csv(parts)
+        listed = parts_of(self.spark, parts)
+        header = (",".join(rows.columns) + "\n").encode() if listed else b""
+        join_parts(self.spark, path, [header, *listed])
+        remove_folder(self.spark, parts)
         return path
 
 
@@ -222,6 +230,35 @@ def write_documents(bundle: dict[str, DataFrame], folder: str) -> None:
         json_rows(df).write.mode("overwrite").text(f"{folder}/{part}")
 
 
+def write_document(path: str, fields: dict[str, object], objects: tuple[str, ...] = ()) -> None:
+    """One JSON document in one file, fields in the order given.
+
+    A frame becomes the list of its rows in their order; a one-row frame named in ``objects``
+    becomes an object (null if it has no row). Dates become ISO texts, other values what they are
+    in JSON. Lists of any length are written by tasks and joined as a stream.
+    """
+    spark = next(v for v in fields.values() if isinstance(v, DataFrame)).sparkSession
+    pieces: list = []
+    folders = []
+    for i, (name, value) in enumerate(fields.items()):
+        pieces.append(("{" if i == 0 else ",").encode() + f"\n{json.dumps(name)}: ".encode())
+        if not isinstance(value, DataFrame):
+            plain = value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else value
+            pieces.append(json.dumps(plain).encode())
+            continue
+        lines = json_rows(value).select(F.concat(F.lit(","), "value").alias("value"))
+        folders.append(write_lines(lines))
+        parts = parts_of(spark, folders[-1])
+        first = [(p, 1) for p in parts[:1]]  # without the comma before the first row
+        if name in objects:
+            pieces += first or [b"null"]
+        else:
+            pieces += [b"[", *first, *parts[1:], b"]"]
+    join_parts(spark, path, [*pieces, b"\n}\n"])
+    for folder in folders:
+        remove_folder(spark, folder)
+
+
 # --- log queries -----------------------------------------------------------------------------
 
 

@@ -166,3 +166,25 @@ def test_time_slices_cover_without_overlap(spark):
         " AS t FROM range(100)"
     )
     assert [sum(df.where(p).count() for p in parts), len(parts)] == [100, 5]
+
+
+def test_history_is_reduced_before_it_is_shuffled(stored):
+    """Funnel and referral traffic: the transactions (and orders) of all history meet the buckets of
+    the range's keys where they are scanned, below the first exchange."""
+    from martwright.plans import metrics
+
+    plan = plan_of(metrics.funnel(stored, MARCH, CFG))
+    paying = next(p for p in plan.split("Exchange hashpartitioning") if "payment_transactions" in p)
+    assert "LeftSemi, BuildRight" in paying.split("payment_transactions")[0]
+    plan = plan_of(payments._referred_transactions(stored, MARCH, CFG))
+    assert plan.count("LeftSemi, BuildRight") >= 2
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_shuffled_rows_grow_with_the_range(spark):
+    """Of 50,000 orders' events only those of the one day's orders are left after the reducer."""
+    from martwright.operators.frames import reduced
+
+    tx = spark.range(200_000).selectExpr("string(id % 50000) AS order_id")
+    day = spark.range(100).selectExpr("string(id * 7) AS order_id")
+    assert reduced(tx, "order_id", day).count() < 2 * 100 * 4

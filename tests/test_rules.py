@@ -547,6 +547,30 @@ def test_cohort_matrix_takes_the_ages_present(spark):
     ]
 
 
+def test_cohort_cells_take_the_first_ages_present(spark):
+    schema = "cohort_week date, age_week int, retention_rate decimal(8,4)"
+    cohorts = spark.createDataFrame(
+        [(day(1 + w), 2 * a, D("0.5")) for w in (0, 7) for a in range(5) if (w, a) != (7, 1)], schema)
+    got = rows(panel.cohort_cells(cohorts, ages=3, weeks=2))
+    assert [(r["cohort_week"].day, r["place"], r["age_week"], r["retention_rate"]) for r in got] == [
+        (8, 0, 0, 0.5), (8, 1, 2, 0.0), (8, 2, 4, 0.5), (1, 0, 0, 0.5), (1, 1, 2, 0.5), (1, 2, 4, 0.5),
+    ]
+    assert panel.cohort_matrix(cohorts).columns == ["cohort_week", *[f"age_{a}" for a in (0, 2, 4, 6, 8)]]
+    none = spark.createDataFrame([], schema)
+    assert rows(panel.cohort_cells(none)) == [] and rows(panel.cohort_matrix(none)) == []
+
+
+def test_reducer_keeps_all_wanted_keys_and_few_others(spark):
+    from martwright.operators.frames import reduced
+
+    wide = spark.range(200_000).selectExpr("string(id) AS k").union(spark.sql("SELECT NULL"))
+    wanted = spark.range(0, 200_000, 97).selectExpr("string(id) AS k").union(spark.sql("SELECT NULL"))
+    left = reduced(wide, "k", wanted)
+    assert left.join(wanted, "k", "left_semi").count() == wanted.count() - 1
+    assert left.count() < 1.5 * wanted.count()
+    assert reduced(wide, "k", wanted.limit(0)).isEmpty()
+
+
 def test_hourly_matrix_is_dense(tables):
     empty = panel.hourly_matrix(insights.hourly_heatmap(tables(), JAN, CFG))
     got = rows(empty)

@@ -336,6 +336,8 @@ def test_default_quality_range_is_31_days(core, store):
 
 
 def _text(path):
+    if Path(path).is_file():
+        return Path(path).read_text()
     parts = sorted(Path(path).glob("part-*"))
     return "".join(p.read_text() for p in parts)
 
@@ -362,6 +364,42 @@ def test_csv_of_nothing_is_empty(env, tmp_path):
     assert _text(path) == ""
 
 
+def test_one_file_is_joined_from_many_sorted_parts(spark, env, tmp_path, monkeypatch):
+    """Several tasks write; the file has one header, all rows in order, nothing left beside it."""
+    jobs.backfill_daily(env, SPAN)
+    want = [tuple(r) for r in env.store.export_rows("providers", SPAN).collect()]
+    spread = env.store.export_rows("providers", SPAN).repartitionByRange(5, "date", "payment_provider")
+    spread = spread.sortWithinPartitions("date", "payment_provider")
+    monkeypatch.setattr(MartStore, "export_rows", lambda self, kind, rng: spread)
+    path = env.store.export_csv("providers", SPAN, str(tmp_path / "out"))
+    lines = Path(path).read_text().splitlines()
+    assert lines[0] == ",".join(spread.columns) and sum(x == lines[0] for x in lines) == 1
+    assert [(x.split(",")[0], x.split(",")[1].strip('"')) for x in lines[1:]] == [
+        (str(r[0]), r[1]) for r in want]
+    env.store.export_csv("providers", SPAN, str(tmp_path / "out"))  # again over the old one
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")] == [
+        "metrics_providers_2024-01-01_2024-02-29.csv"]
+    folder = env.store.export_csv("providers", SPAN, str(tmp_path / "parts"), one_file=False)
+    assert spark.read.option("header", True).csv(folder).count() == len(want)
+
+
+def test_one_json_document(spark, tmp_path):
+    import json
+
+    many = spark.range(500).selectExpr("id", "concat('\"', id, '\\n') AS said", "null AS none")
+    path = str(tmp_path / "doc" / "out.json")
+    fields = {"from": SPAN.start, "limit": None, "summary": many.limit(1),
+              "items": many.repartitionByRange(7, "id").sortWithinPartitions("id"),
+              "nothing": many.limit(0), "no_object": many.limit(0), "n": 3}
+    st.write_document(path, fields, ("summary", "no_object"))
+    got = json.loads(Path(path).read_text())
+    assert list(got) == list(fields)
+    assert got["from"] == "2024-01-01" and got["limit"] is None and got["n"] == 3
+    assert got["summary"]["id"] == 0 and got["nothing"] == [] and got["no_object"] is None
+    assert [x["id"] for x in got["items"]] == list(range(500))
+    assert got["items"][7] == {"id": 7, "said": '"7\n', "none": None}
+
+
 def test_cohort_export_aligns_to_weeks(env):
     jobs.backfill_cohort(env, SPAN)
     wednesday = DateRange(dt.date(2024, 1, 3), dt.date(2024, 1, 3))

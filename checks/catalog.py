@@ -14,7 +14,7 @@ from martwright.functions import calendar as cal
 from martwright.functions import values as v
 from martwright.operators.frames import clamp_limit
 from martwright.operators.workdir import materialize, new_folder
-from martwright.plans import insights, jobs, marts, metrics, panel, payments, quality
+from martwright.plans import insights, jobs, marts, metrics, panel, payments, purchases, quality
 from martwright.plans.marts import MARTS, Marts, derive_marts
 from martwright.ranges import DateRange
 from martwright.settings import Settings
@@ -282,6 +282,39 @@ def rolling_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return env.store.marts().cohort_weekly
 
 
+def _kept_buyers(spark: SparkSession, sf_dir: str) -> jobs.Environment:
+    """A store that keeps purchases: built once, then two of its months made anew."""
+    env = new_environment(spark, sf_dir)
+    jobs.backfill_buyers(env, FULL)
+    jobs.refresh_buyers(env, DateRange(dt.date(2010, 12, 20), dt.date(2011, 1, 5)))
+    return env
+
+
+@query("store_buyer_months")
+def buyer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_buyers(spark, sf_dir).store.buyer_months()
+
+
+@query("q_purchases")
+def kept_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purchases.purchases(_kept_buyers(spark, sf_dir).store.buyer_months())
+
+
+@query("job_cohorts_from_buyers")
+def cohorts_from_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort job where purchases are kept: orders before the range are not read."""
+    env = _kept_buyers(spark, sf_dir)
+    jobs.backfill_cohort(env, FULL)
+    return env.store.marts(FULL).cohort_weekly
+
+
+@query("q_kpis_from_buyers")
+def kpis_from_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = _kept_buyers(spark, sf_dir)
+    firsts = purchases.purchases(env.store.buyer_months())
+    return insights.kpis(env.core, derive_marts(env.core, FULL, CFG), FULL, CFG, firsts)
+
+
 @query("job_referral_backfill")
 def referral_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = new_environment(spark, sf_dir)

@@ -557,6 +557,15 @@ SELECT *, {ratio('referred_orders_paid_count', 'referred_orders_created_count')}
   {ratio('referred_orders_paid_count', 'referred_payment_attempts_count')}
     AS referred_attempt_to_paid_rate FROM t"""),
     "q_kpis": q(_KPIS),
+    "q_kpis_from_buyers": q(_KPIS),
+    "job_cohorts_from_buyers": q("SELECT * FROM m_cohort"),
+    "store_buyer_months": q("""
+SELECT user_id, min(d) AS first_date, max(d) AS last_date, count(*) AS paid_n,
+  CAST(date_trunc('month', d) AS DATE) AS month
+FROM sale WHERE ok AND d BETWEEN DATE '2010-10-01' AND DATE '2011-03-31' GROUP BY ALL"""),
+    "q_purchases": q("""
+SELECT user_id, min(d) AS first_date, max(d) AS last_date, count(*) AS paid_n
+FROM sale WHERE ok AND d BETWEEN DATE '2010-10-01' AND DATE '2011-03-31' GROUP BY user_id"""),
     "q_anomalies": q(_ANOMALIES),
     "q_hourly_heatmap": q("SELECT * FROM v_heat"),
     # users

@@ -21,23 +21,41 @@ def _sum0(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
-def _buyer_history(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
-    """One row of retention, early-value and repeat-revenue figures.
+def _with_first_date(
+    core: CoreTables, rng: DateRange, cfg: Settings, firsts: DataFrame | None
+) -> DataFrame:
+    """Paid orders by (user, day) with the day of the user's first purchase.
 
-    Paid orders collapse to (user, day); the first day is a window over those rows, and the
-    grouping by user that follows uses the same partitioning. Nothing later than the last day
-    that can count is read.
+    Without ``firsts`` that is a window over the rows of all history; with it, orders before the
+    range are not read. Nothing later than the last day that can count is.
     """
     last_day = rng.end + DAY * LONG_DAYS
     paid = core.events("orders").where(v.is_paid(cfg) & F.col("user_id").isNotNull())
+    read = (
+        cal.up_to(paid, "timestamp", last_day, cfg.zone) if firsts is None
+        else cal.within(paid, "timestamp", DateRange(rng.start, last_day), cfg.zone)
+    )
+    days = read.groupBy("user_id", "date").agg(
+        F.count("*").alias("orders"), v.sum_kopecks(F.col("amount_rub")).alias("kopecks")
+    )
+    if firsts is None:
+        return days.withColumn("first_date", F.min("date").over(Window.partitionBy("user_id")))
+    return days.join(firsts.select("user_id", "first_date"), "user_id")
+
+
+def _buyer_history(
+    core: CoreTables, rng: DateRange, cfg: Settings, firsts: DataFrame | None = None
+) -> DataFrame:
+    """One row of retention, early-value and repeat-revenue figures.
+
+    Paid orders collapse to (user, day) before the first purchase is attached, and the grouping by
+    user that follows uses the same partitioning.
+    """
     date, first = F.col("date"), F.col("first_date")
     after, inside = date > first, rng.holds(date)
     early = date <= F.date_add(first, LONG_DAYS)
     per_user = (
-        cal.up_to(paid, "timestamp", last_day, cfg.zone)
-        .groupBy("user_id", "date")
-        .agg(F.count("*").alias("orders"), v.sum_kopecks(F.col("amount_rub")).alias("kopecks"))
-        .withColumn("first_date", F.min("date").over(Window.partitionBy("user_id")))
+        _with_first_date(core, rng, cfg, firsts)
         .groupBy("user_id", "first_date")
         .agg(
             F.max(F.when(after & (date <= F.date_add(first, SHORT_DAYS)), 1)).alias("short"),
@@ -60,8 +78,14 @@ def _buyer_history(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame
     )
 
 
-def kpis(core: CoreTables, marts: Marts, rng: DateRange, cfg: Settings) -> DataFrame:
-    """One row of key figures. Early value is divided by early order rows, not by users."""
+def kpis(
+    core: CoreTables, marts: Marts, rng: DateRange, cfg: Settings, firsts: DataFrame | None = None
+) -> DataFrame:
+    """One row of key figures. Early value is divided by early order rows, not by users.
+
+    ``firsts``: (user_id, first_date) of all buyers, as ``plans.purchases`` keeps it; without it
+    the orders of all history are read for it.
+    """
     inside = rng.holds(F.col("date"))
     totals = marts.daily.where(inside).agg(
         _sum0(F.col("revenue_rub")).alias("revenue"),
@@ -78,7 +102,7 @@ def kpis(core: CoreTables, marts: Marts, rng: DateRange, cfg: Settings) -> DataF
     )
     users, buyers = F.col("users_in_base"), F.col("buyers")
     acquisition = F.col("discounts") + F.col("bonuses")
-    return one_row(totals, discounts, bonuses, _buyer_history(core, rng, cfg)).select(
+    return one_row(totals, discounts, bonuses, _buyer_history(core, rng, cfg, firsts)).select(
         v.mean_money(F.col("revenue"), buyers).alias("arppu_rub"),
         v.rate(F.col("profit"), F.col("revenue")).alias("gross_margin_rate"),
         v.rate(F.col("retained_short"), users).alias("retention_d7_rate"),

@@ -6,10 +6,13 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame
+
 from martwright.operators.workdir import materialize
 from martwright.plans import marts as m
+from martwright.plans import purchases
 from martwright.plans.quality import find_issues
-from martwright.ranges import DateRange, cohort_window, refresh_window
+from martwright.ranges import DAY, DateRange, cohort_window, refresh_window
 from martwright.settings import Settings
 from martwright.sources.core import CoreTables
 from martwright.sources.store import MartStore
@@ -19,6 +22,8 @@ DAILY_JOB = "DailyMetricsBackfillJob"
 REFERRAL_JOB = "ReferralMetricsBackfillJob"
 COHORT_JOB = "CohortMetricsBackfillJob"
 QUALITY_JOB = "DataQualityCheckJob"
+# A name of this library's own.
+BUYERS_JOB = "BuyerMonthsJob"
 
 QUALITY_DAYS = 31
 
@@ -92,12 +97,41 @@ def backfill_referral(env: Environment, rng: DateRange) -> int:
     return run_logged(env, REFERRAL_JOB, rng, work)
 
 
+def refresh_buyers(env: Environment, rng: DateRange) -> None:
+    """Rebuild the kept purchases of the months that the range touches, from their orders alone."""
+    rows = purchases.build_buyer_months(env.core, rng, env.cfg)
+    env.store.replace_buyer_months(rows, rng)
+
+
+def backfill_buyers(env: Environment, rng: DateRange) -> int:
+    """Build the purchases of all history, stated as a range, once. From then on the cohort job
+    reads them and keeps them up to date; returns the number of months."""
+    env = env.reopened()
+
+    def work() -> int:
+        refresh_buyers(env, rng)
+        return len(rng.months())
+
+    return run_logged(env, BUYERS_JOB, rng, work)
+
+
+def first_purchases(env: Environment, rng: DateRange) -> DataFrame | None:
+    """First purchases with the months of the range's cohorts and of their ages made anew; None
+    where they are not kept."""
+    if env.store.buyer_months() is None:
+        return None
+    weeks = rng.weeks()
+    last = min(max(env.cfg.today(), weeks.end + 6 * DAY), weeks.end + DAY * (7 * m.COHORT_AGES - 1))
+    refresh_buyers(env, DateRange(weeks.start, last))
+    return purchases.purchases(env.store.buyer_months())
+
+
 def backfill_cohort(env: Environment, rng: DateRange) -> int:
     """Cohorts whose first week lies in the range; returns the number of weeks."""
     env = env.reopened()
 
     def work() -> int:
-        built = m.build_cohort_weekly(env.core, rng, env.cfg)
+        built = m.build_cohort_weekly(env.core, rng, env.cfg, first_purchases(env, rng))
         env.store.upsert("cohort_weekly", built, rng.weeks(), env.cfg.now())
         return rng.week_count
 

@@ -309,27 +309,43 @@ def build_promo_daily(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFr
     return shaped("promo_daily", redeemed.join(bought, ["date", "promo_code"], "full_outer"))
 
 
-def build_cohort_weekly(core: CoreTables, rng: DateRange, cfg: Settings) -> DataFrame:
+def _first_weeks(user_weeks: DataFrame, weeks: DateRange, firsts: DataFrame | None) -> DataFrame:
+    """The (user, week) rows of the range's cohorts, with the week of the first purchase."""
+    if firsts is None:
+        first = F.min("week").over(Window.partitionBy("user_id"))
+        return user_weeks.withColumn("cohort_week", first).where(weeks.holds(F.col("cohort_week")))
+    members = firsts.select(
+        F.col("user_id").alias("member"), cal.week_start(F.col("first_date")).alias("cohort_week")
+    ).where(weeks.holds(F.col("cohort_week")))
+    return user_weeks.join(members, F.col("user_id").eqNullSafe(F.col("member"))).drop("member")
+
+
+def build_cohort_weekly(
+    core: CoreTables, rng: DateRange, cfg: Settings, firsts: DataFrame | None = None
+) -> DataFrame:
     """Weekly buyer cohorts by week of age.
 
     Orders are collapsed to (user, week) first. The user's first week is then a window over at
     most one row per week, which spares the join of the orders with their own minimum. The NULL
     user adds to its cohort's size but is never active. History is read up to the last week any
     cohort of the range can reach.
+
+    With ``firsts`` (user_id, first_date), as kept by ``plans.purchases``, no order before the
+    range is read: only members of the range's cohorts are joined, one row a user.
     """
     weeks = rng.weeks()
     last_day = weeks.end + DAY * (7 * COHORT_AGES - 1)
-    user_weeks = (
-        cal.up_to(core.events("orders").where(v.is_paid(cfg)), "timestamp", last_day, cfg.zone)
-        .groupBy("user_id", cal.week_start(F.col("date")).alias("week"))
-        .agg(v.sum_kopecks(F.col("amount_rub")).alias("kopecks"))
+    paid = core.events("orders").where(v.is_paid(cfg))
+    read = (
+        cal.up_to(paid, "timestamp", last_day, cfg.zone) if firsts is None
+        else cal.within(paid, "timestamp", DateRange(weeks.start, last_day), cfg.zone)
+    )
+    user_weeks = read.groupBy("user_id", cal.week_start(F.col("date")).alias("week")).agg(
+        v.sum_kopecks(F.col("amount_rub")).alias("kopecks")
     )
     known = F.col("user_id").isNotNull()
     activity = (
-        user_weeks.withColumn(
-            "cohort_week", F.min("week").over(Window.partitionBy("user_id"))
-        )
-        .where(weeks.holds(F.col("cohort_week")))
+        _first_weeks(user_weeks, weeks, firsts)
         .withColumn("age_week", cal.week_age(F.col("week"), F.col("cohort_week")))
         .where(F.col("age_week") < COHORT_AGES)
         .groupBy("cohort_week", "age_week")

@@ -81,6 +81,13 @@ class DateRange:
                 month = month_start(month + 31 * DAY)
         return sorted(found)
 
+    def whole_months(self) -> DateRange:
+        """All days of the months that the pieces touch."""
+        days = [month + i * DAY for month in self.months() for i in range(31)
+                if (month + i * DAY).month == month.month]
+        runs = runs_of(days)
+        return runs[0] if len(runs) == 1 else DaySet.of(days)
+
     def weeks(self) -> DateRange:
         """Both ends moved back to their Monday."""
         return DateRange(monday(self.start), monday(self.end), self.ordered)

@@ -25,6 +25,7 @@ from martwright.operators.keyed_merge import merge_rows
 from martwright.operators.versions import Conflict, Version, VersionedFolder
 from martwright.operators.workdir import new_folder
 from martwright.plans.marts import MARTS, Marts
+from martwright.plans.purchases import BUYER_MONTHS, BUYER_MONTHS_DDL
 from martwright.plans.quality import ISSUES_SCHEMA
 from martwright.ranges import DateRange
 
@@ -140,9 +141,23 @@ class MartStore:
                 if attempt + 1 == UPSERT_ATTEMPTS:
                     raise
 
+    def buyer_months(self) -> DataFrame | None:
+        """The kept purchases by (user, month); None before they have been built."""
+        folder = self._folder(BUYER_MONTHS)
+        version = folder.current()
+        schema = T.StructType.fromDDL(BUYER_MONTHS_DDL)
+        return folder.read(version, schema) if version.number else None
+
+    def replace_buyer_months(self, rows: DataFrame, rng: DateRange) -> None:
+        """Put these rows in place of the range's months, in one step."""
+        folder = self._folder(BUYER_MONTHS)
+        base = folder.current()
+        parts = folder.write(rows.hint("rebalance", MONTH))
+        folder.publish(base, [str(m) for m in rng.months()], parts)
+
     def vacuum(self, before: dt.datetime) -> int:
-        """Remove what upserts before this UTC time left behind; returns the folders removed."""
-        return sum(self._folder(name).vacuum(before) for name in MARTS)
+        """Remove what writes before this UTC time left behind; returns the folders removed."""
+        return sum(self._folder(name).vacuum(before) for name in [*MARTS, BUYER_MONTHS])
 
     def append_issues(self, issues: DataFrame) -> None:
         issues.write.mode("append").parquet(self._path("data_quality_issues"))

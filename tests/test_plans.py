@@ -188,3 +188,16 @@ def test_shuffled_rows_grow_with_the_range(spark):
     tx = spark.range(200_000).selectExpr("string(id % 50000) AS order_id")
     day = spark.range(100).selectExpr("string(id * 7) AS order_id")
     assert reduced(tx, "order_id", day).count() < 2 * 100 * 4
+
+
+def test_kept_purchases_spare_the_history(stored, spark):
+    """With first purchases at hand the order scans open the range's day folders only."""
+    from martwright.plans import insights
+
+    firsts = spark.createDataFrame([], "user_id string, first_date date")
+    for df in (marts.build_cohort_weekly(stored, MARCH, CFG, firsts),
+               insights._buyer_history(stored, MARCH, CFG, firsts)):
+        scans = [x for x in plan_of(df).splitlines() if "FileScan" in x and "/orders" in x]
+        assert scans and all(
+            "GreaterThanOrEqual" in x.split("PartitionFilters")[1].split("PushedFilters")[0]
+            or ">= " in x.split("PartitionFilters")[1].split("PushedFilters")[0] for x in scans)

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from martwright.operators.versions import Conflict, Version, VersionedFolder
-from martwright.plans import jobs, marts, metrics, quality
-from martwright.ranges import DateRange
+from martwright.plans import jobs, marts, metrics, purchases, quality
+from martwright.ranges import DateRange, DaySet
 from martwright.settings import Settings
 from martwright.sources import core as cs
 from martwright.sources import store as st
@@ -304,6 +304,41 @@ def test_open_run_counts_as_running(env):
     assert rows(st.list_runs(env.store.runs(), job_name="other")) == []
 
 
+def test_kept_purchases_take_moved_and_withdrawn_orders(tables, store):
+    """Random changes of orders, month by month refreshed: cohorts as from all history."""
+    import random
+
+    rng, facts = random.Random(4), {}
+
+    def current():
+        return tables(orders=[
+            order(str(i), user, f"{when} 12:00", status=status, amount_rub=5)
+            for i, (user, when, status) in facts.items()])
+
+    def change(i):
+        when = SPAN.start + dt.timedelta(days=rng.randrange(SPAN.days))
+        touched = [facts[i][1]] if i in facts else []
+        facts[i] = (f"u{rng.randrange(12)}" if rng.random() < 0.9 else None, when,
+                    rng.choice(["paid", "paid", "failed"]))
+        return [*touched, when]
+
+    for i in range(60):
+        change(i)
+    jobs.backfill_buyers(jobs.Environment(current(), store, CFG), SPAN)
+    for _ in range(3):
+        days = [d for _ in range(6) for d in change(rng.randrange(80))]
+        env = jobs.Environment(current(), store, CFG)
+        jobs.refresh_buyers(env, DaySet.of(days))
+        jobs.refresh_buyers(env, DaySet.of(days))  # again: the same
+        firsts = purchases.purchases(store.buyer_months())
+        late = DateRange(dt.date(2024, 2, 5), SPAN.end)
+        want = table(marts.build_cohort_weekly(env.core, late, CFG))
+        assert table(marts.build_cohort_weekly(env.core, late, CFG, firsts)) == want
+        assert jobs.backfill_cohort(env, late) == 4
+        stored = store.read("cohort_weekly", late.weeks()).drop("created_at", "updated_at")
+        assert set(want) <= set(table(stored))
+
+
 def test_incremental_refresh(env):
     as_of = dt.date(2024, 2, 20)
     jobs.incremental_refresh(env, "last_3_days", as_of)

@@ -22,6 +22,7 @@ from martwright.sources import core as core_source
 from martwright.sources import store as st
 from martwright.sources.core import CoreTables
 from martwright.sources.sample import map_orders, sample_core
+from martwright.streaming.deltas import stream_deltas
 from martwright.streaming.refresh import stream_refresh
 
 SEEN = dt.datetime(2011, 3, 31, 6, 0)
@@ -393,6 +394,20 @@ def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return env.store.marts().daily
 
 
+@query("stream_deltas")
+def added_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily mart from sums of what arrives: the orders as several files, one a micro-batch."""
+    env = new_environment(spark, sf_dir)
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    files = new_folder(spark, "arriving")
+    raw.repartition(5, "o_orderkey").write.parquet(files)
+    stream_deltas(
+        spark, env, files, raw.schema, new_folder(spark, "stream"), map_orders, fold_every=2,
+        maxFilesPerTrigger="1",
+    ).awaitTermination()
+    return env.store.marts().daily
+
+
 _COPIES: dict[tuple[str, str], str] = {}
 
 

@@ -637,6 +637,7 @@ WHERE cohort_week BETWEEN date_trunc('week', DATE '{TO}' - 84) AND DATE '{TO}'""
   UNION ALL SELECT 'summary', 'all', NULL, {big('sum(payment_attempts_count)')} FROM v_pay_daily)
 SELECT '2010-10-01' AS "from", '2011-03-30' AS "to", * FROM rows"""),
     "stream_refresh": q("SELECT * FROM m_daily WHERE orders_created_count > 0"),
+    "stream_deltas": q("SELECT * FROM m_daily WHERE orders_created_count > 0"),
     # panel
     "p_provider_totals": q(f"""
 SELECT *, CASE WHEN orders_created_count > 0

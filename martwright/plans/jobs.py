@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,7 @@ from martwright.plans.quality import find_issues
 from martwright.ranges import DAY, DateRange, cohort_window, refresh_window
 from martwright.settings import Settings
 from martwright.sources.core import CoreTables
-from martwright.sources.store import MartStore
+from martwright.sources.store import LEASE, MartStore
 
 # Names under which runs are logged. Fixed values.
 DAILY_JOB = "DailyMetricsBackfillJob"
@@ -40,13 +41,26 @@ class Environment:
 
 
 def run_logged(env: Environment, job: str, rng: DateRange, work: Callable[[], int]) -> int:
-    """Run ``work`` between a 'running' and a 'success' or 'failed' entry; failures re-raise."""
+    """Run ``work`` between a 'running' and a 'success' or 'failed' entry; failures re-raise.
+
+    While it runs a thread renews the run's lease, so that a run whose driver is gone is known as
+    failed when the lease has passed.
+    """
     run = env.store.open_run(job, rng, env.cfg.now())
+    done = threading.Event()
+
+    def renew() -> None:
+        while not done.wait(LEASE.total_seconds() / 3):
+            env.store.renew_run(run, env.cfg.now())
+
+    threading.Thread(target=renew, daemon=True).start()
     try:
         rows = work()
     except Exception as error:
+        done.set()
         env.store.close_run(run, "failed", env.cfg.now(), error=str(error))
         raise
+    done.set()
     env.store.close_run(run, "success", env.cfg.now(), rows=rows)
     return rows
 
@@ -57,20 +71,24 @@ def refresh_sales(env: Environment, rng: DateRange, everything: bool = True) ->
     Two small grains are computed once and feed the builders: sales by (day, provider, product)
     and paid orders by (day, user). A ``DaySet`` reads and writes its days only.
     """
-    core, cfg, at = env.core, env.cfg, env.cfg.now()
-    mix = materialize(m.sales_mix(core, rng, cfg))
+    core, cfg = env.core, env.cfg
     buyers = m.buyer_days(core, rng, cfg)
     buyers = materialize(buyers) if everything else buyers
-    built = {
-        "daily": m.build_daily(core, rng, cfg, mix, buyers),
-        "provider_daily": m.build_provider_daily(core, rng, cfg, mix),
-        "product_daily": m.build_product_daily(core, rng, cfg, mix),
-    }
+    write_sales(env, rng, m.sales_mix(core, rng, cfg), buyers)
     if everything:
-        built["referral_daily"] = m.build_referral_daily(core, rng, cfg, buyers)
-        built["promo_daily"] = m.build_promo_daily(core, rng, cfg)
-    for name, df in built.items():
-        env.store.upsert(name, df, rng, at)
+        at = cfg.now()
+        env.store.upsert("referral_daily", m.build_referral_daily(core, rng, cfg, buyers), rng, at)
+        env.store.upsert("promo_daily", m.build_promo_daily(core, rng, cfg), rng, at)
+
+
+def write_sales(env: Environment, rng: DateRange, mix: DataFrame, buyers: DataFrame) -> None:
+    """Daily, provider and product marts from the two grains; ``mix`` is read three times and
+    computed once."""
+    core, cfg, at = env.core, env.cfg, env.cfg.now()
+    mix = materialize(mix)
+    env.store.upsert("daily", m.build_daily(core, rng, cfg, mix, buyers), rng, at)
+    env.store.upsert("provider_daily", m.build_provider_daily(core, rng, cfg, mix), rng, at)
+    env.store.upsert("product_daily", m.build_product_daily(core, rng, cfg, mix), rng, at)
 
 
 def backfill_daily(env: Environment, rng: DateRange) -> int:

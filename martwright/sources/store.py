@@ -34,7 +34,12 @@ MONTH = "month"
 RUNS_SCHEMA = """
     run_id string, step int, job_name string, range_start date, range_end date, status string,
     rows_written int, error_text string, started_at timestamp_ntz, finished_at timestamp_ntz,
-    created_at timestamp_ntz"""
+    created_at timestamp_ntz, lease_until timestamp_ntz"""
+LAST_STEP = 2**31 - 1
+
+#: How long a run counts as running after its last sign of life.
+LEASE = dt.timedelta(minutes=10)
+EXPIRED = "lease expired"
 
 #: How often an upsert starts again after other writers' upserts of the same months.
 UPSERT_ATTEMPTS = 5
@@ -185,27 +190,63 @@ class MartStore:
             "started_at": at,
             "created_at": at,
         }
-        self._log(**run, step=0, status="running")
+        self._log(**run, step=0, status="running", lease_until=at + LEASE)
         return run
 
+    def renew_run(self, run: dict, at: dt.datetime) -> None:
+        """A sign of life: the run counts as running for another lease."""
+        step = int((at - run["started_at"]).total_seconds()) + 1
+        self._log(**run, step=step, status="running", lease_until=at + LEASE)
+
     def close_run(
         self, run: dict, status: str, at: dt.datetime, rows: int | None = None, error: str = ""
     ) -> None:
         self._log(
             **run,
-            step=1,
+            step=LAST_STEP,
             status=status,
             rows_written=rows,
             error_text=error[:ERROR_TEXT_LENGTH] or None,
             finished_at=at,
         )
 
-    def runs(self) -> DataFrame:
-        """Latest state of every run. The log only grows; a run's last entry is its state."""
-        log = self._load("job_runs", T.StructType.fromDDL(RUNS_SCHEMA))
+    def _run_log(self) -> DataFrame:
+        return self._load("job_runs", T.StructType.fromDDL(RUNS_SCHEMA))
+
+    def runs(self, at: dt.datetime | None = None) -> DataFrame:
+        """Latest state of every run. The log only grows; a run's last entry is its state.
+
+        As of ``at``, a run that still counts as running after its lease is a failed one.
+        """
+        log = self._run_log()
         rest = [c for c in log.columns if c not in ("run_id", "step")]
         latest = log.groupBy("run_id").agg(F.max_by(F.struct(*rest), "step").alias("run"))
-        return latest.select("run_id", *[F.col(f"run.{c}").alias(c) for c in rest])
+        found = latest.select("run_id", *[F.col(f"run.{c}").alias(c) for c in rest])
+        if at is not None:
+            lost = (F.col("status") == "running") & (F.col("lease_until") < instant(at))
+            found = found.withColumns({
+                "status": F.when(lost, "failed").otherwise(F.col("status")),
+                "error_text": F.when(lost, EXPIRED).otherwise(F.col("error_text")),
+                "finished_at": F.when(lost, F.col("lease_until")).otherwise(F.col("finished_at")),
+            })
+        return found.drop("lease_until")
+
+    def compact_runs(self) -> None:
+        """Put one file in place of the log's many: the last entry of each run.
+
+        The new file is written before the old ones go; an entry that is read twice meanwhile is
+        the same entry. Entries that others append stay, as only the files read are removed.
+        """
+        log = self._run_log()
+        files = log.inputFiles()
+        if len(files) < 2:
+            return
+        rest = [c for c in log.columns if c != "run_id"]
+        last = log.groupBy("run_id").agg(F.max_by(F.struct(*rest), "step").alias("r"))
+        kept = last.select("run_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+        kept.select(*log.columns).coalesce(1).write.mode("append").parquet(self._path("job_runs"))
+        for name in files:
+            remove_folder(self.spark, name)
 
     # --- exports -----------------------------------------------------------------------
 

@@ -201,3 +201,29 @@ def test_kept_purchases_spare_the_history(stored, spark):
         assert scans and all(
             "GreaterThanOrEqual" in x.split("PartitionFilters")[1].split("PushedFilters")[0]
             or ">= " in x.split("PartitionFilters")[1].split("PushedFilters")[0] for x in scans)
+
+
+def test_files_without_the_user_are_not_read(stored):
+    """One user's orders: row groups that the Bloom filters and sorted statistics rule out."""
+    from martwright.plans import metrics
+
+    user = "85"
+    own = stored.orders.where(F.col("user_id") == user)
+    days = own.select("timestamp_day").distinct().count()
+    df = metrics.user_orders(stored, user, catalog.FULL, CFG)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    node = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    todo, read = [node], None
+    while todo:
+        node = todo.pop()
+        if "plan" in dir(node) and "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if "Scan parquet" in node.nodeName():
+            read = node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert read is not None
+    in_days = stored.orders.join(own.select("timestamp_day").distinct(), "timestamp_day").count()
+    # Twice: once to find the ranges of the sort, once to sort.
+    assert own.count() <= read <= 2 * in_days < 0.2 * stored.orders.count() and days > 1

@@ -339,6 +339,51 @@ def test_kept_purchases_take_moved_and_withdrawn_orders(tables, store):
         assert set(want) <= set(table(stored))
 
 
+def test_a_lost_run_fails_when_its_lease_ends(env):
+    run = env.store.open_run(jobs.DAILY_JOB, SPAN, T1)
+    soon, late = T1 + dt.timedelta(minutes=5), T1 + st.LEASE + dt.timedelta(seconds=1)
+
+    def states(at):
+        return [(r["status"], r["error_text"], r["finished_at"]) for r in rows(env.store.runs(at))]
+
+    assert states(None) == states(soon) == [("running", None, None)]
+    assert states(late) == [("failed", st.EXPIRED, T1 + st.LEASE)]
+    assert rows(st.runs_summary(env.store.runs(late), late))[0]["failed_last_24h"] == 1
+    env.store.renew_run(run, soon)
+    assert states(late) == [("running", None, None)]
+    env.store.close_run(run, "success", late, rows=3)
+    assert states(late + st.LEASE) == [("success", None, late)]
+
+
+def test_a_running_job_renews_its_lease(env, monkeypatch):
+    import time
+
+    monkeypatch.setattr(jobs, "LEASE", dt.timedelta(seconds=0.3))
+    renewed = []
+    monkeypatch.setattr(MartStore, "renew_run", lambda self, run, at: renewed.append(run["run_id"]))
+    assert jobs.run_logged(env, jobs.DAILY_JOB, SPAN, lambda: time.sleep(1) or 1) == 1
+    count = len(renewed)
+    assert count >= 2
+    time.sleep(0.5)
+    assert len(renewed) == count  # and stops with it
+
+
+def test_compacted_log_says_the_same(env):
+    for i in range(3):
+        run = env.store.open_run(f"job {i}", SPAN, T1)
+        env.store.renew_run(run, T2)
+        if i:
+            env.store.close_run(run, "success", T2, rows=i)
+    before = table(env.store.runs(T2))
+    folder = Path(env.store.root) / "job_runs"
+    assert len(list(folder.glob("*.parquet"))) == 8
+    env.store.compact_runs()
+    assert len(list(folder.glob("*.parquet"))) == 1 and table(env.store.runs(T2)) == before
+    env.store.compact_runs()
+    env.store.close_run(run, "failed", T2, error="x")
+    assert table(env.store.runs(T2)) != before and env.store.runs().count() == 3
+
+
 def test_incremental_refresh(env):
     as_of = dt.date(2024, 2, 20)
     jobs.incremental_refresh(env, "last_3_days", as_of)

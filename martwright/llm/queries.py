@@ -97,7 +97,10 @@ def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 # States what the mailbox quotes instead of parsing it.
 ORACLE["op1_quote_links"] = r"""
 WITH RECURSIVE turns AS (
-    SELECT conv_id, turn, conv_id * 1000 + turn AS id, coalesce(max(text), '') AS text
+    SELECT conv_id, turn, coalesce(max(text), '') AS text,
+        CASE WHEN turn BETWEEN 0 AND 999 THEN conv_id * 1000 + turn
+            WHEN turn > 0 THEN 4611686018427387904 + conv_id * 4294967296 + turn
+            ELSE -4611686018427387904 + conv_id * 4294967296 + turn END AS id
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 ), said AS (
     SELECT DISTINCT id, conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS print
@@ -105,18 +108,29 @@ WITH RECURSIVE turns AS (
           FROM turns)
 ), prints AS (
     SELECT * FROM said WHERE print <> ''
-), firsts AS (
-    SELECT print, min(id) AS original FROM prints GROUP BY print
 ), quotes AS (
-    SELECT t.id, 1 AS level, p.print FROM turns t JOIN prints p
+    SELECT DISTINCT t.id, 1 AS level, p.print FROM turns t JOIN prints p
     ON p.conv_id = t.conv_id AND p.turn = t.turn - 1
-    UNION ALL
+    UNION
     SELECT t.id, 2, p.print FROM turns t JOIN prints p
     ON p.conv_id = t.conv_id AND p.turn = t.turn - 2
+), held AS (
+    SELECT *, count(*) OVER (PARTITION BY print, lev) AS n
+    FROM (SELECT id, 0 AS lev, print FROM prints UNION SELECT id, level, print FROM quotes)
+), pairs AS (
+    SELECT q.id, q.level, q.print, h.id AS holder, h.n, row_number() OVER (
+        PARTITION BY q.id, q.level, q.print, h.lev ORDER BY h.id DESC) AS back
+    FROM quotes q JOIN held h ON h.print = q.print AND h.lev IN (0, q.level - 1) AND h.id < q.id
+), agreed AS (
+    SELECT DISTINCT id, level, print, holder FROM pairs
+    WHERE (id, holder) IN (SELECT (id, holder) FROM pairs WHERE n <= 16 OR back = 1)
+), ranked AS (
+    SELECT id, holder, min(level) AS low, sum(n) AS agreeing, min_by(n, level) AS at_low
+    FROM (SELECT id, holder, level, count(*) AS n FROM agreed GROUP BY ALL) GROUP BY id, holder
 ), links AS (
-    SELECT q.id, f.original,
-        row_number() OVER (PARTITION BY q.id ORDER BY q.level, f.original DESC) AS k
-    FROM quotes q JOIN firsts f USING (print) WHERE f.original < q.id
+    SELECT id, holder AS original,
+        row_number() OVER (PARTITION BY id ORDER BY low, at_low DESC, agreeing DESC, holder DESC) AS k
+    FROM ranked
 ), replies AS (
     SELECT t.id, l.original AS parent, t.text
     FROM turns t LEFT JOIN links l ON l.id = t.id AND l.k = 1

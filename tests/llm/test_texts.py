@@ -194,6 +194,56 @@ def test_conversations(spark):
     assert quote_links.conversations(mail.limit(0)).count() == 0
 
 
+def test_a_common_answer_keeps_its_thread(spark):
+    """Two threads that both say "Yes.", and a third that asks later and quotes deeper."""
+    mail = [(1, "Tea?"), (2, "Yes.\n\n> Tea?"), (11, "Coffee?"), (12, "Yes.\n\n> Coffee?"),
+            (13, "Good.\n\n> Yes."), (14, "Fine.\n\n> Yes.\n>> Tea?"), (15, "Late.\n\n> Tea?\n>\n> Coffee?")]
+    for common in (0, 1, 16):
+        lines = quote_links.parsed_lines(spark.createDataFrame(mail, "msg_id long, text string"))
+        got = {r["id"]: r["parent"] for r in
+               quote_links.parents(quote_links.passages(lines), common).collect()}
+        assert got == {2: 1, 12: 11, 13: 12, 14: 2, 15: 11}
+
+
+def plain_parents(held, common):
+    n = Counter((p, lev) for _, lev, p in held)
+    out = {}
+    for i in {x[0] for x in held}:
+        pairs, found = set(), set()
+        for _, level, p in [x for x in held if x[0] == i and x[1] > 0]:
+            for lev in {0, level - 1}:
+                who = sorted(h for h, hl, hp in held if hp == p and hl == lev and h < i)
+                pairs |= {(h, level, p) for h in who}
+                found |= set(who if n[p, lev] <= common else who[-1:])
+        agreed = {x for x in pairs if x[0] in found}
+        scores = []
+        for h in {x[0] for x in agreed}:
+            levels = Counter(level for x, level, _ in agreed if x == h)
+            scores.append((-min(levels), levels[min(levels)], sum(levels.values()), h))
+        if scores:
+            out[i] = max(scores)[3]
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 2, 50])
+def test_parents_as_stated(spark, common, monkeypatch):
+    monkeypatch.setattr(quote_links, "SPAN_BITS", 3)
+    rng = random.Random(common)
+    held = {(rng.randrange(90), rng.choice([0, 0, 1, 1, 2, 3]), rng.choice("abcdefghij"))
+            for _ in range(300)}
+    df = spark.createDataFrame(sorted(held), "id long, level int, print string")
+    got = {r["id"]: r["parent"] for r in quote_links.parents(df, common).collect()}
+    assert got == plain_parents(held, common)
+
+
+def test_a_very_long_message(spark):
+    text = "\n\n".join(f"> part {i}" for i in range(3000)) + "\n" + "x" * 300_000
+    mail = [(1, "\n\n".join(f"part {i}" for i in range(3000))), (2, text)]
+    got = quote_links.conversations(spark.createDataFrame(mail, "msg_id long, text string")).collect()
+    assert {r["message_id"]: (r["parent_id"], len(r["body"])) for r in got} == {
+        1: (None, len(mail[0][1])), 2: (1, 300_000)}
+
+
 def test_long_conversations_do_not_run_into_others(spark, tmp_path):
     rows = [(1, t, "user", f"first says {t}") for t in range(-2, 1203)]
     rows += [(2, t, "user", f"second says {t}") for t in range(300)]

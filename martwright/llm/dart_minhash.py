@@ -259,7 +259,7 @@ def _links(docs, distinct, doc_id, text, similarity) -> DataFrame:
         F.min("class").alias("least"), F.max("class").alias("most")
     ).where(F.col("least") != F.col("most")).select("bucket")
     loose = keep(placed.join(mixed, "bucket", "left_semi"), "loose")
-    elements = arrow_udf(_elements, "array<int>").asNondeterministic()
+    elements = arrow_udf(_elements, "array<long>").asNondeterministic()
     sets = keep(
         texts.join(loose.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
         .select(F.col("id").alias("node"), elements("text").alias("elements")),
@@ -279,9 +279,9 @@ def _links(docs, distinct, doc_id, text, similarity) -> DataFrame:
 
 
 def _elements(texts: pa.Array) -> pa.Array:
-    """A text's shingles as short hashes, one for each occurrence: the third of a shingle is
-    another element than its first. Equal elements stay equal, so a similarity by them is never
-    too small."""
+    """A text's shingles as hashes, one for each occurrence: the third of a shingle is another
+    element than its first. They have all 64 bits, so that a block counts what the exact
+    comparison counts."""
     flat, ends = [], [np.zeros(1, np.int64)]
     for _, part in slices(texts):
         _, _, text, grams = shingles(part)
@@ -289,10 +289,10 @@ def _elements(texts: pa.Array) -> pa.Array:
         count = weight.astype(np.int64)
         layer = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         each = mix(np.repeat(grams, count) + layer.astype(np.uint64) * _STEP)
-        flat.append((each >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        flat.append(each.view(np.int64))
         sizes = np.bincount(text, count, len(part)).astype(np.int64)
         ends.append(ends[-1][-1] + np.cumsum(sizes))
-    values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(values))
 
 
@@ -310,7 +310,7 @@ def _between_classes(similarity: float):
             shared = count[column] > 1  # what one text alone has meets nothing
             order = np.argsort(column[shared], kind="stable")
             owner, column = owner[shared][order], column[shared][order]
-            common = np.zeros((len(node), len(node)), np.float32)
+            common = np.zeros((len(node), len(node)))  # whole numbers: products of one piece are exact
             edges = np.searchsorted(column, np.arange(0, len(count) + COLUMNS, COLUMNS))
             for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if high > low:
@@ -318,7 +318,8 @@ def _between_classes(similarity: float):
                     has[owner[low:high], column[low:high] - k * COLUMNS] = 1
                     common += has @ has.T
             whole = size[:, None] + size[None, :] - common
-            near = (common >= similarity * whole * (1 - 1e-6)) & (label[:, None] != label[None, :])
+            alike = np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
+            near = (alike >= similarity) & (label[:, None] != label[None, :])
             parent = {x: x for x in label.tolist()}
 
             def find(x: int) -> int:

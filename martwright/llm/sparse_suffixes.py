@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -30,7 +30,7 @@ from martwright.llm.rows import Words, gram_hashes, run_hashes, slices, word_has
 from martwright.llm.tables import keep
 
 PASSAGE, SEED = 50, 20
-SUFFIX = "seed long, reach long, before int, windows int, id long, at int"
+SUFFIX = "seed long, reach long, before int, windows int, id long, body long, at int"
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _suffixes(words: Words, hashes: np.ndarray, passage: int, seed: int):
 def _retained(passage: int, seed: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, bodies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for row, part in slices(batch.column(1)):
                 words = Words(pc.utf8_lower(part))
                 found = _suffixes(words, word_hashes(words), passage, seed)
@@ -84,8 +84,9 @@ def _retained(passage: int, seed: int):
                      pa.array((place - start).astype(np.int32)),
                      pa.array(count.astype(np.int32)),
                      pa.array(ids[row + text].astype(np.int64)),
+                     pa.array(bodies[row + text].astype(np.int64)),
                      pa.array((start - words.first[text]).astype(np.int32))],
-                    names=["seed", "reach", "before", "windows", "id", "at"],
+                    names=["seed", "reach", "before", "windows", "id", "body", "at"],
                 )
 
     return fn
@@ -115,7 +116,7 @@ def _extensions(passage: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fingerprints of the windows of the suffixes listed for each text."""
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, bodies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
             lists = batch.column(2)
             ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             flat = lists.flatten()
@@ -135,8 +136,9 @@ def _extensions(passage: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prints.view(np.int64)),
                      pa.array(ids[row + owner].astype(np.int64)),
+                     pa.array(bodies[row + owner].astype(np.int64)),
                      pa.array((window - words.first[owner]).astype(np.int32))],
-                    names=["print", "id", "at"],
+                    names=["print", "id", "body", "at"],
                 )
 
     return fn
@@ -156,25 +158,35 @@ def _merge(lists: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
+#: An occurrence: the row, by its id and text, and the word.
+PLACE = ("id", "body", "at")
+
+
+def _body(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("body")
+
+
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE,
     seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, spans): where texts repeat ``passage`` or more words said before.
+    """(doc_id, body, spans): where texts repeat ``passage`` or more words said before.
 
     A span is (start, end) in words from 0, end excluded: words covered by runs of ``passage``
     words that also stand earlier, in a row with a smaller id, or earlier in the same text. The
     first occurrence is never listed. Texts without repeats have no row, so null, empty and short
-    texts have none; nor have rows with a null id, which are not read. Of rows that share an id
-    the greatest text counts. Copies are repeats like any other. Other columns are not read.
+    texts have none; nor have rows with a null id, which are not read. Rows that share an id are
+    texts of their own, in the order of ``body``, the hash of the text; equal rows are one. Copies
+    are repeats like any other. Other columns are not read.
     """
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")
+        F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"),
+        _body(text),
     )
     suffixes = keep(rows.mapInArrow(_retained(passage, seed), SUFFIX), "suffixes")
     kind = ["seed", "reach", "before", "windows"]
     kinds = suffixes.groupBy(*kind).agg(
-        F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")
+        F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")
     )
     kinds = keep(kinds, "kinds")
 
@@ -182,42 +194,44 @@ def repeated_passages(
     again = kinds.where(F.col("n") > 1).drop("n")
     whole = (
         suffixes.join(again, kind)
-        .where(F.struct("id", "at") != F.col("first"))
-        .select("id", F.col("at").alias("start"),
+        .where(F.struct(*PLACE) != F.col("first"))
+        .select("id", "body", F.col("at").alias("start"),
                 (F.col("at") + F.col("windows") + F.lit(passage - 1)).alias("end"))
     )
 
     # Equal first words, another reach: the firsts of such kinds are extended by windows.
     order = ["seed", "reach", "before", "windows"]
     parts = (
-        kinds.select("seed", "reach", "before", "windows", "first.id", "first.at")
+        kinds.select("seed", "reach", "before", "windows", "first.*")
         .repartitionByRange("seed")
         .sortWithinPartitions(*order)
         .mapInArrow(_with_neighbours, SUFFIX)
-        .groupBy("id")
+        .groupBy("id", "body")
         .agg(F.collect_list(F.struct("at", "windows")).alias("at"))  # bounded by the text's length
     )
-    one = rows.join(parts, "id").groupBy("id").agg(
+    one = rows.join(parts, ["id", "body"]).groupBy("id", "body").agg(
         F.max("text").alias("text"), F.first("at").alias("at")
     )
     prints = keep(
-        one.select("id", "text", "at").mapInArrow(_extensions(passage), "print long, id long, at int"),
+        one.select("id", "text", "at", "body").mapInArrow(
+            _extensions(passage), "print long, id long, body long, at int"
+        ),
         "prints",
     )
     firsts = prints.groupBy("print").agg(
-        F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")
+        F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")
     ).where(F.col("n") > 1).drop("n")
     single = (
         prints.join(firsts, "print")
-        .where(F.struct("id", "at") != F.col("first"))
-        .select("id", F.col("at").alias("start"), (F.col("at") + F.lit(passage)).alias("end"))
+        .where(F.struct(*PLACE) != F.col("first"))
+        .select("id", "body", F.col("at").alias("start"), (F.col("at") + F.lit(passage)).alias("end"))
     )
     merge = arrow_udf(_merge, "array<struct<start:int, end:int>>")
     return (
         whole.union(single)
-        .groupBy("id")
+        .groupBy("id", "body")
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most one a word
-        .select(F.col("id").alias(doc_id), merge("spans").alias("spans"))
+        .select(F.col("id").alias(doc_id), "body", merge("spans").alias("spans"))
     )
 
 
@@ -250,10 +264,13 @@ def cut_repeats(
     A text that repeats others from end to end becomes empty. Rows without spans are unchanged.
     ``size``: a column that gets the number of characters of a text that was cut.
     """
-    cuts = spans.select(F.col(doc_id).alias("__id"), F.col("spans").alias("__spans"))
+    cuts = spans.select(
+        F.col(doc_id).alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")
+    )
     cut = arrow_udf(_cut, "string").asNondeterministic()  # once a row, though used twice
     has = F.col("__spans").isNotNull()
-    joined = docs.join(cuts, F.col(doc_id).cast("long") == F.col("__id"), "left")
+    own = (F.col(doc_id).cast("long") == F.col("__id")) & (_body(text) == F.col("__body"))
+    joined = docs.join(cuts, own, "left")
     left = joined.withColumn("__left", cut(F.col(text).cast("string"), "__spans"))
     new = {text: F.when(has, F.col("__left")).otherwise(F.col(text))}
     if size is not None and size in docs.columns:

@@ -221,6 +221,30 @@ def test_near_vectors(spark):
     assert itq_hamming.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_cut_by_themselves(spark):
+    """Texts under one id, one shorter than the other's spans; equal rows are one."""
+    said = [f"w{i}" for i in range(140)]
+    rows = [(1, " ".join(said)), (2, "short text"), (2, "before " + " ".join(said[:120])),
+            (2, "before " + " ".join(said[:120])), (2, "a b " + " ".join(said[60:]) + " end"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sparse_suffixes.repeated_passages(df)
+    assert sorted((r.doc_id, [(x.start, x.end) for x in r.spans]) for r in spans.collect()) == [
+        (2, [(1, 121)]), (2, [(2, 82)])]
+    left = sorted((r.doc_id, r.text) for r in sparse_suffixes.cut_repeats(df, spans).collect() if r.text)
+    assert left == [(1, " ".join(said)), (2, "a b end"), (2, "before "), (2, "before "), (2, "short text")]
+
+
+def test_blocks_count_as_the_exact_comparison(spark):
+    """Elements have 64 bits and one text's weight is that of its occurrences."""
+    import pyarrow as pa
+
+    texts = ["a b c d e f " * 30, "a b c d e f g", None, ""]
+    lists = dart_minhash._elements(pa.array(texts)).to_pylist()
+    assert [len(x) for x in lists] == [max(0, len((t or "").split()) - 4) for t in texts]
+    assert all(len(set(x)) == len(x) for x in lists)
+    assert max(abs(v) for x in lists for v in x) > 1 << 40
+
+
 def test_vectors_of_extreme_size_and_shared_ids(spark):
     """Components whose squares vanish or overflow, a constant table, ids that say two things."""
     rng = np.random.default_rng(6)

@@ -11,6 +11,11 @@ end of a text is a word and a class of its own, and stands before its beginning.
 p(word | text so far) = p(class | two classes before) * p(word | class), where class trigrams are
 smoothed by Witten and Bell's rule down to one class, and in a shape class known words give up an
 absolute discount for the one unknown word of that shape. All counts cover all training texts.
+
+Texts are turned into word numbers once, chunk by chunk; a chunk looks up its own distinct words by
+a join, so the vocabulary is a table and no task or driver holds it. What is broadcast is the class
+of each number, one byte a word. Neighbour counts lie in blocks of words, one row a block, dealt by
+the word's number: results do not depend on the number of partitions or the order of rows.
 """
 
 from __future__ import annotations
@@ -20,8 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from martwright.llm.rows import Words, slices, word_hashes
 from martwright.llm.tables import keep
@@ -34,14 +42,26 @@ MOST_TURNS = 81
 #: Words above this share of the tokens have their neighbours summed over all tasks.
 HEAVY_SHARE = 1 / 1000
 SHAPES = 18
-#: Text scored together, in bytes: its rare words are looked up at once.
+#: Text numbered together, in bytes: its distinct words are looked up at once.
 CHUNK_BYTES = 24 << 20
+#: Tokens whose pairs are counted at once in a task, and tokens for each block of neighbours.
+PAIR_TOKENS, BLOCK_TOKENS = 4 << 20, 2 << 20
+#: Words numbered by one task.
+NUMBERED = 100_000
+#: Counts below this have their gains from a table.
+SMALL = 12
+#: The side of a neighbour: set before the word, clear after it.
+BEFORE = np.uint32(1 << 31)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double, perplexity double"
 )
+_DEALT = "chunk long, id long, held_out boolean, text string"
+_NUMBERED = (
+    "id long, held_out boolean, n_tokens long, n_known long, base double, fixed double, units binary"
+)
 
 
 def _words(part: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -63,88 +83,254 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
+def _numbers(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The number arrays that the rows of a binary column hold."""
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in chunks of about CHUNK_BYTES."""
+    first, seen = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = seen + np.cumsum(size)
+        chunk = first + (ends - size) // CHUNK_BYTES
+        seen = int(ends[-1]) if len(ends) else seen
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk), *(batch.column(c) for c in ("id", "held_out", "text"))],
+            ["chunk", "id", "held_out", "text"],
+        )
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each chunk, or of its part in this task, with their training counts."""
+    now, found = None, []
+
+    def done():
+        h, shape, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        kinds, at, each = np.unique(h, return_index=True, return_inverse=True)
+        return _batch({
+            "chunk": np.full(len(kinds), now), "h": kinds.view(np.int64),
+            "shape": shape[at].astype(np.int32), "n": np.bincount(each, n).astype(np.int64),
+        })
+
     for batch in batches:
-        for _, part in slices(batch.column(0), 8 << 20):
-            _, hashes, shapes = _words(part)
-            found, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield _batch({"h": found.view(np.int64), "shape": shapes[at].astype(np.int32), "n": n})
+        chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for c in np.unique(chunk):
+            if c != now and found:
+                yield done()
+                found = []
+            now = c
+            for flag in (False, True):
+                texts = batch.column("text").filter(pa.array((chunk == c) & (held == flag)))
+                for _, part in slices(texts, 8 << 20):
+                    _, hashes, shapes = _words(part)
+                    kinds, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                    found.append((kinds, shapes[at], n * (not flag)))
+    if found:
+        yield done()
+
+
+def _number(words: DataFrame, often: Column, tokens: int) -> tuple[DataFrame, int, int]:
+    """(h, n, unit) of all training words, the number of heavy ones, and of all clustered ones.
+
+    Numbers: heavy words by falling counts, the shapes (of all words that are not clustered), the
+    end of a text, then the light words. The driver gets the heavy words, of which there are no
+    more than 1 / HEAVY_SHARE, and one count for every NUMBERED light words.
+    """
+    spark = words.sparkSession
+    heavy = F.col("n") > HEAVY_SHARE * tokens
+    top = words.where(often & heavy).orderBy(F.desc("n"), "h").select("h").collect()
+    first = len(top) + SHAPES + 1
+    light = words.where(often & ~heavy)
+    parts = light.count() // NUMBERED + 1
+    light = light.withColumn("part", F.pmod("h", F.lit(parts)))
+    sizes = {r["part"]: r["count"] for r in light.groupBy("part").count().collect()}
+    before, at = [], first
+    for part in range(parts):
+        before.append((part, at))
+        at += sizes.get(part, 0)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("h")) - 1
+    numbered = light.join(
+        F.broadcast(spark.createDataFrame(before, "part long, before long")), "part"
+    ).select("h", "n", (F.col("before") + place).alias("unit"))
+    ranks = spark.createDataFrame([(r["h"], i) for i, r in enumerate(top)], "h long, unit long")
+    return (
+        numbered.unionByName(words.join(F.broadcast(ranks), "h").select("h", "n", "unit"))
+        .unionByName(words.where(~often).select("h", "n", (F.col("shape") + len(top)).cast("long").alias("unit"))),
+        len(top),
+        at - SHAPES - 1,
+    )
 
 
 @dataclass
-class Units:
-    """Clustered words by hash, sorted, with their classes; then the shapes, then the end."""
+class Counts:
+    """What is known of the training words before any class is."""
 
-    hashes: np.ndarray
-    class_of: np.ndarray  # of each unit
-    classes: int
+    heavy: int
+    clustered: int
+    shape_total: np.ndarray  # tokens of words that are not clustered, by shape
+    discount: np.ndarray
+    log_unknown: np.ndarray  # of the unknown word of each shape
+    tokens: int
+    types: int
+    texts: int
 
     @property
     def end(self) -> int:
-        return len(self.hashes) + SHAPES
-
-    def _starts(self) -> tuple[np.ndarray, np.uint64]:
-        """Where the hashes with the same leading bits begin; built once in a process."""
-        found = self.__dict__.get("_index")
-        if found is None:
-            bits = max(1, int(len(self.hashes)).bit_length())
-            shift = np.uint64(64 - bits)
-            sizes = np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits)
-            found = self.__dict__["_index"] = (np.cumsum(sizes) - sizes, shift)
-        return found
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
-
-    def of(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        size = len(self.hashes)
-        if not size:
-            return shapes.astype(np.int64)
-        starts, shift = self._starts()
-        at = np.minimum(starts[(hashes >> shift).astype(np.int64)], size - 1)
-        late = np.flatnonzero(self.hashes[at] < hashes)
-        while len(late):  # a few words have the same leading bits
-            late = late[at[late] < size - 1]
-            at[late] += 1
-            late = late[self.hashes[at[late]] < hashes[late]]
-        return np.where(self.hashes[at] == hashes, at, size + shapes)
-
-    def stream(self, words: Words, units: np.ndarray, ahead: int) -> np.ndarray:
-        """The units of all texts with the end after each, and ``ahead`` ends before the first."""
-        texts = len(words.first) - 1
-        out = np.full(len(units) + texts + ahead, self.end, np.int64)
-        out[ahead + np.arange(len(units)) + words.of_text()] = units
-        return out
-
-
-def _grams(shared, size: int, classes: bool):
-    """Counts of runs of units or classes, as one number each."""
+        return self.heavy + SHAPES
+
+    @property
+    def units(self) -> int:
+        return self.clustered + SHAPES + 1
+
+
+def _number_chunk(shared):
+    def fn(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """Texts as word numbers, with all that the classes have no part in."""
+        counts: Counts = shared.value
+        known, unit_of, n_of = (
+            answers.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "unit", "n")
+        )
+        known, at = np.unique(known.view(np.uint64), return_index=True)
+        unit_of, n_of = unit_of[at], n_of[at].astype(float)
+        done = [
+            _numbered(counts, part, known, unit_of, n_of)
+            for _, part in slices(rows.column("text").combine_chunks())
+        ]
+        n, hits, base, fixed, units = zip(*done, strict=True)
+        return pa.table({
+            "id": rows.column("id"), "held_out": rows.column("held_out"),
+            "n_tokens": np.concatenate(n), "n_known": np.concatenate(hits),
+            "base": np.concatenate(base), "fixed": np.concatenate(fixed),
+            "units": pa.chunked_array(units, pa.binary()),
+        })
+
+    return fn
+
+
+def _numbered(counts: Counts, part: pa.Array, known, unit_of, n_of):
+    words, hashes, shapes = _words(part)
+    count, unit = np.zeros(len(hashes)), counts.heavy + shapes
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = known[at] == hashes
+        count[hit], unit[hit] = n_of[at[hit]], unit_of[at[hit]]
+    rare = (unit >= counts.heavy) & (unit < counts.end)
+    total = np.maximum(counts.shape_total[shapes], 1)
+    share = np.log10(np.maximum(count - counts.discount[shapes], 1e-9) / total)
+    emit = np.where(count > 0, share, counts.log_unknown[shapes])
+    emit = np.where(rare, emit, np.log10(np.maximum(count, 1)))
+    texts, of_text = len(words.first) - 1, words.of_text()
+    n = np.diff(words.first) + 1
+    base = np.bincount(of_text, np.log10(count + 1), texts) + np.log10(counts.texts + 1)
+    hits = np.bincount(of_text, count > 0, texts).astype(np.int64) + (counts.texts > 0)
+    places = (4 * words.first).astype(np.int32)
+    units = pa.Array.from_buffers(
+        pa.binary(), texts, [None, pa.py_buffer(places), pa.py_buffer(unit.astype(np.uint32))]
+    )
+    bottom = np.log10(counts.tokens + counts.types + 1)
+    return n, hits, base - n * bottom, np.bincount(of_text, emit, texts), units
+
+
+def _streams(batch: pa.RecordBatch, end: int, ahead: int):
+    """(first row, rows, numbers) of pieces of a batch: the numbers of the texts with the end after
+    each, and ``ahead`` ends before the first."""
+    column = batch.column("units")
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
+    ends, start = np.cumsum(size, dtype=np.int64), 0
+    while start < len(size):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIR_TOKENS, "right")))
+        close = np.full(1, end, np.uint32)
+        parts = [np.full(ahead, end, np.uint32)]
+        for units in _numbers(column.slice(start, stop - start), np.uint32):
+            parts += [units, close]
+        yield start, stop - start, np.concatenate(parts).astype(np.int64)
+        start = stop
+
+
+def _pairs(counts: Counts, blocks: int):
+    """Neighbours for each block: a row holds the words, their neighbours with the side, the counts.
+
+    A pair stands with its light words; one of heavy words, shapes and ends alone has a block by
+    both, and is written after the first of them only.
+    """
+    first, width = counts.end + 1, counts.units
+
+    def entries(key, n):
+        u, v = key // width, key % width
+        light_u, light_v = u >= first, v >= first
+        alone = ~light_u & ~light_v
+        block = np.concatenate([np.where(alone, u * 31 + v, u)[light_u | alone], v[light_v]]) % blocks
+        unit = np.concatenate([u[light_u | alone], v[light_v]]).astype(np.uint32)
+        other = np.concatenate([v[light_u | alone], u[light_v]]).astype(np.uint32)
+        other[int((light_u | alone).sum()) :] |= BEFORE
+        n = np.concatenate([n[light_u | alone], n[light_v]])
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        columns = [np.split(x[order], cut[1:]) for x in (unit, other, n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[cut]), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in columns)],
+            ["block", "unit", "other", "n"],
+        )
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Units = shared.value
+        waiting, size = [], 0
         for batch in batches:
-            for _, part in slices(batch.column(0), 8 << 20):
-                words, hashes, shapes = _words(part)
-                units = model.stream(words, model.of(hashes, shapes), size - 1)
-                end = model.end
-                width = end + 1
-                if classes:
-                    units, end = model.class_of[units].astype(np.int64), int(model.class_of[model.end])
-                    width = model.classes
-                if size == 2:
-                    key = units[:-1] * width + units[1:]
-                else:
-                    # Before a text's beginning there are only ends, whatever text came before.
-                    first = np.where(units[1:-1] == end, end, units[:-2])
-                    key = (first * width + units[1:-1]) * width + units[2:]
-                found, n = np.unique(key, return_counts=True)
-                yield _batch({"key": found, "n": n})
+            for _, _, stream in _streams(batch, counts.end, 1):
+                waiting.append(stream[:-1] * width + stream[1:])
+                size += len(stream)
+                if size >= PAIR_TOKENS:
+                    yield entries(*np.unique(np.concatenate(waiting), return_counts=True))
+                    waiting, size = [], 0
+        if waiting:
+            yield entries(*np.unique(np.concatenate(waiting), return_counts=True))
 
     return fn
 
 
+def _merge(rows: pa.Table) -> pa.Table:
+    """One row for a block, sorted by word and neighbour."""
+    unit, other, n = (
+        np.concatenate(_numbers(rows.column(c).combine_chunks(), kind))
+        for c, kind in (("unit", np.uint32), ("other", np.uint32), ("n", np.int64))
+    )
+    key = unit.astype(np.uint64) << np.uint64(32) | other
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
+    n = np.add.reduceat(n[order], at)
+    unit, other = (key[at] >> np.uint64(32)).astype(np.uint32), key[at].astype(np.uint32)
+    start = np.flatnonzero(np.diff(unit.astype(np.int64), prepend=-1))
+    ends = np.append(start[1:], len(unit)).astype(np.int64)
+    return pa.table({
+        "block": rows.column("block").slice(0, 1),
+        **{k: pa.array([x.tobytes()], pa.binary())
+           for k, x in (("unit", unit[start]), ("ends", ends), ("other", other), ("n", n))},
+    })
+
+
+def _opened(batch: pa.RecordBatch):
+    """(words, ends of their entries, neighbours, whether those stand before, counts) of each block."""
+    for row in range(batch.num_rows):
+        unit, ends, other, n = (
+            np.frombuffer(batch.column(c)[row].as_buffer(), kind)
+            for c, kind in (("unit", np.uint32), ("ends", np.int64), ("other", np.uint32), ("n", np.int64))
+        )
+        yield unit.astype(np.int64), ends, (other & ~BEFORE).astype(np.int64), other >= BEFORE, n
+
+
 def _f(x):
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    return x * np.log(np.maximum(x, 1))
+
+
+def _gains(cells: np.ndarray) -> np.ndarray:
+    """What counts below SMALL add to the likelihood in each cell."""
+    steps = _f(np.maximum(cells, 0) + np.arange(SMALL)[:, None, None])
+    return steps - steps[0]
 
 
 def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.ndarray:
@@ -159,13 +345,19 @@ def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.nd
         if not len(w):
             continue
         n, mine, each = counts[w, j], own[w], np.arange(len(w))
-        rest = cells[j, :movable]  # without the word itself
-        rest[each, mine] -= n
+        cells = np.ascontiguousarray(cells[:, :movable])
+        small = n < SMALL
+        more = _gains(cells)[np.where(small, n, 0).astype(np.int64), j]
+        large = np.flatnonzero(~small)
+        more[large] = _f(cells[j[large]] + n[large, None]) - _f(cells[j[large]])
+        # In its own class, and beside it, the word itself does not count.
+        rest = cells[j, mine]
+        more[each, mine] = _f(np.maximum(rest - n, 0) + n) - _f(np.maximum(rest - n, 0))
         same = np.flatnonzero(j == mine)
-        rest[same] -= others[w[same], :movable]
-        rest[same, mine[same]] -= self_n[w[same]]
+        rest = cells[j[same]] - others[w[same], :movable]
+        rest[np.arange(len(same)), mine[same]] -= n[same] + self_n[w[same]]
         rest = np.maximum(rest, 0)
-        more = _f(rest + n[:, None]) - _f(rest)
+        more[same] = _f(rest + n[same, None]) - _f(rest)
         inner = np.flatnonzero(j < movable)
         more[inner, j[inner]] = 0
         first = np.flatnonzero(np.diff(w, prepend=-1))
@@ -184,42 +376,87 @@ def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.nd
     return np.where(gain[words, to] > gain[words, own] + 1e-6, to, own)
 
 
-def _best_classes(shared, movable: int, tasks: int, most: int = 128):
-    """(unit, class) of the words that a move would make more likely.
+def _best_classes(shared, movable: int, first: int, turns: int, turn: int, blocks: int, most: int = 256):
+    """(words, classes) of a block's words that a move would make more likely.
 
-    After every ``most`` words a task adds their moves to its class counts ``tasks`` times, as the
-    other tasks meet words of the same kinds; else all would rush to the same classes.
+    After every ``most`` words a block adds their moves to its class counts as often as there are
+    blocks in the round, as the others meet words of the same kinds; else all would rush to the
+    same classes.
     """
+    times = -(-blocks // turns)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, start = shared.value
+        for batch in batches:
+            for unit, ends, other, side, n in _opened(batch):
+                moved = _block_moves(class_of, start.copy(), unit, ends, other, side, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in moved], ["unit", "to"]
+                )
+
+    def _block_moves(class_of, matrix, unit, ends, other, side, n):
+        size = len(matrix)
+        units, goals = [], []
+        ends = np.concatenate([[0], ends])
+        for at in range(int(np.searchsorted(unit, first)), len(unit), most):
+            some = unit[at : at + most]
+            place = slice(ends[at], ends[at + len(some)])
+            word = np.repeat(np.arange(len(some)), np.diff(ends[at : at + len(some) + 1]))
+            apart = other[place] != some[word]
+            cell = (side[place] * len(some) + word) * size + class_of[other[place]]
+            counts = np.bincount(cell[apart], n[place][apart], 2 * len(some) * size)
+            after, before = counts.reshape(2, len(some), size)
+            itself = ~apart & ~side[place]
+            self_n = np.bincount(word[itself], n[place][itself], len(some))
+            own = class_of[some].astype(np.int64)
+            to = _best(own, after, before, self_n, matrix, movable)
+            moved = np.flatnonzero(to != own)
+            for sign, of in ((-times, own[moved]), (times, to[moved])):
+                np.add.at(matrix, of, sign * after[moved])
+                np.add.at(matrix.T, of, sign * before[moved])
+                np.add.at(matrix, (of, of), sign * self_n[moved])
+            np.maximum(matrix, 0, out=matrix)
+            units.append(some[moved])
+            goals.append(to[moved])
+        none = np.zeros(0, np.int64)
+        return (
+            np.concatenate([none, *units]).astype(np.uint32),
+            np.concatenate([none, *goals]).astype(class_of.dtype),
+        )
+
+    return fn
+
+
+def _count_classes(shared, m: int, counts: Counts):
+    """Cells of the class matrix, then of the heavy words' neighbours, then their own pairs."""
+    first, heavy = counts.end + 1, counts.heavy
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, matrix = shared.value
-        matrix, size = matrix.copy(), len(matrix)
+        class_of = shared.value
+        found = np.zeros(m * m + heavy * (2 * m + 1))
+
+        def add(cell, n):
+            found[:] += np.bincount(cell, n, len(found))
+
         for batch in batches:
-            units = batch.column(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *batch.column(1).value_lengths().to_numpy(zero_copy_only=False)])
-            flat = batch.column(1).flatten()
-            side, other, n = (
-                flat.field(k).to_numpy(zero_copy_only=False) for k in ("side", "other", "n")
-            )
-            for start in range(0, len(units), most):
-                unit = units[start : start + most]
-                place = slice(ends[start], ends[start + len(unit)])
-                word = np.repeat(np.arange(len(unit)), np.diff(ends[start : start + len(unit) + 1]))
-                apart = other[place] != unit[word]
-                cell = (side[place] * len(unit) + word) * size + class_of[other[place]]
-                counts = np.bincount(cell[apart], n[place][apart], 2 * len(unit) * size)
-                after, before = counts.reshape(2, len(unit), size)
-                itself = ~apart & (side[place] == 0)
-                self_n = np.bincount(word[itself], n[place][itself], len(unit))
-                own = class_of[unit]
-                to = _best(own, after, before, self_n, matrix, movable)
-                moved = to != own
-                for sign, at in ((-tasks, own[moved]), (tasks, to[moved])):
-                    np.add.at(matrix, at, sign * after[moved])
-                    np.add.at(matrix.T, at, sign * before[moved])
-                    np.add.at(matrix, (at, at), sign * self_n[moved])
-                np.maximum(matrix, 0, out=matrix)
-                yield _batch({"unit": unit[moved], "to": to[moved].astype(np.int64)})
+            for unit, ends, other, side, n in _opened(batch):
+                unit = np.repeat(unit, np.diff(ends, prepend=0))
+                mine, theirs = class_of[unit].astype(np.int64), class_of[other].astype(np.int64)
+                at = np.flatnonzero(~side)
+                add(mine[at] * m + theirs[at], n[at])
+                at = np.flatnonzero(side & (other < first))
+                add(theirs[at] * m + mine[at], n[at])
+                # Heavy words: their neighbours after them, then before.
+                at = np.flatnonzero(side & (other < heavy))
+                add(m * m + other[at] * m + mine[at], n[at])
+                at = np.flatnonzero((unit < heavy) & (unit != other))
+                add(m * m + unit[at] * m + theirs[at], n[at])
+                at = np.flatnonzero(~side & (other < heavy) & (unit != other))
+                add(m * m + (heavy + other[at]) * m + mine[at], n[at])
+                at = np.flatnonzero((unit < heavy) & (unit == other))
+                add(m * m + 2 * heavy * m + unit[at], n[at])
+        at = np.flatnonzero(found)
+        yield _batch({"cell": at, "n": found[at]})
 
     return fn
 
@@ -228,77 +465,36 @@ def _likelihood(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(axis=1)).sum() - _f(matrix.sum(axis=0)).sum())
 
 
-def exchange(pairs: DataFrame, units: Units, counts: np.ndarray) -> Units:
-    """Units with the classes they have when few words move. ``pairs``: (u, v, n), u before v.
+def exchange(near: DataFrame, class_of: np.ndarray, counts: Counts, classes: int, blocks: int) -> np.ndarray:
+    """The classes when few words move. ``near``: the blocks of neighbours.
 
-    The driver gets class counts, the class counts around heavy words, and moves; classes are
-    broadcast, four bytes a word.
+    The driver gets class counts, the class counts around heavy words, and moves; a move is five
+    bytes, and the broadcast classes one byte a word.
     """
-    frequent = len(units.hashes)
-    m, movable = units.classes, units.classes - SHAPES - 1
-    sc = pairs.sparkSession.sparkContext
-    tokens = float(counts.sum())
-    # A third of the heavy words is at hand in each round.
-    heavy = np.flatnonzero(counts > HEAVY_SHARE * tokens)
-    sides = pairs.select(
-        F.col("u").alias("unit"), F.lit(0).alias("side"), F.col("v").alias("other"), "n"
-    ).union(pairs.select(F.col("v").alias("unit"), F.lit(1).alias("side"), F.col("u").alias("other"), "n"))
-    light = (F.col("unit") < frequent) & ~F.col("unit").isin([int(x) for x in heavy])
-    # A row holds a word's neighbours, of which there are no more than twice its occurrences.
-    rows = keep(
-        sides.where(light).groupBy("unit").agg(
-            F.collect_list(F.struct("side", "other", "n")).alias("entries")
-        ),
-        "neighbours",
-    )
-
-    def count_classes(shared):
-        """Cells of the class matrix, then of the heavy words' neighbours, then their own pairs."""
-
-        def fn(batches):
-            class_of, mine = shared.value
-            rank = np.full(len(class_of), -1)
-            rank[mine] = np.arange(len(mine))
-            found = np.zeros(m * m + len(mine) * (2 * m + 1))
-            for batch in batches:
-                u, v, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                of_u, of_v = class_of[u], class_of[v]
-                found += np.bincount(of_u * m + of_v, n, len(found))
-                if not len(mine):
-                    continue
-                for side, unit, other in ((0, u, of_v), (1, v, of_u)):
-                    at = np.flatnonzero((rank[unit] >= 0) & (u != v))
-                    cell = m * m + (side * len(mine) + rank[unit[at]]) * m + other[at]
-                    found += np.bincount(cell, n[at], len(found))
-                at = np.flatnonzero((rank[u] >= 0) & (u == v))
-                found += np.bincount(m * m + 2 * len(mine) * m + rank[u[at]], n[at], len(found))
-            at = np.flatnonzero(found)
-            yield _batch({"cell": at, "n": found[at]})
-
-        return fn
-
-    class_of = units.class_of.copy()
-    best, reached, moves, turn, turns = class_of.copy(), -np.inf, frequent, 0, TURNS
-    undone, tasks = False, rows.rdd.getNumPartitions()
-    while frequent:
-        mine = heavy[heavy % turns == turn]
-        shared = sc.broadcast((class_of, mine))
+    m, movable = classes, classes - SHAPES - 1
+    sc = near.sparkSession.sparkContext
+    heavy = np.arange(counts.heavy)
+    class_of = class_of.copy()
+    best, reached, moves, turn, turns = class_of.copy(), -np.inf, counts.clustered, 0, TURNS
+    undone = False
+    while counts.clustered:
+        shared = sc.broadcast(class_of)
         got = (
-            pairs.mapInArrow(count_classes(shared), "cell long, n double")
+            near.mapInArrow(_count_classes(shared, m, counts), "cell long, n double")
             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         )
         shared.destroy()
-        out = np.zeros(m * m + len(mine) * (2 * m + 1))
+        out = np.zeros(m * m + counts.heavy * (2 * m + 1))
         out[got["cell"].to_numpy()] = got["n"].to_numpy()
         matrix = out[: m * m].reshape(m, m)
         if turn == 0:
             now = _likelihood(matrix)
-            gained, few = now - reached, moves < FEW_MOVES * frequent
+            gained, few = now - reached, moves < FEW_MOVES * counts.clustered
             if undone:
                 gained, few, undone = np.inf, False, False
             if gained > 0:
                 best, reached = class_of.copy(), now
-            if few or 0 <= gained < LITTLE_GAIN * tokens or turns > MOST_TURNS:
+            if few or 0 <= gained < LITTLE_GAIN * counts.tokens or turns > MOST_TURNS:
                 break
             moves = 0
             if gained < 0:
@@ -307,48 +503,61 @@ def exchange(pairs: DataFrame, units: Units, counts: np.ndarray) -> Units:
                 continue
         shared = sc.broadcast((class_of, matrix))
         moved = (
-            rows.where(F.col("unit") % turns == turn)
-            .mapInArrow(_best_classes(shared, movable, tasks), "unit long, to long").toArrow()
+            near.where(F.col("block") % turns == turn)
+            .mapInArrow(
+                _best_classes(shared, movable, counts.end + 1, turns, turn, blocks),
+                "unit binary, to binary",
+            ).toArrow()
         )
         shared.destroy()
-        own = class_of[mine]
-        after, before = out[m * m : m * m + 2 * len(mine) * m].reshape(2, len(mine), m)
-        to = _best(own, after, before, out[m * m + 2 * len(mine) * m :], matrix, movable)
-        class_of[moved["unit"].to_numpy()] = moved["to"].to_numpy()
+        # A third of the heavy words moves in each round.
+        mine = heavy[heavy % turns == turn]
+        own = class_of[mine].astype(np.int64)
+        around = out[m * m : m * m + 2 * counts.heavy * m].reshape(2, counts.heavy, m)
+        to = _best(own, around[0, mine], around[1, mine], out[m * m + 2 * counts.heavy * m :][mine],
+                   matrix, movable)
+        for unit, goal in zip(moved["unit"], moved["to"], strict=True):
+            unit = np.frombuffer(unit.as_buffer(), np.uint32)
+            class_of[unit] = np.frombuffer(goal.as_buffer(), class_of.dtype)
+            moves += len(unit)
         class_of[mine] = to
-        moves += moved.num_rows + int((to != own).sum())
+        moves += int((to != own).sum())
         turn = (turn + 1) % turns
-    return Units(units.hashes, best if frequent else class_of, units.classes)
+    return best
 
 
 @dataclass
 class Model:
-    units: Units
+    counts: Counts
+    class_of: np.ndarray  # of each word number
+    classes: int
     log_next: np.ndarray  # class x class x class: log10 p(third | first, second)
-    log_size: np.ndarray  # log10 of the clustered tokens of each class
-    shape_total: np.ndarray  # tokens of rare words by shape
-    discount: np.ndarray
-    log_unknown: np.ndarray  # of the unknown word of each shape
-    counts: np.ndarray  # of the clustered words
-    tokens: int
-    types: int
-    texts: int
+    log_size: np.ndarray  # log10 of the clustered tokens of each class; 0 for shapes and the end
 
-    def emission(self, units: np.ndarray) -> np.ndarray:
-        """log10 p(word | class) of clustered words."""
-        return np.log10(self.counts[units]) - self.log_size[self.units.class_of[units]]
 
-    @property
-    def log_word(self) -> np.ndarray:
-        return self.emission(np.arange(len(self.counts)))
+def _count_grams(shared, end: int, m: int):
+    """Counts of three classes in a row, as one number each."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, found = shared.value, np.zeros(m**3, np.int64)
+        for batch in batches:
+            for _, _, stream in _streams(batch, end, 2):
+                found += np.bincount(_histories(class_of[stream].astype(np.int64), m), minlength=m**3)
+        at = np.flatnonzero(found)
+        yield _batch({"key": at, "n": found[at]})
+
+    return fn
+
 
+def _histories(stream: np.ndarray, m: int) -> np.ndarray:
+    """Three classes in a row as one number. Before a text there are only ends (the last class)."""
+    first = np.where(stream[1:-1] == m - 1, m - 1, stream[:-2])
+    return (first * m + stream[1:-1]) * m + stream[2:]
 
-def _trigram_table(found, m: int) -> np.ndarray:
+
+def _trigram_table(three: np.ndarray) -> np.ndarray:
     """log10 of Witten-Bell probabilities from counts of three classes."""
-    three = np.zeros(m**3)
-    for key, n in found:
-        three[key] = n
-    three = three.reshape(m, m, m)
+    m = len(three)
     two = three.sum(axis=0)
     one = two.sum(axis=0)
     p = (one + 1) / (one.sum() + m)
@@ -361,166 +570,116 @@ def _trigram_table(found, m: int) -> np.ndarray:
 
 
 def learn(
-    train: DataFrame, text: str = "text", classes: int = CLASSES, min_count: int = MIN_COUNT,
-    min_share: float = 0.0,
-) -> tuple[Model, DataFrame]:
-    """The model, and the table (h, shape, n) of all training words. Null texts are empty ones.
-
-    The driver gets the hashes and counts of the clustered words (as Arrow, 20 bytes a word) and
-    class counts. A caller may bound the words by ``min_share`` of the tokens; by default it is 0.
+    docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text",
+    classes: int = CLASSES, min_count: int = MIN_COUNT, min_share: float = 0.0,
+) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table (h, n, unit) of all training words, and all texts as word numbers.
+
+    Learns from the rows where ``held_out`` is false (all, where it is not given). Null texts are
+    empty ones. The driver gets class counts and one byte a clustered word. A caller may bound the
+    clustered words by ``min_share`` of the tokens; by default it is 0.
     """
-    spark = train.sparkSession
+    spark = docs.sparkSession
     sc = spark.sparkContext
-    only = train.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("id"), held_out.alias("held_out"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
+    dealt = keep(rows.mapInArrow(_deal, _DEALT), "dealt")
+    local = keep(
+        dealt.select("chunk", "held_out", "text")
+        .mapInArrow(_count_words, "chunk long, h long, shape int, n long"),
+        "chunk_words",
+    )
     words = keep(
-        only.mapInArrow(_count_words, "h long, shape int, n long")
-        .groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")),
+        local.where("n > 0").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")),
         "words",
     )
-    texts = train.count()
+    texts = dealt.where("not held_out").count()
     total = words.agg(F.sum("n"), F.count("*")).first()
     tokens = int(total[0] or 0) + texts
-    types = int(total[1]) + (texts > 0)
     often = F.col("n") >= max(min_share * tokens, min_count)
-    frequent = words.where(often).select("h", "n").toArrow()
-    hashes = frequent["h"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], frequent["n"].to_numpy()[order].astype(float)
-    shapes = {
-        r["shape"]: r
-        for r in words.groupBy("shape").agg(
-            F.sum(F.when(~often, F.col("n"))).alias("n"),
-            F.count_if(~often).alias("kinds"),
-            F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
-        ).where("kinds > 0").collect()
-    }
-    movable = max(1, min(classes, len(hashes)))
-    start = np.empty(len(hashes), np.int32)
-    # The most frequent words have a class each, all others the last one.
-    start[np.argsort(-counts, kind="stable")] = np.minimum(np.arange(len(hashes)), movable - 1)
-    units = Units(
-        hashes, np.concatenate([start, movable + np.arange(SHAPES + 1, dtype=np.int32)]), movable + SHAPES + 1
-    )
-    width = units.end + 1
-    found = only.mapInArrow(_grams(sc.broadcast(units), 2, False), "key long, n long")
-    pairs = keep(
-        found.groupBy("key").agg(F.sum("n").alias("n")).select(
-            F.expr(f"key DIV {width}").alias("u"), F.pmod("key", F.lit(width)).alias("v"), "n"
-        ),
-        "pairs",
-    )
-    units = exchange(pairs, units, counts)
-    grams = only.mapInArrow(_grams(sc.broadcast(units), 3, True), "key long, n long")
-    table = _trigram_table(
-        grams.groupBy("key").agg(F.sum("n").alias("n")).collect(), units.classes
-    )
-    size = np.bincount(units.class_of[: len(hashes)], counts, units.classes)
     shape_total, discount, log_unknown = np.zeros(SHAPES), np.zeros(SHAPES), np.zeros(SHAPES)
-    for shape, r in shapes.items():
+    for r in words.groupBy("shape").agg(
+        F.sum(F.when(~often, F.col("n"))).alias("n"), F.count_if(~often).alias("kinds"),
+        F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
+    ).where("kinds > 0").collect():
         d = r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5
         d = min(max(d, 0.1), 0.95)
-        shape_total[shape], discount[shape] = r["n"], d
-        log_unknown[shape] = np.log10(d * r["kinds"] / r["n"])
-    log_size = np.log10(np.maximum(size, 1))
-    model = Model(units, table, log_size, shape_total, discount, log_unknown, counts, tokens,
-                  types, texts)
-    return model, words.where(~often).select("h", "n")
-
-
-def _rare_of_chunk(shared):
-    def fn(rows: pa.Table) -> pa.Table:
-        """The distinct rare words of a chunk's texts."""
-        model, found = shared.value, []
-        for _, part in slices(rows.column("text").combine_chunks(), 8 << 20):
-            _, hashes, shapes = _words(part)
-            found.append(np.unique(hashes[model.units.of(hashes, shapes) >= len(model.units.hashes)]))
-        h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        chunk = rows.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(h), chunk, np.int64)),
-                         "h": pa.array(h.view(np.int64))})
-
-    return fn
+        shape_total[r["shape"]], discount[r["shape"]] = r["n"], d
+        log_unknown[r["shape"]] = np.log10(d * r["kinds"] / r["n"])
+    numbered, heavy, clustered = _number(words, often, tokens)
+    numbered = keep(numbered, "numbers")
+    counts = Counts(heavy, clustered, shape_total, discount, log_unknown, tokens,
+                    int(total[1]) + (texts > 0), texts)
+
+    answers = local.select("chunk", "h").join(numbered, "h")
+    coded = keep(
+        dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        .applyInArrow(_number_chunk(sc.broadcast(counts)), _NUMBERED),
+        "numbered_texts",
+    )
+    train = coded.where("not held_out").select("units")
+    movable = max(1, min(classes, clustered))
+    m = movable + SHAPES + 1
+    # The most frequent words have a class each, all others the last one.
+    class_of = np.full(counts.units, movable - 1, np.min_scalar_type(m - 1))
+    top = numbered.where(~F.col("unit").between(heavy, counts.end)).orderBy(F.desc("n"), "h")
+    for rank, r in enumerate(top.limit(movable - 1).collect()):
+        class_of[r["unit"]] = rank
+    class_of[heavy : counts.end + 1] = movable + np.arange(SHAPES + 1)
+    blocks = MOST_TURNS * (1 + tokens // (MOST_TURNS * BLOCK_TOKENS))
+    kind = "block long, unit binary, other binary, n binary"
+    near = keep(
+        train.mapInArrow(_pairs(counts, blocks), kind).groupBy("block")
+        .applyInArrow(_merge, "block long, unit binary, ends binary, other binary, n binary"),
+        "neighbours",
+    )
+    class_of = exchange(near, class_of, counts, m, blocks)
+    grams = train.mapInArrow(_count_grams(sc.broadcast(class_of), counts.end, m), "key long, n long")
+    got = grams.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    three = np.zeros(m**3)
+    three[got["key"].to_numpy()] = got["n"].to_numpy()
+    three = three.reshape(m, m, m)
+    log_size = np.log10(np.maximum(three.sum(axis=(0, 1)), 1))
+    log_size[movable:] = 0
+    return Model(counts, class_of, m, _trigram_table(three), log_size), numbered, coded
 
 
-def _score_chunk(shared):
-    def fn(rows: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(shared):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known = answers.column("h").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.argsort(known)
-        known = known[order]
-        n_known = answers.column("n").combine_chunks().to_numpy(zero_copy_only=False)[order]
-        parts = [
-            _score(model, part, known, n_known)
-            for _, part in slices(rows.column("text").combine_chunks())
-        ]
-        n, hits, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({
-            "doc_id": rows.column("id"),
-            "held_out": rows.column("held_out"),
-            "n_tokens": pa.array(n), "n_known": pa.array(hits),
-            "train_tokens": pa.array(np.full(len(n), model.tokens)),
-            "base_score": pa.array(base), "score": pa.array(score),
-            "perplexity": pa.array(10 ** np.minimum(-score / n, 300)),
-        })
+        log_next = model.log_next.reshape(-1)
+        for batch in batches:
+            for start, size, units in _streams(batch, model.counts.end, 2):
+                part = batch.slice(start, size)
+                base, fixed, n = (
+                    part.column(c).to_numpy(zero_copy_only=False) for c in ("base", "fixed", "n_tokens")
+                )
+                stream = model.class_of[units].astype(np.int64)
+                step = log_next[_histories(stream, model.classes)] - model.log_size[stream[2:]]
+                # The last step of each text is its end.
+                score = fixed + np.add.reduceat(step, np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id"), part.column("held_out"), part.column("n_tokens"),
+                    part.column("n_known"), pa.array(np.full(size, model.counts.tokens)),
+                    pa.array(base), pa.array(score),
+                    pa.array(10 ** np.minimum(-score / n, 300)),
+                ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                    "score", "perplexity"])
 
     return fn
 
 
-def _score(model: Model, part: pa.Array, known: np.ndarray, n_known: np.ndarray):
-    words, hashes, shapes = _words(part)
-    units = model.units.of(hashes, shapes)
-    frequent = len(model.units.hashes)
-    count = np.zeros(len(hashes))
-    emit = np.zeros(len(hashes))
-    often = units < frequent
-    count[often] = model.counts[units[often]]
-    emit[often] = model.emission(units[often])
-    rare = np.flatnonzero(~often)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes[rare]), len(known) - 1)
-        count[rare] = np.where(known[at] == hashes[rare], n_known[at], 0)
-    shape, c = shapes[rare], count[rare]
-    share = np.maximum(c - model.discount[shape], 1e-9) / np.maximum(model.shape_total[shape], 1)
-    emit[rare] = np.where(c > 0, np.log10(share), model.log_unknown[shape])
-
-    stream = model.units.class_of[model.units.stream(words, units, 2)]
-    end = model.units.class_of[model.units.end]
-    first, second, third = stream[:-2], stream[1:-1], stream[2:]
-    step = model.log_next[np.where(second == end, end, first), second, third]
-    texts = len(words.first) - 1
-    # The last step of each text is its end.
-    owner = np.repeat(np.arange(texts), np.diff(words.first) + 1)
-    of_text = words.of_text()
-    bottom = np.log10(model.tokens + model.types + 1)
-    base = np.bincount(of_text, np.log10(count + 1), texts) + np.log10(model.texts + 1)
-    n = np.diff(words.first) + 1
-    hits = np.bincount(of_text, count > 0, texts).astype(np.int64) + (model.texts > 0)
-    score = np.bincount(owner, step, texts) + np.bincount(of_text, emit, texts)
-    return n, hits, base - n * bottom, score
-
-
 def score(
     docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", **settings
 ) -> DataFrame:
     """One row of SCORES for every row of ``docs``, learned from those where ``held_out`` is false.
 
     A null or empty text is its end alone; null ids stay null; repeated rows are scored each.
-    Other columns are not read. Texts are dealt to chunks by a hash; a chunk looks up the training
-    counts of its own distinct rare words, so no task needs the whole vocabulary.
+    Other columns are not read, whatever their names. The scores are a function of the rows alone.
     """
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("id"), held_out.alias("held_out"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    )
-    model, rare = learn(rows.where(~F.col("held_out")), **settings)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = int(size // CHUNK_BYTES) + 1
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("long"))
+    model, _, coded = learn(docs, held_out, doc_id, text, **settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    wanted = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(
-        _rare_of_chunk(shared), "chunk long, h long"
-    )
-    answers = wanted.join(rare, "h").select("chunk", "h", "n")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score_chunk(shared), SCORES
-    )
+    return coded.mapInArrow(_score(shared), SCORES)

@@ -54,20 +54,24 @@ def test_probabilities_of_the_next_word_add_to_one(spark):
         [(i, " ".join(rng.choices(["a", "b", "c", "dd", "e.", "rare" + str(i)], k=12))) for i in range(80)],
         "doc_id long, text string",
     )
-    model, rare = brown_ngrams.learn(docs, classes=3, min_share=1 / 60)
-    unit = model.units
-    for history in [(0, 1), (unit.classes - 1, unit.classes - 1), (2, 0)]:
+    model, words, _ = brown_ngrams.learn(docs, classes=3, min_share=1 / 60)
+    counts = model.counts
+    for history in [(0, 1), (model.classes - 1, model.classes - 1), (2, 0)]:
         nexts = 10 ** model.log_next[history]
         assert nexts.sum() == pytest.approx(1)
-    inside = np.bincount(unit.class_of[: len(unit.hashes)], 10**model.log_word, unit.classes)
-    assert inside[inside > 0] == pytest.approx(1)
-    kinds = {r["shape"]: r["n"] for r in spark.createDataFrame([], "shape int, n long").collect()}
-    assert kinds == {}
-    for shape in np.flatnonzero(model.shape_total):
-        seen = 10 ** model.log_unknown[shape] * model.shape_total[shape] / model.discount[shape]
-        known = model.shape_total[shape] - model.discount[shape] * round(seen)
-        assert known / model.shape_total[shape] + 10 ** model.log_unknown[shape] == pytest.approx(1)
-    assert rare.count() > 0
+    inside, rare = Counter(), 0
+    for r in words.collect():
+        if counts.heavy <= r["unit"] < counts.end:
+            rare += 1
+        else:
+            of = int(model.class_of[r["unit"]])
+            inside[of] += 10 ** (np.log10(r["n"]) - model.log_size[of])
+    assert inside and list(inside.values()) == pytest.approx([1] * len(inside))
+    for shape in np.flatnonzero(counts.shape_total):
+        seen = 10 ** counts.log_unknown[shape] * counts.shape_total[shape] / counts.discount[shape]
+        known = counts.shape_total[shape] - counts.discount[shape] * round(seen)
+        assert known / counts.shape_total[shape] + 10 ** counts.log_unknown[shape] == pytest.approx(1)
+    assert rare > 0
 
 
 def test_rare_words_are_in_learned_classes(spark):
@@ -76,19 +80,85 @@ def test_rare_words_are_in_learned_classes(spark):
     rows = [(i, " ".join(f"{k} {k}{rng.randrange(15_000):05d}" for k in rng.choices("xy", k=50)))
             for i in range(1800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model, rare = brown_ngrams.learn(docs, classes=4)
+    model, numbered, _ = brown_ngrams.learn(docs, classes=4)
     counts = Counter(w for _, text in rows for w in text.encode().split())
-    assert len(model.counts) == sum(n > 1 for n in counts.values()) > 20_000
-    assert rare.count() == sum(n == 1 for n in counts.values())
+    known = model.counts
+    assert known.clustered == sum(n > 1 for n in counts.values()) > 20_000
+    unit_of = {r["h"]: r["unit"] for r in numbered.collect()}
+    rare = sum(known.heavy <= u < known.end for u in unit_of.values())
+    assert rare == sum(n == 1 for n in counts.values())
+    clustered = [u for u in unit_of.values() if not known.heavy <= u < known.end]
+    assert sorted([*clustered, *range(known.heavy, known.end + 1)]) == list(range(known.units))
     words = sorted(w for w, n in counts.items() if n > 1 and len(w) > 1)
-    _, hashes, shapes = brown_ngrams._words(pa.array([b" ".join(words).decode()], pa.large_string()))
-    classes = model.units.class_of[model.units.of(hashes, shapes)]
+    _, hashes, _ = brown_ngrams._words(pa.array([b" ".join(words).decode()], pa.large_string()))
+    classes = model.class_of[[unit_of[h] for h in hashes.view(np.int64).tolist()]]
     assert classes.max() < 4
     kinds = Counter((w[:1], int(c)) for w, c in zip(words, classes, strict=True))
     pure = sum(max(kinds[(b"x", c)], kinds[(b"y", c)]) for c in range(4))
     assert pure > 0.99 * len(words)
 
 
+def test_class_counts_of_the_blocks_are_those_of_the_texts(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = spark.createDataFrame(
+        [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(0, 40)))) for i in range(200)]
+        + [(200, "the " * 5000)], "doc_id long, text string",
+    )
+    model, numbered, coded = brown_ngrams.learn(docs, classes=5)
+    counts, m = model.counts, model.classes
+    assert 0 < counts.heavy < counts.clustered
+    pairs, triples = Counter(), Counter()
+    for r in coded.collect():
+        units = [counts.end, counts.end, *np.frombuffer(r["units"], np.uint32).tolist(), counts.end]
+        of = [int(model.class_of[u]) for u in units]
+        pairs.update(zip(units[1:], units[2:]))
+        triples.update(zip(of, of[1:], of[2:]))
+    entries = [
+        brown_ngrams._merge(pa.Table.from_batches([b]).filter(pa.compute.equal(b["block"], x)))
+        for b in brown_ngrams._pairs(counts, 7)(iter([pa.RecordBatch.from_pandas(
+            coded.select("units").toPandas())]))
+        for x in b["block"].to_pylist()
+    ]
+    shared = type("Shared", (), {"value": model.class_of})
+    batches = (b for t in entries for b in t.to_batches())
+    found = np.zeros(m * m + counts.heavy * (2 * m + 1))
+    for b in brown_ngrams._count_classes(shared, m, counts)(batches):
+        found[b["cell"].to_numpy()] += b["n"].to_numpy()
+    want = np.zeros_like(found)
+    for (u, v), n in pairs.items():
+        a, b = int(model.class_of[u]), int(model.class_of[v])
+        want[a * m + b] += n
+        if u == v and u < counts.heavy:
+            want[m * m + 2 * counts.heavy * m + u] += n
+        if u != v and u < counts.heavy:
+            want[m * m + u * m + b] += n
+        if u != v and v < counts.heavy:
+            want[m * m + (counts.heavy + v) * m + a] += n
+    assert found.tolist() == want.tolist()
+    three = np.zeros((m, m, m))
+    for (a, b, c), n in triples.items():
+        three[a, b, c] += n
+    assert np.allclose(brown_ngrams._trigram_table(three), model.log_next)
+
+
+def test_brown_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    held = fold_of(F.col("doc_id"), 7) == 2
+    results = []
+    for partitions, order in ((1, "doc_id"), (8, "text"), (23, F.xxhash64("doc_id"))):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            dealt = docs.orderBy(order).repartition(partitions)
+            rows = brown_ngrams.score(dealt, held, classes=12).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        results.append({r["doc_id"]: round(r["score"], 6) for r in rows})
+    assert results[0] == results[1] == results[2]
+    assert len(results[0]) == docs.count()
+
+
 def test_best_class_is_that_of_the_highest_likelihood():
     rng = np.random.default_rng(4)
     pairs = rng.integers(0, 4, (12, 12)).astype(float)

@@ -124,7 +124,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = c
             for flag in (False, True):
                 texts = batch.column("text").filter(pa.array((chunk == c) & (held == flag)))
-                for _, part in slices(texts, 8 << 20):
+                for _, part in slices(texts):
                     _, hashes, shapes = _words(part)
                     kinds, at, n = np.unique(hashes, return_index=True, return_counts=True)
                     found.append((kinds, shapes[at], n * (not flag)))
@@ -342,22 +342,34 @@ def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.nd
     gain = np.zeros((len(own), movable))
     for counts, others, cells in ((after, before, matrix.T), (before, after, matrix)):
         w, j = np.nonzero(counts)
+        n, mine = counts[w, j], own[w]
+        cells = np.ascontiguousarray(cells[:, :movable])
+        exact = (n >= SMALL) | (j == mine)
+        # Small counts: the sum of table rows, as a product of matrices.
+        table = _gains(cells)
+        at = np.flatnonzero(~exact)
+        k, row, col = n[at].astype(np.int64), w[at], j[at]
+        picked = np.zeros((len(own), SMALL * len(cells)))
+        picked[row, k * len(cells) + col] = 1
+        gain += picked @ table.reshape(-1, movable)
+        # In its own class the word itself does not count; a class beside itself comes later.
+        rest = cells[col, mine[at]]
+        less = _f(np.maximum(rest - k, 0) + k) - _f(np.maximum(rest - k, 0))
+        gain[words, own] += np.bincount(row, less - table[k, col, mine[at]], len(own))
+        inner = np.flatnonzero(col < movable)
+        gain[row[inner], col[inner]] -= table[k[inner], col[inner], col[inner]]
+        # Large counts, and neighbours in the word's own class.
+        w, j, n, mine = w[exact], j[exact], n[exact], mine[exact]
         if not len(w):
             continue
-        n, mine, each = counts[w, j], own[w], np.arange(len(w))
-        cells = np.ascontiguousarray(cells[:, :movable])
-        small = n < SMALL
-        more = _gains(cells)[np.where(small, n, 0).astype(np.int64), j]
-        large = np.flatnonzero(~small)
-        more[large] = _f(cells[j[large]] + n[large, None]) - _f(cells[j[large]])
-        # In its own class, and beside it, the word itself does not count.
-        rest = cells[j, mine]
-        more[each, mine] = _f(np.maximum(rest - n, 0) + n) - _f(np.maximum(rest - n, 0))
+        each = np.arange(len(w))
+        rest = cells[j]
+        rest[each, mine] -= n
         same = np.flatnonzero(j == mine)
-        rest = cells[j[same]] - others[w[same], :movable]
-        rest[np.arange(len(same)), mine[same]] -= n[same] + self_n[w[same]]
+        rest[same] -= others[w[same], :movable]
+        rest[same, mine[same]] -= self_n[w[same]]
         rest = np.maximum(rest, 0)
-        more[same] = _f(rest + n[same, None]) - _f(rest)
+        more = _f(rest + n[:, None]) - _f(rest)
         inner = np.flatnonzero(j < movable)
         more[inner, j[inner]] = 0
         first = np.flatnonzero(np.diff(w, prepend=-1))

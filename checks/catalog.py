@@ -34,6 +34,7 @@ RECENT = DateRange.last(30, AS_OF)
 DAY = dt.date(2010, 11, 14)
 USER = "85"
 SEARCH = "9"
+NAME_SEARCH = "TOMER#0000_00_5"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +148,15 @@ on_core("q_hourly_heatmap", lambda core: insights.hourly_heatmap(core, FULL, CFG
 on_core("q_users", lambda core: metrics.users(core, FULL, CFG, limit=clamp_limit(None)))
 on_core("q_users_all", lambda core: metrics.users(core, FULL, CFG))
 on_core("q_users_search", lambda core: metrics.users(core, FULL, CFG, SEARCH, 300))
+
+
+@query("q_users_search_index")
+def users_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core = sample_core(spark, sf_dir)
+    index = metrics.index_users(core, new_folder(spark, "users_index"), rows_per_part=200)
+    return metrics.users(core, FULL, CFG, NAME_SEARCH, None, index)
+
+
 on_core("q_user_profile", lambda core: metrics.user_profile(core, USER, CFG))
 on_core("q_user_summary", lambda core: metrics.user_summary(core, USER, FULL, CFG))
 on_core("q_user_orders", lambda core: metrics.user_orders(core, USER, FULL, CFG, 300))

@@ -10,6 +10,7 @@ FROM, TO = "2010-10-01", "2011-03-30"
 DAY = "2010-11-14"
 USER = "85"
 SEARCH = "9"
+NAME_SEARCH = "TOMER#0000_00_5"
 WIN_FROM, WIN_TO = "2011-03-01", "2011-03-30"
 PREV_FROM, PREV_TO = "2011-01-30", "2011-02-28"
 SEEN = "2011-03-31 06:00:00"
@@ -573,6 +574,10 @@ FROM sale WHERE ok AND d BETWEEN DATE '2010-10-01' AND DATE '2011-03-31' GROUP B
     "q_users_search": q(
         _users(f"u.user_id ILIKE '%{SEARCH}%' OR u.username ILIKE '%{SEARCH}%'", 300)
     ),
+    "q_users_search_index": q(
+        _users(f"u.user_id ILIKE '%{NAME_SEARCH}%' OR u.username ILIKE '%{NAME_SEARCH}%'", 0)
+        .rpartition(" LIMIT ")[0]
+    ),
     "q_user_profile": q(f"SELECT {_PROFILE} FROM core_users u WHERE user_id = '{USER}'"),
     "q_user_summary": q(f"""
 SELECT {big('count(*)')} AS orders_created_count, {big('count_if(ok)')} AS orders_paid_count,

@@ -17,6 +17,7 @@ from martwright.operators.frames import (
     reduced,
     top,
 )
+from martwright.operators.grams import SearchIndex, any_like
 from martwright.plans.marts import Marts
 from martwright.ranges import DateRange, cohort_window
 from martwright.settings import Settings
@@ -250,24 +251,37 @@ def _profile_columns(cfg: Settings) -> list[Column]:
     ]
 
 
+SEARCHED = ("user_id", "username")
+
+
+def index_users(core: CoreTables, folder: str, **settings) -> SearchIndex:
+    """A search index of all users in a new folder; to be built anew as users change."""
+    return SearchIndex.build(core.events("users"), "user_id", SEARCHED, folder, **settings)
+
+
 def users(
     core: CoreTables,
     rng: DateRange,
     cfg: Settings,
     search: str | None = None,
     limit: int | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Users by in-range revenue. First and last paid dates span all history.
 
     Orders collapse to one row per user first; profile columns never pass through the grouping.
     ``%`` and ``_`` in the search text act as wildcards, a backslash as itself. Of a search only
     the orders of the users found are grouped. All users are listed, or the first ``limit``.
+    With an ``index`` of the users (:func:`index_users`) a search reads no other users than its.
     """
     found = core.events("users")
     wanted = (search or "").strip()
     if wanted:
         pattern = "%" + wanted.replace("\\", "\\\\") + "%"
-        found = found.where(F.col("user_id").ilike(pattern) | F.col("username").ilike(pattern))
+        if index is not None:
+            found = index.find(pattern)
+        else:
+            found = found.where(any_like(SEARCHED, pattern))
     date = F.col("date")
     inside, paid = rng.holds(date), v.is_paid(cfg)
     has_id = F.col("order_id").isNotNull()

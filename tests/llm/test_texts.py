@@ -306,6 +306,26 @@ def test_parents_as_stated(spark, common, monkeypatch):
     assert got == plain_parents(held, common)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_common_passages_lose_no_candidate(spark, seed, monkeypatch):
+    monkeypatch.setattr(quote_links, "SPAN_BITS", 3)
+    rng = random.Random(seed)
+    held = {(rng.randrange(90), rng.choice([0, 0, 1, 1, 2, 3]), rng.choice("abcdefghij"))
+            for _ in range(400)}
+    df = spark.createDataFrame(sorted(held), "id long, level int, print string")
+    got = {r["id"]: r["parent"] for r in quote_links.parents(df, seed - 1, whole=True).collect()}
+    assert got == plain_parents(held, 1000)
+
+
+def test_two_common_passages_find_who_says_both(spark):
+    mail = [(i, "Yes.") for i in range(20)] + [(i, "Thanks.") for i in range(20, 40)]
+    mail += [(40, "Yes.\n\nThanks."), (41, "Yes."), (42, "Thanks."),
+             (43, "So be it.\n\n> Yes.\n>\n> Thanks."), (44, "Why?\n\n> Thanks.")]
+    got = quote_links.conversations(spark.createDataFrame(mail, "msg_id long, text string"))
+    got = {r["message_id"]: r["parent_id"] for r in got.collect() if r["parent_id"] is not None}
+    assert got == {43: 40, 44: 42}
+
+
 def test_a_very_long_message(spark):
     text = "\n\n".join(f"> part {i}" for i in range(3000)) + "\n" + "x" * 300_000
     mail = [(1, "\n\n".join(f"part {i}" for i in range(3000))), (2, text)]

@@ -520,6 +520,22 @@ def test_snapshot(spark, core, tmp_path, with_events):
         assert table(build(copied, SPAN, CFG)) == table(build(core, SPAN, CFG)), name
 
 
+def test_snapshot_tasks_hold_few_rows_of_a_heavy_day(spark, tmp_path, monkeypatch):
+    """Rows that take next to nothing when compressed; by bytes they all came to one task."""
+    monkeypatch.setattr(cs, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(cs, "FEW_ROWS", 100)
+    when = "CASE WHEN id < 4000 THEN NULL ELSE timestamp_ntz'2024-01-01 00:00:00' END"
+    made = spark.range(8000).selectExpr(
+        "'o' AS order_id", "'u' AS user_id", f"{when} AS timestamp", f"{when} AS created_at",
+        "CAST(1 AS INT) AS stars", "'paid' AS status")
+    target = str(tmp_path / "copy")
+    cs.snapshot_core(lambda n: made if n in cs.SCHEMAS else spark.range(1), target)
+    copy = spark.read.parquet(f"{target}/orders")
+    assert copy.where("timestamp IS NULL").count() == copy.where("timestamp IS NOT NULL").count() == 4000
+    each = [r["count"] for r in copy.groupBy(F.input_file_name()).count().collect()]
+    assert max(each) < 700 and len(each) >= 16
+
+
 def test_foreign_types_are_read_as_declared(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql.functions import input_file_name
 
+from martwright.operators import grams
 from martwright.operators.grams import SearchIndex, any_like, pieces_of
 
 COLUMNS = ("user_id", "username")
@@ -55,3 +57,15 @@ def test_only_parts_with_a_candidate_are_read(rows, index):
 def test_empty_table(rows, tmp_path):
     index = SearchIndex.build(rows.limit(0), "user_id", COLUMNS, str(tmp_path / "none"))
     assert index.find("%abc%").count() == index.find("%a%").count() == 0
+
+
+def test_rows_are_dealt_to_tasks_before_they_are_cut(rows, tmp_path, monkeypatch):
+    """One file of many rows is cut by many tasks; keys that repeat have one posting a piece."""
+    monkeypatch.setattr(grams, "TASK_CHARS", 10_000)
+    twice = rows.union(rows).coalesce(1)
+    index = SearchIndex.build(twice, "user_id", COLUMNS, str(tmp_path / "users"), rows_per_part=50)
+    postings = index._read("postings")
+    assert postings.count() == postings.distinct().count()
+    assert postings.select(input_file_name()).distinct().count() >= 8
+    want = sorted(map(str, twice.where(any_like(COLUMNS, "%aba%")).collect()))
+    assert sorted(map(str, index.find("%aba%").select(*rows.columns).collect())) == want

@@ -47,7 +47,9 @@ class DeltaStore:
         base = folder.current()
         if self._is_folded(base, batch):
             return
-        parts = folder.write(sums.withColumn(BATCH, F.lit(str(batch))).coalesce(8))
+        # Few files, and as many tasks as run at once.
+        files = max(8, self.spark.sparkContext.defaultParallelism)
+        parts = folder.write(sums.withColumn(BATCH, F.lit(str(batch))).coalesce(files))
         folder.publish(base, [str(batch)], parts)
 
     @staticmethod

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martwright.llm.rows import Words, slices, word_hashes
-from martwright.llm.tables import keep
+from martwright.llm.tables import discard, keep
 
 CLASSES, MIN_COUNT = 48, 2
 #: A pass over all words in so many rounds; passes end below these shares of words and nats a token.
@@ -45,20 +45,26 @@ SHAPES = 18
 #: Text numbered together, in bytes: its distinct words are looked up at once.
 CHUNK_BYTES = 24 << 20
 #: Tokens whose pairs are counted at once in a task, and tokens for each block of neighbours.
-PAIR_TOKENS, BLOCK_TOKENS = 4 << 20, 2 << 20
+PAIR_TOKENS, BLOCK_TOKENS = 1 << 20, 2 << 20
+#: Words whose numbers a task sorts by chunk at once.
+ANSWERS = 1 << 20
 #: Words numbered by one task.
 NUMBERED = 100_000
 #: Counts below this have their gains from a table.
 SMALL = 12
 #: The side of a neighbour: set before the word, clear after it.
-BEFORE = np.uint32(1 << 31)
+BEFORE = np.uint64(1 << 31)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ENDING = np.zeros(256, np.int64)
+_ENDING[list(b".!?")] = 2
+_ENDING[list(b",;:")] = 1
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double, perplexity double"
 )
-_DEALT = "chunk long, id long, held_out boolean, text string"
+_DEALT = "chunk long, train long, texts binary"
+_ANSWERS = "chunk long, h binary, unit binary, n binary"
 _NUMBERED = (
     "id long, held_out boolean, n_tokens long, n_known long, base double, fixed double, units binary"
 )
@@ -71,12 +77,10 @@ def _words(part: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     size = words.end - words.start
     last = words.data[words.end - 1] if len(words) else np.zeros(0, np.uint8)
     first = words.data[words.start] if len(words) else np.zeros(0, np.uint8)
-    stop = np.isin(last, np.frombuffer(b".!?", np.uint8))
-    pause = np.isin(last, np.frombuffer(b",;:", np.uint8))
     digit = (first >= 48) & (first <= 57)
     length = np.searchsorted([3, 6, 10, 16], size)
     kind = np.where(digit, 0, 1 + length)  # 0..5
-    return words, word_hashes(words), np.where(stop, 2, np.where(pause, 1, 0)) * 6 + kind
+    return words, word_hashes(words), _ENDING[last] * 6 + kind
 
 
 def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -88,18 +92,53 @@ def _numbers(column: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
 
+def _small(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+def _counts(data: pa.Buffer, size: int) -> np.ndarray:
+    """``size`` counts written by ``_small``."""
+    return np.frombuffer(data, f"u{max(1, data.size // max(1, size))}")
+
+
+def _packed(texts: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+    with pa.ipc.new_stream(sink, texts.schema, options=options) as out:
+        out.write_batch(texts)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(texts: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(
+        texts.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)
+    ).read_all()
+
+
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task in chunks of about CHUNK_BYTES."""
+    """The rows of a task in chunks of about CHUNK_BYTES, packed slice by slice."""
     first, seen = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = seen + np.cumsum(size)
-        chunk = first + (ends - size) // CHUNK_BYTES
-        seen = int(ends[-1]) if len(ends) else seen
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk), *(batch.column(c) for c in ("id", "held_out", "text"))],
-            ["chunk", "id", "held_out", "text"],
-        )
+        for start, part in slices(batch.column("text")):
+            some = batch.slice(start, len(part))
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array([first + seen // CHUNK_BYTES], pa.int64()),
+                "train": pa.array([pc.sum(pc.invert(some.column("held_out"))).as_py()], pa.int64()),
+                "texts": pa.array([_packed(some)], pa.binary()),
+            })
+            seen += int(size[start : start + len(part)].sum())
+
+
+def _kinds(h: np.ndarray, shape: np.ndarray, n: np.ndarray):
+    """The distinct hashes, rising, each with a shape that stands beside it and the sum of ``n``."""
+    if not len(h):
+        return h, shape, n
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], shape[order[first]], np.add.reduceat(n[order], first)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,31 +146,54 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, found = None, []
 
     def done():
-        h, shape, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        kinds, at, each = np.unique(h, return_index=True, return_inverse=True)
+        h, shape, n = _kinds(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return _batch({
-            "chunk": np.full(len(kinds), now), "h": kinds.view(np.int64),
-            "shape": shape[at].astype(np.int32), "n": np.bincount(each, n).astype(np.int64),
+            "chunk": np.full(len(h), now), "h": h.view(np.int64), "shape": shape.astype(np.int32), "n": n,
         })
 
     for batch in batches:
-        chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
-        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        for c in np.unique(chunk):
+        for c, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
             if c != now and found:
                 yield done()
                 found = []
-            now = c
+            now, rows = c, _unpacked(texts)
             for flag in (False, True):
-                texts = batch.column("text").filter(pa.array((chunk == c) & (held == flag)))
-                for _, part in slices(texts):
+                some = rows.filter(pc.equal(rows.column("held_out"), flag)).column("text")
+                for _, part in slices(some.combine_chunks()):
                     _, hashes, shapes = _words(part)
-                    kinds, at, n = np.unique(hashes, return_index=True, return_counts=True)
-                    found.append((kinds, shapes[at], n * (not flag)))
+                    found.append(_kinds(hashes, shapes, np.full(len(hashes), int(not flag))))
     if found:
         yield done()
 
 
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, their numbers and counts in rows of a chunk."""
+
+    def done():
+        chunk, h, unit, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        chunk = chunk[order]
+        cut = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
+        h, unit, n = (np.split(x[order], cut[1:]) for x in (h, unit.astype(np.uint32), n))
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array(chunk[cut]),
+            "h": pa.array([x.tobytes() for x in h], pa.binary()),
+            "unit": pa.array([x.tobytes() for x in unit], pa.binary()),
+            "n": pa.array([_small(x) for x in n], pa.binary()),
+        })
+
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            size += batch.num_rows
+        if size >= ANSWERS:
+            yield done()
+            waiting, size = [], 0
+    if waiting:
+        yield done()
+
+
 def _number(words: DataFrame, often: Column, tokens: int) -> tuple[DataFrame, int, int]:
     """(h, n, unit) of all training words, the number of heavy ones, and of all clustered ones.
 
@@ -190,18 +252,28 @@ def _number_chunk(shared):
     def fn(rows: pa.Table, answers: pa.Table) -> pa.Table:
         """Texts as word numbers, with all that the classes have no part in."""
         counts: Counts = shared.value
-        known, unit_of, n_of = (
-            answers.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "unit", "n")
-        )
-        known, at = np.unique(known.view(np.uint64), return_index=True)
-        unit_of, n_of = unit_of[at], n_of[at].astype(float)
-        done = [
-            _numbered(counts, part, known, unit_of, n_of)
-            for _, part in slices(rows.column("text").combine_chunks())
-        ]
+        h, unit, n = (answers.column(c).combine_chunks() for c in ("h", "unit", "n"))
+        known = np.concatenate([np.zeros(0, np.uint64), *_numbers(h, np.uint64)])
+        unit_of = np.concatenate([np.zeros(0, np.uint32), *_numbers(unit, np.uint32)])
+        n_of = np.concatenate([
+            np.zeros(0), *(_counts(x.as_buffer(), y.as_buffer().size // 4) for x, y in zip(n, unit, strict=True))
+        ])
+        # A chunk's words are distinct.
+        order = np.argsort(known)
+        known, unit_of, n_of = known[order], unit_of[order], n_of[order]
+        ids, held, done = [], [], []
+        for texts in rows.column("texts").combine_chunks():
+            some = _unpacked(texts)
+            ids.append(some.column("id"))
+            held.append(some.column("held_out"))
+            done += [
+                _numbered(counts, part, known, unit_of, n_of)
+                for _, part in slices(some.column("text").combine_chunks())
+            ]
         n, hits, base, fixed, units = zip(*done, strict=True)
         return pa.table({
-            "id": rows.column("id"), "held_out": rows.column("held_out"),
+            "id": pa.chunked_array([x for c in ids for x in c.chunks], pa.int64()),
+            "held_out": pa.chunked_array([x for c in held for x in c.chunks], pa.bool_()),
             "n_tokens": np.concatenate(n), "n_known": np.concatenate(hits),
             "base": np.concatenate(base), "fixed": np.concatenate(fixed),
             "units": pa.chunked_array(units, pa.binary()),
@@ -214,7 +286,8 @@ def _numbered(counts: Counts, part: pa.Array, known, unit_of, n_of):
     words, hashes, shapes = _words(part)
     count, unit = np.zeros(len(hashes)), counts.heavy + shapes
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        at, order = np.empty(len(hashes), np.int64), np.argsort(hashes)
+        at[order] = np.minimum(np.searchsorted(known, hashes[order]), len(known) - 1)
         hit = known[at] == hashes
         count[hit], unit[hit] = n_of[at[hit]], unit_of[at[hit]]
     rare = (unit >= counts.heavy) & (unit < counts.end)
@@ -252,40 +325,48 @@ def _streams(batch: pa.RecordBatch, end: int, ahead: int):
 
 
 def _pairs(counts: Counts, blocks: int):
-    """Neighbours for each block: a row holds the words, their neighbours with the side, the counts.
+    """Neighbours for each block: a row holds the words (each less the one before it), their neighbours
+    with the side, and the counts, all compressed.
 
     A pair stands with its light words; one of heavy words, shapes and ends alone has a block by
     both, and is written after the first of them only.
     """
-    first, width = counts.end + 1, counts.units
+    first = counts.end + 1
 
     def entries(key, n):
-        u, v = key // width, key % width
+        u, v = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         light_u, light_v = u >= first, v >= first
         alone = ~light_u & ~light_v
-        block = np.concatenate([np.where(alone, u * 31 + v, u)[light_u | alone], v[light_v]]) % blocks
-        unit = np.concatenate([u[light_u | alone], v[light_v]]).astype(np.uint32)
-        other = np.concatenate([v[light_u | alone], u[light_v]]).astype(np.uint32)
-        other[int((light_u | alone).sum()) :] |= BEFORE
-        n = np.concatenate([n[light_u | alone], n[light_v]])
-        order = np.argsort(block, kind="stable")
-        block = block[order]
+        after = light_u | alone
+        block = np.concatenate([np.where(alone, u * 31 + v, u)[after], v[light_v]]) % blocks
+        both = np.concatenate([
+            key[after], key[light_v] << np.uint64(32) | key[light_v] >> np.uint64(32) | BEFORE,
+        ])
+        # By block, in it by word and neighbour: such rows are small when compressed.
+        order = np.argsort(both)
+        order = order[np.argsort(block[order].astype(np.min_scalar_type(blocks)), kind="stable")]
+        block, both = block[order], both[order]
+        n = np.concatenate([n[after], n[light_v]])[order]
         cut = np.flatnonzero(np.diff(block, prepend=-1))
-        columns = [np.split(x[order], cut[1:]) for x in (unit, other, n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block[cut]), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in columns)],
-            ["block", "unit", "other", "n"],
-        )
+        rows = [np.split(x, cut[1:]) for x in (both, n)]
+        step = [np.diff(x >> np.uint64(32), prepend=np.uint64(0)) for x in rows[0]]
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array(block[cut]), "size": pa.array([len(x) for x in step], pa.int64()),
+            **{k: pa.array([pa.compress(x.astype(np.uint32).tobytes(), "zstd", asbytes=True) for x in of],
+                           pa.binary())
+               for k, of in (("step", step), ("other", rows[0]), ("n", rows[1]))},
+        })
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
             for _, _, stream in _streams(batch, counts.end, 1):
-                waiting.append(stream[:-1] * width + stream[1:])
-                size += len(stream)
-                if size >= PAIR_TOKENS:
+                if waiting and size + len(stream) > PAIR_TOKENS:
                     yield entries(*np.unique(np.concatenate(waiting), return_counts=True))
                     waiting, size = [], 0
+                stream = stream.view(np.uint64)
+                waiting.append(stream[:-1] << np.uint64(32) | stream[1:])
+                size += len(stream)
         if waiting:
             yield entries(*np.unique(np.concatenate(waiting), return_counts=True))
 
@@ -294,43 +375,59 @@ def _pairs(counts: Counts, blocks: int):
 
 def _merge(rows: pa.Table) -> pa.Table:
     """One row for a block, sorted by word and neighbour."""
-    unit, other, n = (
-        np.concatenate(_numbers(rows.column(c).combine_chunks(), kind))
-        for c, kind in (("unit", np.uint32), ("other", np.uint32), ("n", np.int64))
+    step, other, n = (
+        [
+            np.frombuffer(pa.decompress(x.as_buffer(), 4 * size, "zstd"), np.uint32)
+            for x, size in zip(rows.column(c).combine_chunks(), rows.column("size").to_pylist(), strict=True)
+        ]
+        for c in ("step", "other", "n")
     )
-    key = unit.astype(np.uint64) << np.uint64(32) | other
-    order = np.argsort(key, kind="stable")
+    key = np.concatenate([
+        np.cumsum(x, dtype=np.uint64) << np.uint64(32) | y for x, y in zip(step, other, strict=True)
+    ])
+    n = np.concatenate(n)
+    order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
-    n = np.add.reduceat(n[order], at)
-    unit, other = (key[at] >> np.uint64(32)).astype(np.uint32), key[at].astype(np.uint32)
+    n = np.add.reduceat(n[order], at, dtype=np.int64)
+    key = key[at]
+    unit, other = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)
     start = np.flatnonzero(np.diff(unit.astype(np.int64), prepend=-1))
     ends = np.append(start[1:], len(unit)).astype(np.int64)
     return pa.table({
         "block": rows.column("block").slice(0, 1),
-        **{k: pa.array([x.tobytes()], pa.binary())
-           for k, x in (("unit", unit[start]), ("ends", ends), ("other", other), ("n", n))},
+        **{k: pa.array([x], pa.binary())
+           for k, x in (("unit", unit[start].tobytes()), ("ends", ends.tobytes()),
+                        ("other", other.tobytes()), ("n", _small(n)))},
     })
 
 
 def _opened(batch: pa.RecordBatch):
     """(words, ends of their entries, neighbours, whether those stand before, counts) of each block."""
     for row in range(batch.num_rows):
-        unit, ends, other, n = (
+        unit, ends, other = (
             np.frombuffer(batch.column(c)[row].as_buffer(), kind)
-            for c, kind in (("unit", np.uint32), ("ends", np.int64), ("other", np.uint32), ("n", np.int64))
+            for c, kind in (("unit", np.uint32), ("ends", np.int64), ("other", np.uint32))
         )
-        yield unit.astype(np.int64), ends, (other & ~BEFORE).astype(np.int64), other >= BEFORE, n
+        n = _counts(batch.column("n")[row].as_buffer(), len(other))
+        side = other >= np.uint32(BEFORE)
+        yield unit.astype(np.int64), ends, other & np.uint32(BEFORE - np.uint64(1)), side, n
 
 
 def _f(x):
     return x * np.log(np.maximum(x, 1))
 
 
-def _gains(cells: np.ndarray) -> np.ndarray:
-    """What counts below SMALL add to the likelihood in each cell."""
-    steps = _f(np.maximum(cells, 0) + np.arange(SMALL)[:, None, None])
-    return steps - steps[0]
+def _gains(cells: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What small counts add to the likelihood, one row for each distinct pair, and each pair's row.
+
+    ``pairs``: counts below SMALL times the number of rows of ``cells``, plus the row.
+    """
+    used = np.bincount(pairs, minlength=SMALL * len(cells)) > 0
+    of = np.cumsum(used) - 1
+    n, row = np.divmod(np.flatnonzero(used), len(cells))
+    rest = np.maximum(cells[row], 0)
+    return _f(rest + n[:, None]) - _f(rest), of[pairs]
 
 
 def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.ndarray:
@@ -341,23 +438,24 @@ def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.nd
     words = np.arange(len(own))
     gain = np.zeros((len(own), movable))
     for counts, others, cells in ((after, before, matrix.T), (before, after, matrix)):
-        w, j = np.nonzero(counts)
-        n, mine = counts[w, j], own[w]
+        at = np.flatnonzero(counts.ravel() > 0)
+        n, (w, j) = counts.ravel()[at], np.divmod(at, counts.shape[1])
+        mine = own[w]
         cells = np.ascontiguousarray(cells[:, :movable])
         exact = (n >= SMALL) | (j == mine)
-        # Small counts: the sum of table rows, as a product of matrices.
-        table = _gains(cells)
+        # Small counts: the sum of table rows.
         at = np.flatnonzero(~exact)
-        k, row, col = n[at].astype(np.int64), w[at], j[at]
-        picked = np.zeros((len(own), SMALL * len(cells)))
-        picked[row, k * len(cells) + col] = 1
-        gain += picked @ table.reshape(-1, movable)
-        # In its own class the word itself does not count; a class beside itself comes later.
-        rest = cells[col, mine[at]]
-        less = _f(np.maximum(rest - k, 0) + k) - _f(np.maximum(rest - k, 0))
-        gain[words, own] += np.bincount(row, less - table[k, col, mine[at]], len(own))
-        inner = np.flatnonzero(col < movable)
-        gain[row[inner], col[inner]] -= table[k[inner], col[inner], col[inner]]
+        if len(at):
+            k, row, col = n[at].astype(np.int64), w[at], j[at]
+            table, of = _gains(cells, k * len(cells) + col)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            gain[row[starts]] += np.add.reduceat(table[of], starts, axis=0)
+            # In its own class the word itself does not count; a class beside itself comes later.
+            rest = cells[col, mine[at]]
+            less = _f(np.maximum(rest - k, 0) + k) - _f(np.maximum(rest - k, 0))
+            gain[words, own] += np.bincount(row, less - table[of, mine[at]], len(own))
+            inner = np.flatnonzero(col < movable)
+            gain[row[inner], col[inner]] -= table[of[inner], col[inner]]
         # Large counts, and neighbours in the word's own class.
         w, j, n, mine = w[exact], j[exact], n[exact], mine[exact]
         if not len(w):
@@ -374,16 +472,20 @@ def _best(own, after, before, self_n, matrix: np.ndarray, movable: int) -> np.nd
         more[inner, j[inner]] = 0
         first = np.flatnonzero(np.diff(w, prepend=-1))
         gain[w[first]] += np.add.reduceat(more, first, axis=0)
-    rest = np.tile(np.diag(matrix)[:movable], (len(own), 1))
-    rest[words, own] -= after[words, own] + before[words, own] + self_n
-    rest = np.maximum(rest, 0)
-    gain += _f(rest + after[:, :movable] + before[:, :movable] + self_n[:, None]) - _f(rest)
+    around = after[:, :movable] + before[:, :movable] + self_n[:, None]
+    at = np.flatnonzero(around.ravel() > 0)
+    more, (w, j) = around.ravel()[at], np.divmod(at, movable)
+    rest = np.maximum(np.diag(matrix)[j] - np.where(j == own[w], more, 0), 0)
+    gain[w, j] += _f(rest + more) - _f(rest)
     for counts, axis in ((after, 1), (before, 0)):
         total = counts.sum(axis=1) + self_n
-        rest = np.tile(matrix.sum(axis=axis)[:movable], (len(own), 1))
-        rest[words, own] -= total
-        rest = np.maximum(rest, 0)
-        gain -= _f(rest + total[:, None]) - _f(rest)
+        kinds, of = np.unique(total, return_inverse=True)
+        sums = matrix.sum(axis=axis)[:movable]
+        rest = np.maximum(sums, 0)
+        less = (_f(rest + kinds[:, None]) - _f(rest))[of]
+        rest = np.maximum(sums[own] - total, 0)
+        less[words, own] = _f(rest + total) - _f(rest)
+        gain -= less
     to = gain.argmax(axis=1)
     return np.where(gain[words, to] > gain[words, own] + 1e-6, to, own)
 
@@ -423,10 +525,12 @@ def _best_classes(shared, movable: int, first: int, turns: int, turn: int, block
             own = class_of[some].astype(np.int64)
             to = _best(own, after, before, self_n, matrix, movable)
             moved = np.flatnonzero(to != own)
-            for sign, of in ((-times, own[moved]), (times, to[moved])):
-                np.add.at(matrix, of, sign * after[moved])
-                np.add.at(matrix.T, of, sign * before[moved])
-                np.add.at(matrix, (of, of), sign * self_n[moved])
+            # Class x moved word: where a word's counts leave, and where they come to.
+            onto = np.zeros((size, len(moved)))
+            onto[own[moved], np.arange(len(moved))] = -times
+            onto[to[moved], np.arange(len(moved))] = times
+            matrix += onto @ after[moved] + (onto @ before[moved]).T
+            matrix[np.arange(size), np.arange(size)] += onto @ self_n[moved]
             np.maximum(matrix, 0, out=matrix)
             units.append(some[moved])
             goals.append(to[moved])
@@ -439,65 +543,135 @@ def _best_classes(shared, movable: int, first: int, turns: int, turn: int, block
     return fn
 
 
-def _count_classes(shared, m: int, counts: Counts):
-    """Cells of the class matrix, then of the heavy words' neighbours, then their own pairs."""
+def _pieces(batches: Iterator[pa.RecordBatch]):
+    """(word, neighbour, whether that stands before, count) of the entries of blocks, PAIR_TOKENS at once."""
+    for batch in batches:
+        for unit, ends, other, side, n in _opened(batch):
+            unit = np.repeat(unit, np.diff(ends, prepend=0))
+            for start in range(0, len(unit), PAIR_TOKENS):
+                some = slice(start, start + PAIR_TOKENS)
+                yield unit[some], other[some].astype(np.int64), side[some], n[some]
+
+
+def _cells(class_of, m: int, heavy: int, unit, other, side, n, own) -> np.ndarray:
+    """Cells of the class matrix, then of the heavy words' neighbours, then their own pairs.
+
+    ``own``: the entries that stand for their pairs in the class matrix.
+    """
+    found = np.zeros(m * m + heavy * (2 * m + 1))
+    mine, theirs = class_of[unit].astype(np.int64), class_of[other].astype(np.int64)
+
+    def add(at, cell):
+        found[:] += np.bincount(cell, n[at], len(found))
+
+    at = np.flatnonzero(own)
+    add(at, np.where(side[at], theirs[at] * m + mine[at], mine[at] * m + theirs[at]))
+    # Heavy words: their neighbours after them, then before.
+    at = np.flatnonzero(side & (other < heavy))
+    add(at, m * m + other[at] * m + mine[at])
+    at = np.flatnonzero((unit < heavy) & (unit != other))
+    add(at, m * m + unit[at] * m + theirs[at])
+    at = np.flatnonzero(~side & (other < heavy) & (unit != other))
+    add(at, m * m + (heavy + other[at]) * m + mine[at])
+    at = np.flatnonzero((unit < heavy) & (unit == other))
+    add(at, m * m + 2 * heavy * m + unit[at])
+    return found
+
+
+def _count_classes(shared, m: int, counts: Counts, pairs: bool = False):
+    """The cells of all blocks; with ``pairs`` also, after them, the pairs of heavy words."""
     first, heavy = counts.end + 1, counts.heavy
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = shared.value
         found = np.zeros(m * m + heavy * (2 * m + 1))
+        both = np.zeros(heavy * heavy if pairs else 0)
+        for unit, other, side, n in _pieces(batches):
+            found += _cells(shared.value, m, heavy, unit, other, side, n, ~side | (other < first))
+            if pairs:
+                at = np.flatnonzero((unit < heavy) & (other < heavy))
+                both += np.bincount(unit[at] * heavy + other[at], n[at], len(both))
+        found = np.concatenate([found, both])
+        at = np.flatnonzero(found)
+        yield _batch({"cell": at, "n": found[at]})
 
-        def add(cell, n):
-            found[:] += np.bincount(cell, n, len(found))
+    return fn
 
-        for batch in batches:
-            for unit, ends, other, side, n in _opened(batch):
-                unit = np.repeat(unit, np.diff(ends, prepend=0))
-                mine, theirs = class_of[unit].astype(np.int64), class_of[other].astype(np.int64)
-                at = np.flatnonzero(~side)
-                add(mine[at] * m + theirs[at], n[at])
-                at = np.flatnonzero(side & (other < first))
-                add(theirs[at] * m + mine[at], n[at])
-                # Heavy words: their neighbours after them, then before.
-                at = np.flatnonzero(side & (other < heavy))
-                add(m * m + other[at] * m + mine[at], n[at])
-                at = np.flatnonzero((unit < heavy) & (unit != other))
-                add(m * m + unit[at] * m + theirs[at], n[at])
-                at = np.flatnonzero(~side & (other < heavy) & (unit != other))
-                add(m * m + (heavy + other[at]) * m + mine[at], n[at])
-                at = np.flatnonzero((unit < heavy) & (unit == other))
-                add(m * m + 2 * heavy * m + unit[at], n[at])
+
+def _count_changes(shared, moved, m: int, counts: Counts, blocks: int, turns: int, turn: int):
+    """What the moves of a round's light words, all of them in its blocks, add to the cells."""
+    first, heavy = counts.end + 1, counts.heavy
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(m * m + heavy * (2 * m + 1))
+        was = shared.value[0]
+        units, goals = moved.value
+        now = was.copy()
+        now[units] = goals
+        changed = now != was
+        for unit, other, side, n in _pieces(batches):
+            at = np.flatnonzero(changed[unit] | changed[other])
+            unit, other, side, n = unit[at], other[at], side[at], n[at]
+            # A pair of two words of this round's blocks stands after the first of them too.
+            own = ~side | (other < first) | (other % blocks % turns != turn)
+            for class_of, sign in ((now, 1), (was, -1)):
+                found += sign * _cells(class_of, m, heavy, unit, other, side, n, own)
         at = np.flatnonzero(found)
         yield _batch({"cell": at, "n": found[at]})
 
     return fn
 
 
+def _move_heavy(out: np.ndarray, pairs: np.ndarray, m: int, word: int, own: int, to: int) -> None:
+    """The cells once one heavy word has moved. ``pairs``: counts of heavy words in a row."""
+    heavy = len(pairs)
+    matrix = out[: m * m].reshape(m, m)
+    around = out[m * m : m * m + 2 * heavy * m].reshape(2, heavy, m)
+    itself = out[m * m + 2 * heavy * m + word]
+    for c, sign in ((own, -1), (to, 1)):
+        matrix[c] += sign * around[0, word]
+        matrix[:, c] += sign * around[1, word]
+        matrix[c, c] += sign * itself
+    others = np.arange(heavy) != word
+    for c, sign in ((own, -1), (to, 1)):
+        around[0, others, c] += sign * pairs[others, word]
+        around[1, others, c] += sign * pairs[word, others]
+
+
 def _likelihood(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(axis=1)).sum() - _f(matrix.sum(axis=0)).sum())
 
 
 def exchange(near: DataFrame, class_of: np.ndarray, counts: Counts, classes: int, blocks: int) -> np.ndarray:
-    """The classes when few words move. ``near``: the blocks of neighbours.
+    """The classes when few words move. ``near``: the blocks of neighbours, by ``slot``, which is the
+    block's number modulo TURNS.
 
-    The driver gets class counts, the class counts around heavy words, and moves; a move is five
-    bytes, and the broadcast classes one byte a word.
+    Class counts are taken from all blocks once; then a round adds what its moves change, from its
+    own blocks. The driver gets class counts, the class counts around heavy words, and moves; a move
+    is five bytes, and the broadcast classes one byte a word.
     """
     m, movable = classes, classes - SHAPES - 1
     sc = near.sparkSession.sparkContext
-    heavy = np.arange(counts.heavy)
+    heavy, size = np.arange(counts.heavy), m * m + counts.heavy * (2 * m + 1)
+
+    def summed(cells: DataFrame, size: int) -> np.ndarray:
+        got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size)
+        out[got["cell"].to_numpy()] = got["n"].to_numpy()
+        return out
+
     class_of = class_of.copy()
     best, reached, moves, turn, turns = class_of.copy(), -np.inf, counts.clustered, 0, TURNS
     undone = False
-    while counts.clustered:
+    if counts.clustered:
         shared = sc.broadcast(class_of)
-        got = (
-            near.mapInArrow(_count_classes(shared, m, counts), "cell long, n double")
-            .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = summed(
+            near.mapInArrow(_count_classes(shared, m, counts, pairs=True), "cell long, n double"),
+            size + counts.heavy**2,
         )
         shared.destroy()
-        out = np.zeros(m * m + counts.heavy * (2 * m + 1))
-        out[got["cell"].to_numpy()] = got["n"].to_numpy()
+        out, pairs = out[:size], out[size:].reshape(counts.heavy, counts.heavy)
+        best_out = out.copy()
+    while counts.clustered:
         matrix = out[: m * m].reshape(m, m)
         if turn == 0:
             now = _likelihood(matrix)
@@ -505,35 +679,46 @@ def exchange(near: DataFrame, class_of: np.ndarray, counts: Counts, classes: int
             if undone:
                 gained, few, undone = np.inf, False, False
             if gained > 0:
-                best, reached = class_of.copy(), now
+                best, best_out, reached = class_of.copy(), out.copy(), now
             if few or 0 <= gained < LITTLE_GAIN * counts.tokens or turns > MOST_TURNS:
                 break
             moves = 0
             if gained < 0:
                 # Too many words moved together: the pass is undone, and fewer do.
-                class_of, turns, undone = best.copy(), TURNS * turns, True
+                class_of, out, turns, undone = best.copy(), best_out.copy(), TURNS * turns, True
                 continue
         shared = sc.broadcast((class_of, matrix))
-        moved = (
-            near.where(F.col("block") % turns == turn)
-            .mapInArrow(
-                _best_classes(shared, movable, counts.end + 1, turns, turn, blocks),
-                "unit binary, to binary",
-            ).toArrow()
-        )
-        shared.destroy()
+        # Blocks of a round are in one folder, as every number of turns is TURNS times some.
+        some = near.where((F.col("slot") == turn % TURNS) & (F.col("block") % turns == turn))
+        got = some.mapInArrow(
+            _best_classes(shared, movable, counts.end + 1, turns, turn, blocks),
+            "unit binary, to binary",
+        ).toArrow()
+        none = np.zeros(0, np.uint32)
+        units = np.concatenate([none, *_numbers(got["unit"], np.uint32)])
+        goals = np.concatenate([none.astype(class_of.dtype), *_numbers(got["to"], class_of.dtype)])
         # A third of the heavy words moves in each round.
         mine = heavy[heavy % turns == turn]
         own = class_of[mine].astype(np.int64)
         around = out[m * m : m * m + 2 * counts.heavy * m].reshape(2, counts.heavy, m)
         to = _best(own, around[0, mine], around[1, mine], out[m * m + 2 * counts.heavy * m :][mine],
                    matrix, movable)
-        for unit, goal in zip(moved["unit"], moved["to"], strict=True):
-            unit = np.frombuffer(unit.as_buffer(), np.uint32)
-            class_of[unit] = np.frombuffer(goal.as_buffer(), class_of.dtype)
-            moves += len(unit)
+        if len(units):
+            moved = sc.broadcast((units, goals))
+            out = out + summed(
+                some.mapInArrow(
+                    _count_changes(shared, moved, m, counts, blocks, turns, turn),
+                    "cell long, n double",
+                ), size,
+            )
+            moved.destroy()
+            class_of[units] = goals
+        shared.destroy()
+        for word, a, b in zip(mine, own, to, strict=True):
+            if a != b:
+                _move_heavy(out, pairs, m, word, a, b)
         class_of[mine] = to
-        moves += int((to != own).sum())
+        moves += len(units) + int((to != own).sum())
         turn = (turn + 1) % turns
     return best
 
@@ -600,7 +785,7 @@ def learn(
     )
     dealt = keep(rows.mapInArrow(_deal, _DEALT), "dealt")
     local = keep(
-        dealt.select("chunk", "held_out", "text")
+        dealt.select("chunk", "texts")
         .mapInArrow(_count_words, "chunk long, h long, shape int, n long"),
         "chunk_words",
     )
@@ -608,7 +793,7 @@ def learn(
         local.where("n > 0").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")),
         "words",
     )
-    texts = dealt.where("not held_out").count()
+    texts = int(dealt.agg(F.sum("train")).first()[0] or 0)
     total = words.agg(F.sum("n"), F.count("*")).first()
     tokens = int(total[0] or 0) + texts
     often = F.col("n") >= max(min_share * tokens, min_count)
@@ -626,12 +811,16 @@ def learn(
     counts = Counts(heavy, clustered, shape_total, discount, log_unknown, tokens,
                     int(total[1]) + (texts > 0), texts)
 
-    answers = local.select("chunk", "h").join(numbered, "h")
+    answers = (
+        local.select("chunk", "h").join(numbered, "h").select("chunk", "h", "unit", "n")
+        .mapInArrow(_by_chunk, _ANSWERS)
+    )
     coded = keep(
         dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
         .applyInArrow(_number_chunk(sc.broadcast(counts)), _NUMBERED),
-        "numbered_texts",
+        "numbered_texts", codec="zstd",
     )
+    discard(dealt, local, words)
     train = coded.where("not held_out").select("units")
     movable = max(1, min(classes, clustered))
     m = movable + SHAPES + 1
@@ -642,11 +831,12 @@ def learn(
         class_of[r["unit"]] = rank
     class_of[heavy : counts.end + 1] = movable + np.arange(SHAPES + 1)
     blocks = MOST_TURNS * (1 + tokens // (MOST_TURNS * BLOCK_TOKENS))
-    kind = "block long, unit binary, other binary, n binary"
+    kind = "block long, size long, step binary, other binary, n binary"
     near = keep(
         train.mapInArrow(_pairs(counts, blocks), kind).groupBy("block")
-        .applyInArrow(_merge, "block long, unit binary, ends binary, other binary, n binary"),
-        "neighbours",
+        .applyInArrow(_merge, "block long, unit binary, ends binary, other binary, n binary")
+        .withColumn("slot", (F.col("block") % TURNS).cast("int")),
+        "neighbours", "slot", codec="zstd",
     )
     class_of = exchange(near, class_of, counts, m, blocks)
     grams = train.mapInArrow(_count_grams(sc.broadcast(class_of), counts.end, m), "key long, n long")

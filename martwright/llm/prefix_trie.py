@@ -5,14 +5,18 @@ A node stands for a distinct sequence of first turns. Its identity is a sum, ove
 conversation of any length is spread over tasks, and are kept exact. Nodes are then the groups of
 equal sums, found by partial aggregation.
 
-Subtree totals come from contracting the tree in rounds. A round rakes all leaves into their
-parents and then compresses chains: a node with one child is spliced out, its total so far added
-to its parent and its child handed over, if its coin shows heads and its child's tails; so no two
-neighbours go at once and a quarter of the chain nodes goes. Every step is a grouping by parent
-with partial sums or a join of unique ids, so that a node with very many children burdens no task.
-A tree of n nodes of any shape, a single long chain included, takes a logarithmic number of rounds.
-Spliced nodes are re-expanded by doubling: the total of each is what it had gathered plus the total
-of the child it handed over.
+Subtree totals come from contracting the tree in rounds. In a round leaves are raked into their
+parents, and a node with one child is spliced out, its total so far added to its parent and its
+child handed over, if a hash of it and the round is below those of both neighbours; so no two
+neighbours go at once and about a third of the chain nodes goes. A leaf whose parent has the lower
+hash waits, as the parent may go. All that nodes have to tell one another in a round are messages,
+grouped by receiver with partial sums, so that a round is a single shuffle and a node with very
+many children burdens no task. A tree of n nodes of any shape, a single long chain included, takes
+a logarithmic number of rounds. Spliced nodes are re-expanded by doubling: the total of each is
+what it had gathered plus the total of the child it handed over.
+
+What Spark's driver holds for its plans and stages counts too: a round is a short piece of a plan
+without branches, and once few nodes are left, several rounds are one job.
 
 Rows without a conversation id belong to none and are left out. A null role or text is empty. Turns
 of a conversation go by number, null first; rows that share a number go by the first 200 characters
@@ -34,6 +38,11 @@ from martwright.llm.tables import keep, lookup
 #: Ids of one node that are joined to a piece of text before the pieces are hashed in order.
 PIECE = 512
 
+#: So many live nodes or fewer go through ``ROUNDS`` rounds in one job; what is done by then is
+#: carried through the rest of them.
+FEW = 1 << 17
+ROUNDS = 6
+
 _EXACT = "decimal(38,0)"
 
 
@@ -146,69 +155,72 @@ def prefixes(steps: DataFrame) -> DataFrame:
 _DONE = "id binary, state string, parent binary, child binary, rest long, a long, b long"
 
 
-def _heads(node: str | Column, number: int) -> Column:
-    return F.xxhash64(node, F.lit(number)).bitwiseAND(F.lit(1)) == 1
-
+def _round(rows: DataFrame, number: int) -> DataFrame:
+    """Rake and compress once, by one shuffle; rows that are not live stay as they are.
 
-def _round(live: DataFrame, number: int) -> DataFrame:
-    """Rake and compress once; ``live`` has the columns of ``_DONE``, ``rest`` counts children."""
-    leaf = F.col("rest") == 0
-    up = live.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(
-        F.sum(F.when(leaf, F.col("a")).otherwise(0)).alias("more_a"),
-        F.sum(F.when(leaf, F.col("b")).otherwise(0)).alias("more_b"),
-        F.count_if(~leaf).alias("left"),
-        F.max(F.when(~leaf, F.col("id"))).alias("heir"),
-    )
-    grown = live.where(~leaf).join(up, "id").select(
-        "id", "parent", F.when(F.col("left") == 1, F.col("heir")).alias("child"),
-        F.col("left").alias("rest"), (F.col("a") + F.col("more_a")).alias("a"),
-        (F.col("b") + F.col("more_b")).alias("b"),
+    ``rows`` has the columns of ``_DONE``. Of a live node ``rest`` counts the children, ``child``
+    is the only one (unknown in the first round); of a spliced node it is the one handed over.
+    """
+    # Text, as Spark would write a number into the code it compiles, anew for every round.
+    rank = lambda node: F.xxhash64(node, F.lit(str(number)))
+    live, below = F.col("state") == "live", F.col("parent").isNotNull()
+    waits = below & (rank("parent") < rank("id")) if number > 1 else F.lit(False)
+    goes = live & below & F.col("child").isNotNull() & ~waits & (rank("id") < rank("child"))
+    marked = rows.withColumn("rakes", live & (F.col("rest") == 0) & ~waits).withColumn("goes", goes)
+    rakes, goes = F.col("rakes"), F.col("goes")
+    none, nothing = F.lit(None).cast("binary"), F.lit(0).cast("long")
+
+    def message(id, state=F.lit(None).cast("string"), parent=none, moved=none, child=none,
+                heir=none, rest=nothing, a=nothing, b=nothing):
+        parts = {"id": id, "state": state, "parent": parent, "moved": moved, "child": child,
+                 "heir": heir, "rest": rest, "a": a, "b": b}
+        return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+    itself = message(
+        F.col("id"), F.when(rakes, "raked").when(goes, "spliced").otherwise(F.col("state")),
+        F.col("parent"), child=F.when(goes | ~live, F.col("child")), a=F.col("a"), b=F.col("b"),
     )
-    goes = F.coalesce(
-        F.col("parent").isNotNull() & F.col("child").isNotNull()
-        & _heads("id", number) & ~_heads("child", number),
-        F.lit(False),
+    given = rakes | goes
+    up = message(
+        F.col("parent"), rest=F.when(rakes, 0).otherwise(1).cast("long"),
+        heir=F.when(goes, F.col("child")).when(~rakes, F.col("id")),
+        a=F.when(given, F.col("a")).otherwise(nothing),
+        b=F.when(given, F.col("b")).otherwise(nothing),
     )
-    marked = grown.withColumn("goes", goes)
-    spliced = marked.where("goes")
-    nothing = F.lit(0).cast("long")
-    notes = (
-        spliced.select(F.col("parent").alias("id"), F.lit(None).cast("binary").alias("moved"),
-                       F.col("a").alias("more_a"), F.col("b").alias("more_b"))
-        .union(spliced.select("child", "parent", nothing, nothing))
-        .groupBy("id").agg(F.max("moved").alias("moved"), F.sum("more_a").alias("more_a"),
-                           F.sum("more_b").alias("more_b"))
+    down = message(F.col("child"), moved=F.col("parent"))
+    sent = F.when(goes, F.array(itself, up, down)).when(live & below, F.array(itself, up))
+    told = marked.select(F.inline(sent.otherwise(F.array(itself)))).groupBy("id").agg(
+        *[F.max(c).alias(c) for c in ("state", "parent", "moved", "child", "heir")],
+        *[F.sum(c).alias(c) for c in ("rest", "a", "b")],
     )
-    stays = marked.where("NOT goes").join(notes, "id", "left").select(
-        "id", F.lit("live").alias("state"), F.coalesce("moved", "parent").alias("parent"),
-        F.lit(None).cast("binary").alias("child"), "rest",
-        (F.col("a") + F.coalesce("more_a", nothing)).alias("a"),
-        (F.col("b") + F.coalesce("more_b", nothing)).alias("b"),
+    only = (F.col("state") == "live") & (F.col("rest") == 1)
+    return told.select(
+        "id", "state", F.coalesce("moved", "parent").alias("parent"),
+        F.when(only, F.col("heir")).otherwise(F.col("child")).alias("child"), "rest", "a", "b",
     )
-    raked = live.where(leaf).withColumn("state", F.lit("raked"))
-    cut = spliced.withColumn("state", F.lit("spliced"))
-    return stays.unionByName(raked.select(*stays.columns)).unionByName(cut.select(*stays.columns))
 
 
 def subtree_sums(nodes: DataFrame) -> DataFrame:
     """(id, a, b): sums of ``a`` and ``b`` over the subtree of each node, its own included.
 
     ``nodes``: (id, parent, n_children, a, b); a root has a null parent. Several trees may stand in
-    the table. The driver sees one number a round.
+    the table. The driver sees one number a job.
     """
     spark = nodes.sparkSession
     live = nodes.select(
         "id", F.lit("live").alias("state"), "parent", F.lit(None).cast("binary").alias("child"),
         F.col("n_children").alias("rest"), "a", "b",
     )
-    raked = spliced = spark.createDataFrame([], _DONE)
+    done = spark.createDataFrame([], _DONE)
     number = 0
-    while not live.isEmpty():
-        number += 1
-        step = keep(_round(live, number), "contracted")
-        raked = raked.unionByName(step.where("state = 'raked'"))
-        spliced = spliced.unionByName(step.where("state = 'spliced'"))
+    while left := live.count():
+        for _ in range(ROUNDS if left <= FEW else 1):
+            number += 1
+            live = _round(live, number)
+        step = keep(live, "contracted")
+        done = done.unionByName(step.where("state <> 'live'"))
         live = step.where("state = 'live'")
+    raked, spliced = done.where("state = 'raked'"), done.where("state = 'spliced'")
     # A spliced node's child was contracted in a later round, so no chain has more links than
     # there were rounds.
     chain = spliced.select("id", "child", "a", "b")

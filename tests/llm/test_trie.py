@@ -140,3 +140,53 @@ def test_subtree_sums_of_a_random_forest(spark):
             up = parent[up]
     got = {int(bytes(r.id).decode()): [r.a, r.b] for r in pt.subtree_sums(nodes).collect()}
     assert got == want
+
+
+def _forest(spark, parent):
+    kids = {}
+    for p in parent.values():
+        kids[p] = kids.get(p, 0) + 1
+    key = lambda i: None if i is None else f"{i:05}".encode()
+    return spark.createDataFrame(
+        [(key(i), key(p), kids.get(i, 0), i, 1) for i, p in parent.items()],
+        "id binary, parent binary, n_children long, a long, b long",
+    )
+
+
+def test_few_jobs_for_a_deep_tree(spark):
+    """What the driver keeps of jobs, stages and plans stays small in however many rounds."""
+    nodes = _forest(spark, {i: i - 1 if i else None for i in range(400)})
+    sc = spark.sparkContext
+    sc.setJobGroup("deep", "sums of a chain")
+    try:
+        got = {int(bytes(r.id).decode()): (r.a, r.b) for r in pt.subtree_sums(nodes).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: (sum(range(i, 400)), 400 - i) for i in range(400)}
+    assert len(sc.statusTracker().getJobIdsForGroup("deep")) < 90
+
+
+def test_a_round_is_one_shuffle(spark):
+    live = _forest(spark, {0: None, 1: 0, 2: 1, 3: 1}).selectExpr(
+        "id", "'live' AS state", "parent", "CAST(NULL AS binary) AS child", "n_children AS rest",
+        "a", "b",
+    )
+    plan = pt._round(live, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_sums_by_one_round_or_many_a_job(spark, monkeypatch):
+    rng = random.Random(5)
+    parent = {i: rng.choice([i - 1, i - 1, rng.randrange(i)]) for i in range(1, 200)}
+    parent[0] = parent[120] = None
+    want = {i: [0, 0] for i in parent}
+    for i in parent:
+        up = i
+        while up is not None:
+            want[up] = [want[up][0] + i, want[up][1] + 1]
+            up = parent[up]
+    for few, rounds in ((0, 6), (60, 3), (1000, 9)):
+        monkeypatch.setattr(pt, "FEW", few)
+        monkeypatch.setattr(pt, "ROUNDS", rounds)
+        sums = pt.subtree_sums(_forest(spark, parent)).collect()
+        assert {int(bytes(r.id).decode()): [r.a, r.b] for r in sums} == want

@@ -335,7 +335,7 @@ def trie(convs: DataFrame, steps: DataFrame) -> DataFrame:
         .withColumn("b", (F.col("n_convs") - 1) * F.col("length")),
         "counted",
     )
-    sums = subtree_sums(nodes)
+    sums = keep(subtree_sums(nodes), "sums")
     last = paths.join(convs.withColumnRenamed("size", "depth"), ["conv", "depth"]).select("id", "conv")
     last = last.union(convs.where("size = 0").select(top, "conv"))
     digests = id_digests(last)
@@ -344,6 +344,7 @@ def trie(convs: DataFrame, steps: DataFrame) -> DataFrame:
     )
     below = nodes.drop("n_children").where("parent IS NOT NULL")
     named = lookup(below.select("id", "parent"), parents, ["parent"], "n_children").drop("parent")
+    named = keep(named, "named")  # like the sums: the driver holds no plan of everything at once
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return (
         nodes.drop("a", "b").join(sums, "id").join(named, "id", "left").join(digests, "id", "left")
